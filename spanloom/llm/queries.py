@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, fingerprint, mixing, secret_scan
 
 
 def queries() -> dict:
     return {
+        "op3_secret_scan": secret_scan.op3_secret_scan,
+        "op6_mix_sources": mixing.op6_mix_sources,
+        "op8_fingerprint": fingerprint.op8_fingerprint,
         "op9_decontaminate": decontaminate.op9_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_secret_scan": secret_scan.SQL,
         "op9_decontaminate": decontaminate.SQL,
     }
