@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, mixing, secret_scan
+from . import decontaminate, fingerprint, langid, mixing, secret_scan, sstable
 
 
 def queries() -> dict:
     return {
+        "op1_token_shards": sstable.op1_token_shards,
         "op3_secret_scan": secret_scan.op3_secret_scan,
+        "op4_language": langid.op4_language,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op8_fingerprint": fingerprint.op8_fingerprint,
         "op9_decontaminate": decontaminate.op9_decontaminate,
