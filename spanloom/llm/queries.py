@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, langid, mixing, secret_scan, sstable
+from . import decontaminate, fingerprint, langid, mixing, neardup, secret_scan, sstable
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_language": langid.op4_language,
         "op6_mix_sources": mixing.op6_mix_sources,
+        "op7_near_duplicates": neardup.op7_near_duplicates,
         "op8_fingerprint": fingerprint.op8_fingerprint,
         "op9_decontaminate": decontaminate.op9_decontaminate,
     }

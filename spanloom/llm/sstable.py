@@ -38,6 +38,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,7 @@ MAGIC = b"SLMSST01"
 FOOTER = struct.Struct("<QQQQQQIII8s")
 END_ID = 0
 MEMO = 400_000
+MANIFEST = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("entries", pa.int64()), ("ids", pa.int64())])
 SPACES = re.compile(r"  |\s \s")
 RUNS = re.compile(r"\s*\S+|\s+")
 
@@ -254,17 +256,17 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, sha
     cuts = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
     bounds = np.array(sorted(set(cuts)), "int64")
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for b in batches:
-            ids = pd.to_numeric(b["doc_id"]).astype("Int64")
-            null = ids.isna().to_numpy()
-            shard = np.where(null, 0, np.searchsorted(bounds, ids.fillna(0).astype("int64").to_numpy(), side="left"))
-            yield pd.DataFrame({"shard": shard.astype("int32"), "doc_id": ids, "ids": encoder([t or "" for t in b["text"]], end_id)})
+            null = np.asarray(b["doc_id"].is_null())
+            shard = np.where(null, 0, np.searchsorted(bounds, np.asarray(b["doc_id"].fill_null(0)), side="left"))
+            ids = encoder([t or "" for t in b["text"].to_pylist()], end_id)
+            yield pa.record_batch([pa.array(shard, pa.int32()), b["doc_id"], pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
 
     width = np.dtype("<u2" if _vocabulary_size(vocabulary) <= 1 << 16 else "<u4").itemsize
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, writer, out, made = None, None, None, []
         fs, inside = _open(folder)
         attempt = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}"
@@ -277,7 +279,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, sha
             made.append((shard, f"{folder}/{name}", writer.entries, writer.ids))
 
         for b in batches:
-            for s, d, v in zip(b["shard"], b["doc_id"], b["ids"], strict=True):
+            for s, d, v in zip(b["shard"].to_pylist(), b["doc_id"].to_pylist(), b["ids"].to_pylist(), strict=True):
                 if s != shard:
                     if writer:
                         close()
@@ -285,15 +287,15 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, sha
                     fs.create_dir(inside, recursive=True)
                     out = fs.open_output_stream(posixpath.join(inside, f".part-{s:06d}.sst.{attempt}"))
                     writer = Writer(out, width)
-                writer.add(key_of(None if pd.isna(d) else int(d)), v)
+                writer.add(key_of(d), v)
         if writer:
             close()
-        yield pd.DataFrame(made, columns=["shard", "path", "entries", "ids"]).astype({"shard": "int32", "entries": "int64", "ids": "int64"})
+        yield pa.RecordBatch.from_pylist([dict(zip(MANIFEST.names, m, strict=True)) for m in made], schema=MANIFEST)
 
-    encoded = rows.mapInPandas(encode, "shard int, doc_id long, ids binary")
+    encoded = rows.mapInArrow(encode, "shard int, doc_id long, ids binary")
     dealt = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
     listing = new_folder(spark, "manifest")
-    dealt.mapInPandas(write, "shard int, path string, entries long, ids long").write.parquet(listing)
+    dealt.mapInArrow(write, "shard int, path string, entries long, ids long").write.parquet(listing)
     made = sorted(spark.read.schema("shard int, path string, entries long, ids long").parquet(listing).collect())  # a row a shard
     starts = np.concatenate([[0], np.cumsum([r.ids for r in made])])[:-1] if made else []
     return spark.createDataFrame([(r.shard, r.path, r.entries, r.ids, int(s)) for r, s in zip(made, starts, strict=True)], "shard int, path string, entries long, ids long, start long")
