@@ -1,28 +1,60 @@
-"""A training-data pipeline over ``documents``; its stages are the operators of spanloom.llm."""
+"""A training-data pipeline over ``documents``; its stages are operators of spanloom.llm.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the last return
+the columns of documents; the last writes token shards and returns what it reads back from them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import decontaminate
-from spanloom.llm.common import table
+from spanloom.llm import decontaminate, langid, mixing, neardup, sstable
+from spanloom.llm.common import new_folder, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language is rejected: no letter, or two languages as good as equal."""
+    return langid.keep_known(docs, langid.fit(langid.training_rows(docs)))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of the least id, of each class of near-duplicates."""
+    return neardup.keep_one(docs)
 
 
-def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a 20th or more of the words lies in benchmark windows."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), mode="documents")
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents so that the sources' words meet their targets."""
+    return mixing.mixed(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in sorted-string-table shards; what the shards hold, as read back."""
+    return sstable.read_documents(spark, sstable.write_shards(docs, new_folder(spark, "tokens")))
+
+
 STAGES = [
-    ("decontaminate", stage_decontaminate),
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("mix_sources", mix_sources),
+    ("token_shards", write_tokens),
 ]
 
-#: The stages compress, hash and tokenize, which SQL cannot express: tests hold run() against brute force.
+#: The stages compress, hash and tokenize, which SQL cannot express: a test holds run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            path = new_folder(spark, name)
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

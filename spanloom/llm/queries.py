@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, langid, mixing, neardup, secret_scan, sstable
+from . import decontaminate, fingerprint, langid, licenses, mixing, neardup, secret_scan, sstable, wordpiece
 
 
 def queries() -> dict:
     return {
         "op1_token_shards": sstable.op1_token_shards,
+        "op2_token_counts": wordpiece.op2_token_counts,
         "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_language": langid.op4_language,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_near_duplicates": neardup.op7_near_duplicates,
         "op8_fingerprint": fingerprint.op8_fingerprint,
         "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_licenses": licenses.op10_licenses,
     }
 
 
