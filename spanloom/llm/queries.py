@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, langid, licenses, mixing, neardup, secret_scan, sstable, wordpiece
+from . import decontaminate, fingerprint, htmltext, langid, licenses, mixing, neardup, secret_scan, sstable, wordpiece
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_token_counts": wordpiece.op2_token_counts,
         "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_language": langid.op4_language,
+        "op5_main_text": htmltext.op5_main_text,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_near_duplicates": neardup.op7_near_duplicates,
         "op8_fingerprint": fingerprint.op8_fingerprint,
