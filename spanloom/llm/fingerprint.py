@@ -72,7 +72,7 @@ def with_next(docs: DataFrame, key: str, text: str, out: str, buckets: int | Non
     Buckets of the key's range are ordered on their own; each also gets a copy of the first row of the next.
     """
     spark = docs.sparkSession
-    bucket, first, place = fresh(docs, "_bucket", "_first", "_place")
+    bucket, first, place, of, nth = fresh(docs, "_bucket", "_first", "_place", "_of", "_nth")
     n = min(buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
     cuts = docs.select(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
     cut = F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts)))).cast("array<bigint>")
@@ -83,8 +83,8 @@ def with_next(docs: DataFrame, key: str, text: str, out: str, buckets: int | Non
     ring = Window.orderBy(bucket)
     tops = tops.withColumn(place, F.coalesce(F.lag(bucket).over(ring), F.max(bucket).over(Window.partitionBy())))
     order = [F.desc_nulls_last(key), F.asc(text)]
-    heads = placed.join(F.broadcast(tops.withColumnRenamed(bucket, "_b")), (F.col(bucket) == F.col("_b")) & F.col(key).eqNullSafe(F.col(first)))
-    heads = heads.withColumn("_n", F.row_number().over(Window.partitionBy(bucket).orderBy(*order))).filter("_n = 1")
+    heads = placed.join(F.broadcast(tops.withColumnRenamed(bucket, of)), (F.col(bucket) == F.col(of)) & F.col(key).eqNullSafe(F.col(first)))
+    heads = heads.withColumn(nth, F.row_number().over(Window.partitionBy(bucket).orderBy(*order))).filter(F.col(nth) == 1)
     heads = heads.withColumn(bucket, F.col(place)).withColumn(place, F.lit(1)).select(*docs.columns, bucket, place)
     both = placed.withColumn(place, F.lit(0)).select(*docs.columns, bucket, place).unionByName(heads)
     follow = F.lead(F.struct(*docs.columns)).over(Window.partitionBy(bucket).orderBy(place, *order))

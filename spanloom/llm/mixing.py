@@ -34,6 +34,7 @@ SALTS = 64
 BINS_PER_OCTAVE = 32
 STEPS = 40
 NEAR = 1e-9
+MAX_BROADCAST = 50_000
 
 
 def size_of(text: Column) -> Column:
@@ -91,11 +92,10 @@ def _bin(size: Column) -> Column:
     return F.when(size <= 0, F.lit(-1)).otherwise(F.floor(F.log2(size.cast("double")) * BINS_PER_OCTAVE).cast("int"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 42) -> DataFrame:
-    """docs with size, source_size, target, copies and taken = copies * size (long)."""
-    size, bin_, salt, u, rank = fresh(docs, "_size", "_bin", "_salt", "_u", "_rank")
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 42, out: str = "mix", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """docs with ``out``: struct(size, source_size, target, copies, taken = copies * size)."""
+    size, name, blank, bin_, salt, u, rank, before, n, copies, words, target, found = fresh(docs, *(f"_{x}" for x in "size name blank bin salt u rank before n copies words target found".split()))
     mark = F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(text))
-    rows = docs.withColumn(size, size_of(F.col(text))).withColumn(u, mark).withColumn(bin_, _bin(F.col(size))).withColumn(salt, F.pmod(F.col(u), F.lit(SALTS)).cast("int"))
 
     light = docs.select(F.col(source).alias("source"), size_of(F.col(text)).alias("size"), mark.alias("u"))
     counts = materialize(light.groupBy("source", "size", F.pmod("u", F.lit(SALTS)).cast("int").alias("salt")).agg(F.count("*").alias("n")), "sizes")
@@ -107,18 +107,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, text: str = "text",
     dual = solve(histogram, named.select("source", "source_size", "target", "mean", "least_size"), most)
     quota = materialize(_quotas(counts, dual, most), "quotas")
 
+    rows = docs.withColumns({size: size_of(F.col(text)), u: mark, name: F.coalesce(F.col(source), F.lit("")), blank: F.col(source).isNull()})
+    rows = rows.withColumns({bin_: _bin(F.col(size)), salt: F.pmod(F.col(u), F.lit(SALTS)).cast("int")})
     # (source, bin, salt) holds 1/64 of a bin, so the hottest source still falls into many groups
-    within = Window.partitionBy(source, bin_, salt).orderBy(u)
-    rows = rows.withColumn(rank, F.row_number().over(within))
-    q = quota.select(*(F.col(c).alias(f"_q_{c}") for c in quota.columns))
-    key = F.col(source).eqNullSafe(F.col("_q_source")) & (F.col(bin_) == F.col("_q_bin")) & (F.col(salt) == F.col("_q_salt"))
-    few = quota.limit(1_000_001).count() <= 1_000_000  # bounded by sources x bins x salts; checked all the same
-    rows = rows.join(F.broadcast(q) if few else q, key, "left")
-    at = F.col("_q_before") + F.col(rank)
-    share = lambda j: F.floor(j * F.col("_q_copies") / F.col("_q_n"))
-    copies = (share(at) - share(at - 1)).cast("long")
-    out = {"size": F.col(size), "source_size": F.col("_q_source_size").cast("long"), "target": F.col("_q_target"), "copies": copies, "taken": copies * F.col(size)}
-    return rows.withColumns(out).drop(size, bin_, salt, u, rank, *q.columns)
+    key = [name, blank, bin_, salt]
+    rows = rows.withColumn(rank, F.row_number().over(Window.partitionBy(*key).orderBy(u)))
+    q = quota.select(
+        F.coalesce("source", F.lit("")).alias(name), F.col("source").isNull().alias(blank), F.col("bin").alias(bin_), F.col("salt").alias(salt),
+        *(F.col(c).alias(x) for c, x in (("before", before), ("n", n), ("copies", copies), ("source_size", words), ("target", target))),
+    )
+    # beyond the limit the join uses the partitioning that the ranks already have
+    rows = rows.join(F.broadcast(q) if quota.limit(max_broadcast + 1).count() <= max_broadcast else q.hint("shuffle_hash"), key, "left")
+    at = F.col(before) + F.col(rank)
+    share = lambda j: F.floor(j * F.col(copies) / F.col(n))
+    rows = rows.withColumn(found, (share(at) - share(at - 1)).cast("long"))
+    made = F.struct(F.col(size).alias("size"), F.col(words).cast("long").alias("source_size"), F.col(target).alias("target"), F.col(found).alias("copies"), (F.col(found) * F.col(size)).alias("taken"))
+    (result,) = fresh(docs, out)
+    rows = rows.select(*docs.columns, made.alias(result))
+    return rows if result == out else rows.withColumnRenamed(result, out)
 
 
 def _quotas(counts: DataFrame, dual: DataFrame, most: int) -> DataFrame:
@@ -131,10 +137,12 @@ def _quotas(counts: DataFrame, dual: DataFrame, most: int) -> DataFrame:
     # largest bins first; what rounding leaves over or short goes on to the next: at most 64 * 32 bins a source
     ordered = F.reverse(F.array_sort(F.collect_list(F.struct("bin", "n", "words", "ask"))))
     empty = F.array().cast("array<struct<bin:int,n:bigint,copies:bigint>>")
+
     def take(acc, b):
         mean = b["words"] / b["n"]
         k = F.when(b["words"] == 0, F.lit(0).cast("long")).otherwise(F.least(F.greatest(F.round((acc["owed"] + b["ask"]) / mean), F.lit(0.0)), most * b["n"].cast("double")).cast("long"))
         return F.struct((acc["owed"] + b["ask"] - k * mean).alias("owed"), F.concat(acc["done"], F.array(F.struct(b["bin"].alias("bin"), b["n"].alias("n"), k.alias("copies")))).alias("done"))
+
     split = bins.groupBy("source", "source_size", "target").agg(F.aggregate(ordered, F.struct(F.lit(0.0).alias("owed"), empty.alias("done")), take, lambda acc: acc["done"]).alias("b"))
     split = split.select(F.col("source").alias("_s"), F.explode("b").alias("b")).select("_s", F.col("b.bin").alias("_b"), F.col("b.n").alias("n"), F.col("b.copies").alias("copies"))
     before = F.coalesce(F.sum("m").over(Window.partitionBy("source", "bin").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -143,12 +151,11 @@ def _quotas(counts: DataFrame, dual: DataFrame, most: int) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as often as its copies say, in docs' own columns."""
-    (extra,) = fresh(docs, "_copy")
-    found = mix(docs, **options)
-    own = [F.col(c) for c in docs.columns]
-    return found.filter(F.col("copies") > 0).withColumn(extra, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*own)
+    result, again = fresh(docs, "_mix", "_again")
+    found = mix(docs, out=result, **options).filter(F.col(result)["copies"] > 0)
+    return found.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(result)["copies"].cast("int")))).select(*docs.columns)
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
