@@ -65,9 +65,10 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.greatest((same - chance) / (1 - chance), F.lit(0.0)))
 
 
-def with_next(docs: DataFrame, key: str, text: str, out: str, buckets: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, key: str, text: str, out: str, add: dict[str, Column] | None = None, buckets: int | None = None) -> DataFrame:
     """docs(key, text, ...) with ``out``: struct of all columns of the row that follows in descending order of
     key (after the last: the first). Rows of one key follow in the order of their texts, nulls come last.
+    add: columns to compute from the row's own; they are part of the struct too.
 
     Buckets of the key's range are ordered on their own; each also gets a copy of the first row of the next.
     """
@@ -86,15 +87,15 @@ def with_next(docs: DataFrame, key: str, text: str, out: str, buckets: int | Non
     heads = placed.join(F.broadcast(tops.withColumnRenamed(bucket, of)), (F.col(bucket) == F.col(of)) & F.col(key).eqNullSafe(F.col(first)))
     heads = heads.withColumn(nth, F.row_number().over(Window.partitionBy(bucket).orderBy(*order))).filter(F.col(nth) == 1)
     heads = heads.withColumn(bucket, F.col(place)).withColumn(place, F.lit(1)).select(*docs.columns, bucket, place)
-    both = placed.withColumn(place, F.lit(0)).select(*docs.columns, bucket, place).unionByName(heads)
-    follow = F.lead(F.struct(*docs.columns)).over(Window.partitionBy(bucket).orderBy(place, *order))
+    both = placed.withColumn(place, F.lit(0)).select(*docs.columns, bucket, place)
+    both = both.withColumns(add or {}).unionByName(heads.withColumns(add or {}))  # of the heads, after there are few
+    follow = F.lead(F.struct(*docs.columns, *(add or {}))).over(Window.partitionBy(bucket).orderBy(place, *order))
     return both.withColumn(out, follow).filter(F.col(place) == 0).drop(bucket, place)
 
 
 def op8_fingerprint(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("bits", fingerprint("text"))
-    df = with_next(docs, "doc_id", "text", "next")
+    df = with_next(docs, "doc_id", "text", "next", {"bits": fingerprint("text")})
     n, k = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - k), F.substring(F.col("next")["text"], F.lit(1), k)))
     df = df.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "bits", F.col("next")["bits"].alias("next_bits"), fingerprint("edited").alias("edited_bits"))

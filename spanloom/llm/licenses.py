@@ -125,9 +125,9 @@ class Template:
         for lo, hi in out:
             lo, hi = max(0, lo), min(len(words), hi + 1)
             counts = Counter(w for w in words[lo:hi] if w in self.once)
-            again = next((w for w in self.words if counts.get(w, 0) > 1 and w in self.anchors), None) or next((w for w in self.words if counts.get(w, 0) > 1), None)
+            again = next((w for w in self.words if counts.get(w, 0) > 1 and w in self.anchors), None)
+            cut.append((lo, hi))
             if again is None:
-                cut.append((lo, hi))
                 continue
             lead = self.words.index(again)
             starts = [k for k in range(lo, hi) if words[k] == again]

@@ -38,7 +38,7 @@ from .common import fresh, materialize, table
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 M = BANDS * ROWS
-SLACK = 8.0
+SLACK = 64.0
 MAX_BROADCAST = 500_000
 MEMO = 200_000
 WORD = re.compile(r"[^\x00-/:-`{-\x7f]+")

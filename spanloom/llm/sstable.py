@@ -13,9 +13,10 @@ A value is the document's ids, little-endian, 2 or 4 bytes each as the vocabular
 the filter, a binary search of the sparse index and one block.
 
 Encoding: a byte-level BPE splits a text into pieces before it merges, and no piece joins a non-space to a space
-that follows. So a text is cut before spaces, the tokenizers library encodes each distinct cut, and the ids are
-put together; cuts met before come from a bounded table. Where spaces stand next to other white space the cuts
-are whole runs of white space with the word that follows. The ids equal those of the whole text (tested).
+that follows. So a text is cut before spaces and at line ends, the tokenizers library encodes each distinct cut, and
+the ids are put together; cuts met before come from a bounded table. Where white space is anything but single
+spaces and line ends between words, the cuts are whole runs of white space with the word that follows. The ids equal
+those of the whole text (tested).
 
 Writing: documents are encoded where they are read, dealt to shards by ranges of the key, sorted and written by
 one task each, under a temporary name that is then renamed; a repeated task writes the same bytes again. Memory
@@ -51,9 +52,9 @@ BITS_PER_KEY, HASHES = 10, 7
 MAGIC = b"SLMSST01"
 FOOTER = struct.Struct("<QQQQQQIII8s")
 END_ID = 0
-MEMO = 400_000
+MEMO = 300_000
 MANIFEST = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("entries", pa.int64()), ("ids", pa.int64())])
-SPACES = re.compile(r"  |\s \s")
+LINE = re.compile(r" ?[^\s\x1c-\x1f\x85\u180e]+")
 RUNS = re.compile(r"\s*\S+|\s+")
 
 
@@ -71,29 +72,73 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def cuts(text: str) -> list[str]:
-        if SPACES.search(text):
-            return RUNS.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+        #: ids of cuts as they stand, and of cuts behind a space
+        self.plain: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        alone = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = np.array(alone, self.kind).tobytes()
+        self.mark = alone[0] if len(alone) == 1 else None
+
+    def _encode(self, cuts: list[str]) -> list[bytes]:
+        """Ids of each cut. Cuts that neither hold nor end in white space are encoded many at a time, a line each."""
+        out: dict[str, bytes] = {}
+        lines, odd = [], []
+        for c in cuts:
+            (lines if self.mark is not None and LINE.fullmatch(c) else odd).append(c)
+        size = self.kind.itemsize
+        groups = [lines[i : i + 512] for i in range(0, len(lines), 512)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            data, start = ids.tobytes(), 0
+            for c, end in zip(group, ends, strict=True):
+                out[c] = data[start * size : end * size]
+                start = end + 1
+        for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            out[c] = np.array(e.ids, self.kind).tobytes()
+        return [out[c] for c in cuts]
+
+    def _learn(self, plain: set[str], spaced: set[str]) -> bool:
+        """False if the table had to be emptied first."""
+        plain, spaced = plain.difference(self.plain), spaced.difference(self.spaced)
+        if len(self.plain) + len(self.spaced) + len(plain) + len(spaced) > MEMO:
+            self.plain.clear()
+            self.spaced.clear()
+            return False
+        new = [*plain, *(" " + x for x in spaced)]
+        ids = self._encode(new) if new else []
+        self.plain.update(zip(plain, ids, strict=False))
+        self.spaced.update(zip(spaced, ids[len(plain) :], strict=True))
+        return True
+
+    def _some(self, texts: list[str], tail: bytes) -> list[bytes]:
+        plain, spaced, cut = set(), set(), []
+        for t in texts:
+            if not t or t.replace("\n", " ") != " ".join(t.split()):  # other than single spaces and line ends between words
+                runs = RUNS.findall(t)
+                plain.update(runs)
+                cut.append(runs)
+            else:
+                lines = [x.split(" ") for x in t.split("\n")]
+                for first, *rest in lines:
+                    plain.add(first)
+                    spaced.update(rest)
+                cut.append(lines)
+        if not self._learn(plain, spaced):
+            self._learn(plain, spaced)
+        one, two, out = self.plain.__getitem__, self.spaced.__getitem__, []
+        for c in cut:
+            if c and isinstance(c[0], str):
+                out.append(b"".join(map(one, c)) + tail)
+            else:
+                out.append(self.line.join(one(x[0]) + b"".join(map(two, x[1:])) for x in c) + tail)
+        return out
 
     def __call__(self, texts: list[str], end: int = END_ID) -> list[bytes]:
-        cut = [self.cuts(t) for t in texts]
-        known = self.known
-        new = list({c for x in cut for c in x}.difference(known))
-        if new:
-            if len(known) + len(new) > MEMO:
-                known.clear()
-                new = list({c for x in cut for c in x})
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[c] = np.array(e.ids, self.kind).tobytes()
-        tail = np.array([end], self.kind).tobytes()
-        return [b"".join(map(known.__getitem__, x)) + tail for x in cut]
+        tail, out = np.array([end], self.kind).tobytes(), []
+        for i in range(0, len(texts), 64):
+            out += self._some(texts[i : i + 64], tail)
+        return out
 
 
 def key_of(doc_id: int | None) -> bytes:
