@@ -13,7 +13,8 @@ links become classes by large-star and small-star steps.
 A bucket's candidates are not all paired. First each text is compared with the most popular text of each of its
 buckets; then classes are formed, and texts of one class need no further comparison. What is left, pairs of
 one bucket in different classes, is counted before it is made: while it exceeds ``slack`` pairs per text,
-further rounds compare each bucket with its next most popular text; the rest is compared pair by pair. So every
+further rounds compare each bucket with its next most popular text, which then leaves the bucket, so that the count
+falls; the rest is compared pair by pair. So every
 candidate pair of texts is either verified or already in one class. A pair of likeness 0.8 shares no band, and
 so is missed, with probability (1 - 0.8**ROWS)**BANDS = 3e-6.
 
@@ -213,10 +214,9 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _star_pairs(members: DataFrame, used: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Each member with the most popular node of its bucket that has not led it yet, if their labels differ."""
-    free = members if used is None else members.join(used, ["bucket", "node"], "left_anti")
-    lead = free.groupBy("bucket").agg(F.max(F.struct("fame", "node", "label")).alias("lead"))
+def _star_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each member with the most popular node of its bucket, if their labels differ."""
+    lead = members.groupBy("bucket").agg(F.max(F.struct("fame", "node", "label")).alias("lead"))
     lead = materialize(lead.select("bucket", F.col("lead.node").alias("lead"), F.col("lead.label").alias("lead_label")), "leads")
     met = members.join(lead, "bucket").filter("node <> lead AND label <> lead_label")
     pairs = met.select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
@@ -234,6 +234,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     while count:
         with_label = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         if labels is not None:
+            with_label = with_label.join(used, ["bucket", "node"], "left_anti")  # a node that has led its bucket has met all of it
             sizes = with_label.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("k"), ((F.sum("n") ** 2 - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
             open_ = materialize(sizes.filter("k > 1"), "open")
             left = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
@@ -241,7 +242,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
                 break
             with_label = materialize(with_label.join(open_.select("bucket"), "bucket"), "members")
         if labels is None or left > slack * count:
-            pairs, leads = _star_pairs(with_label, used)
+            pairs, leads = _star_pairs(with_label)
             used = leads if used is None else materialize(used.union(leads), "used")
             last = False
         else:
