@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import span_queries, text_queries
+
 
 def queries() -> dict:
-    return {}
+    return text_queries.QUERIES | span_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return text_queries.SQL | span_queries.SQL
