@@ -55,7 +55,7 @@ def viable_span(spark, d):
     return df.select("rec_id", "seg_id", F.col("pos").cast("long").alias("pos"), T.is_viable(F.col("clause"), F.length(T.norm(F.col("clause"))) * 60 / 1000).alias("viable"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0::DOUBLE ELSE CAST(CAST(event_id // 7 AS VARCHAR) || '.' || CAST(event_id % 10 AS VARCHAR) AS DOUBLE) END AS "seconds" FROM events")
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0::DOUBLE ELSE CAST(CAST(event_id // 7 AS VARCHAR) || '.' || CAST(event_id % 10 AS VARCHAR) AS DOUBLE) END AS "seconds" FROM events""")
 def parse_offset(spark, d):
     i = F.col("event_id")
     raw = F.when(i % 10 == 0, F.lit(None)).when(i % 5 == 0, "bad").otherwise(F.concat(F.floor(i / 7).cast("string"), F.lit("."), (i % 10).cast("string"), F.lit("s")))
