@@ -5,9 +5,9 @@ from one set of entries, later pieces from another. A trie over the vocabulary,
 one pass over a word: when no edge goes on, the link leads to the place that the text has after the longest
 pieces are popped, and says how many these are. Only their number is kept, so no piece is ever built.
 
-Words are runs of letters and digits; any other character but white space is a word. A word that cannot be
-split, or of more than LONGEST characters, is one unknown token. Counts of words met before come from a bounded
-table.
+Words are runs of letters and digits, of any length; any other character but white space is a word. A word that
+cannot be split is one unknown token. Counts of words met before come from a bounded table, which holds words of
+up to LONGEST characters; longer ones are counted anew in each text.
 
 The vocabulary is that of a sentencepiece model file: entries that begin with its space mark start a word, the
 others go on with one; control, unknown and byte entries are left out.
@@ -103,9 +103,10 @@ class Counter:
         words, known = WORD.findall(text or ""), self.known
         if len(known) > MEMO:
             known.clear()
+        long = {}
         for w in set(words).difference(known):
-            known[w] = self.automaton.count(w) if len(w) <= LONGEST else 0
-        counts = list(map(known.__getitem__, words))
+            (known if len(w) <= LONGEST else long)[w] = self.automaton.count(w)
+        counts = [long[w] if w in long else known[w] for w in words] if long else list(map(known.__getitem__, words))
         unknown = counts.count(0)
         return len(words), sum(counts) + unknown, unknown
 

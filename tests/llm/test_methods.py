@@ -81,6 +81,34 @@ def test_automaton_equals_greedy_longest_match():
             assert automaton.count(word) == n
 
 
+def _greedy(model, word):
+    """The number of pieces by longest match at each place, 0 if the word cannot be split."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=model)
+    pieces = [m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
+    first, later = {p[1:] for p in pieces if p.startswith("▁") and len(p) > 1}, {p for p in pieces if not p.startswith("▁")}
+    longest, at, n = max(map(len, pieces)), 0, 0
+    while at < len(word):
+        size = next((k for k in range(min(longest, len(word) - at), 0, -1) if word[at : at + k] in (later if at else first)), 0)
+        if not size:
+            return 0
+        at, n = at + size, n + 1
+    return n
+
+
+def test_words_of_any_length_are_split():
+    rng, model = random.Random(8), wordpiece.default_model()
+    counter = wordpiece.Counter(wordpiece.load(model))
+    for size in (99, 100, 101, 10_000):
+        for alphabet in ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"):
+            word = "the" + "".join(rng.choice(alphabet) for _ in range(size - 3))
+            want = _greedy(model, word)
+            assert want > size // 10
+            assert counter(f"{word} the {word}") == (3, 2 * want + _greedy(model, "the"), 0)
+    assert max(map(len, counter.known)) <= wordpiece.LONGEST
+
+
 def test_trigram_queries():
     q = {r.kind: secret_scan.trigram_query(r.pattern) for r in secret_scan.RULES}
     assert q["hex"] == [] and q["access"] == [[["aki", "kia"]]]
