@@ -155,6 +155,14 @@ def transcript_listing(spark, d):
     return rows.select("rec_id", F.array_join(F.transform("rows", lambda x: x["line"]), "\n").alias("prompt"))
 
 
+@query("""SELECT rec_id, string_agg(format('[Sentence ID: {:3d}] {:6.2f}s -> {:6.2f}s | {:s}', seg_id, CAST(start_ms AS DOUBLE) / 1000, CAST(end_ms AS DOUBLE) / 1000, txt), chr(10) ORDER BY seg_id) listing FROM (WITH """ + SEGMENTS + """ SELECT * FROM seg) GROUP BY rec_id""")
+def transcript_listing_whole(spark, d):
+    """Each sentence's number, start, end and whole text as it was written."""
+    line = F.format_string("[Sentence ID: %3d] %6.2fs -> %6.2fs | %s", F.col("seg_id"), F.col("start_ms").cast("double") / 1000, F.col("end_ms").cast("double") / 1000, F.col("text"))
+    rows = segments(spark, d).groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("seg_id", line.alias("line")))).alias("rows"))
+    return rows.select("rec_id", F.array_join(F.transform("rows", lambda x: x["line"]), "\n").alias("listing"))
+
+
 @query(r"""WITH """ + SEGMENTS + r""" SELECT rec_id, seg_id, md5(array_to_string(list_filter(regexp_split_to_array(txt, '[ \t\n\r]+'), lambda x: x <> ''), ' ')) display_md5 FROM seg WHERE NOT regexp_matches(txt, '[\x{3000}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]')""")
 def words_display_join(spark, d):
     df = segments(spark, d).filter(~F.col("text").rlike(T.CJK_OR_MARK))

@@ -102,6 +102,19 @@ def test_containment_of_many_blocks(spark):
     assert few == sorted(map(tuple, spans.containment(docs, blocks, max_broadcast=0).collect())) == [(1, 1), (1, 2), (2, 2)]
 
 
+def test_listing_holds_whole_text(spark, tmp_path):
+    turns = ["Hello there, this is a long turn: it ends after the 20th character.", None, "短い。 {ok} %s\nnext line"]
+    spark.createDataFrame([(7, i, "user", t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    (row,) = catalog.queries()["transcript_listing_whole"](spark, str(tmp_path)).collect()
+    n = [sum(c.isalnum() for c in t or "") for t in turns]
+    want, at = [], 0
+    for i, t in enumerate(turns):
+        at += ((7 * 31 + i * 17) % 13) * 100 if i else 0
+        start, at = at, at + 60 * max(n[i], 1)
+        want.append(f"[Sentence ID: {i:3d}] {start / 1000:6.2f}s -> {at / 1000:6.2f}s | {t or ''}")
+    assert row["listing"] == "\n".join(want)
+
+
 def test_empty_tables(spark, tmp_path):
     for t in TABLES:
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
