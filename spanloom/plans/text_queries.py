@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
+from spanloom.operators import fuzzy
 
 from .relations import SEGMENTS, segments, table
 
@@ -108,8 +109,11 @@ def phrase_multiplicity(spark, d):
 
 @query()
 def fuzzy_occurrence_count(spark, d):
-    df = segments(spark, d).select("rec_id", "seg_id", "norm", F.substring("norm", 1, 7).alias("phrase"))
-    return df.select("rec_id", "seg_id", T.fuzzy_count(F.col("norm"), F.col("phrase")).alias("found"))
+    """Each whole document for the first 4, 7 and 12 word characters of each item of benchmark; pairs without any are left out."""
+    norm = T.norm(F.col("text"))
+    heads = table(spark, d, "benchmark").select(norm.alias("n")).select("n", F.explode(F.array(F.lit(4), F.lit(7), F.lit(12))).alias("k")).filter(F.length("n") >= F.col("k"))
+    phrases = [r[0] for r in heads.select(F.left("n", F.col("k")).alias("phrase")).distinct().collect()]
+    return fuzzy.occurrences(table(spark, d, "documents").select("doc_id", norm.alias("norm")), "doc_id", "norm", phrases)
 
 
 @query(f"""WITH t AS (SELECT doc_id, {NORM} a FROM documents), p AS (SELECT doc_id, a, right(a, CAST(6 + doc_id % 40 AS INT)) || left(a, 30) b FROM t)

@@ -6,7 +6,7 @@ from collections import namedtuple
 import duckdb
 import pytest
 
-from spanloom.operators import folds, spans
+from spanloom.operators import folds, fuzzy, spans
 from spanloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -115,6 +115,36 @@ def test_listing_holds_whole_text(spark, tmp_path):
     assert row["listing"] == "\n".join(want)
 
 
+def _occurrences(phrase, text):
+    """The reference's loop."""
+    n, at, count = len(phrase), 0, 0
+    while at + n <= len(text):
+        hit = sum(a != b for a, b in zip(phrase, text[at : at + n], strict=True)) <= (0 if n < 5 else 1 if n < 10 else 2)
+        count, at = count + hit, at + (n if hit else 1)
+    return count
+
+
+def test_fuzzy_occurrences_against_loop():
+    rng = random.Random(4)
+    for alphabet in ("ab", "abcdefgh", "漢字仮名ab", "a𝄞b"):
+        make = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+        phrases = sorted({make(n) for n in (1, 4, 5, 7, 9, 10, 12, 13) for _ in range(4)})
+        texts = ["", "a" * 50, *(make(rng.randint(0, 300)) for _ in range(40)), *(p[:-1] + "z" + p for p in phrases)]
+        want = {(t, p): n for t, x in enumerate(texts) for p, y in enumerate(phrases) if (n := _occurrences(y, x))}
+        assert {(t, p): n for t, p, n in fuzzy.Finder(phrases).count(texts)} == want
+
+
+def test_fuzzy_occurrence_count_reads_whole_documents(spark, duck):
+    got = {(r["doc_id"], r["phrase"]): r["found"] for r in catalog.queries()["fuzzy_occurrence_count"](spark, SF).collect()}
+    norm = r"lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}_]', '', 'g'))"
+    items = [r[0] for r in duck.sql(f"SELECT {norm} FROM benchmark").fetchall()]
+    phrases = {x[:k] for x in items for k in (4, 7, 12) if len(x) >= k}
+    docs = duck.sql(f"SELECT doc_id, {norm} FROM documents ORDER BY doc_id LIMIT 12").fetchall()
+    want = {(i, p): n for i, x in docs for p in phrases if (n := _occurrences(p, x))}
+    assert {k: n for k, n in got.items() if k[0] in {i for i, _ in docs}} == want
+    assert {len(p) for _, p in got} == {4, 7, 12}
+
+
 def test_empty_tables(spark, tmp_path):
     for t in TABLES:
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
