@@ -11,17 +11,32 @@ from pyspark.sql import functions as F
 
 
 def _covered(block: str, text: str) -> float:
-    """Share of block's characters matched in order by text, in runs of 2 CJK or 3 other characters at least."""
-    if not block:
+    """Share of block's characters matched in order by text, in runs of 2 characters at least if block has an ideograph, else 3.
+
+    A text of up to twice block's length is aligned whole. Of a longer one the best window counts: at each stride, at
+    the end, and around the longest match; the first at a stride with 0.95 or more settles it."""
+    if not block or not text:
         return 0.0
     if block in text:
         return 1.0
-    least = 2 if any(ord(c) > 0x2E80 for c in block) else 3
-    best, width, step = 0, int(len(block) * 1.8) + 1, max(1, len(block) // 3)
-    for at in range(0, max(1, len(text) - width + step), step):
-        parts = SequenceMatcher(None, block, text[at : at + width], autojunk=False).get_matching_blocks()
-        best = max(best, sum(p.size for p in parts if p.size >= least))
-    return best / len(block)
+    size, least = len(block), 2 if any("\u4e00" <= c <= "\u9fff" for c in block) else 3
+
+    def aligned(part: str) -> float:
+        return sum(p.size for p in SequenceMatcher(None, block, part, autojunk=False).get_matching_blocks() if p.size >= least) / size
+
+    if len(text) <= 2 * size:
+        return aligned(text)
+    width, best = min(len(text), max(size + 24, int(size * 1.8))), 0.0
+    for at in range(0, max(1, len(text) - width + 1), max(4, size // 3)):
+        best = max(best, aligned(text[at : at + width]))
+        if best >= 0.95:
+            return best
+    best = max(best, aligned(text[len(text) - width :]))
+    longest = SequenceMatcher(None, block, text, autojunk=False).find_longest_match()
+    if longest.size >= least:
+        at = max(0, longest.b - longest.a - 12)
+        best = max(best, aligned(text[at : at + width]))
+    return best
 
 
 def _coverage_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -6,7 +6,7 @@ from collections import namedtuple
 import duckdb
 import pytest
 
-from spanloom.operators import folds, fuzzy, spans
+from spanloom.operators import folds, fuzzy, similarity, spans
 from spanloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -145,6 +145,23 @@ def test_fuzzy_occurrence_count_reads_whole_documents(spark, duck):
     assert {len(p) for _, p in got} == {4, 7, 12}
 
 
+def test_coverage_by_the_rule(spark):
+    cases = [
+        ("abcdefghij", "abcde" + "-" * 10 + "fghij", 1.0),  # twice as long: aligned whole
+        ("abcdefghij", "-" * 60 + "abcde" + "-" * 20 + "fghij" + "-" * 60, 1.0),  # a window holds 24 characters more
+        ("abcdefghij", "-" * 61 + "abcde" + "-" * 24 + "fghi", 0.9),  # 33 characters at the end, between two strides
+        ("あいうえお", "あい" + "-" * 5, 0.0),  # no ideograph: runs of 3
+        ("漢字仮名い", "漢字" + "-" * 5, 0.4),
+        ("abcdefghij", "abXdeXghX", 0.0),
+        ("abc", "xxabcxx", 1.0),
+        ("", "abc", 0.0),
+        ("abc", "", 0.0),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, b string, t string, want double")
+    for r in df.withColumn("got", similarity.coverage(df["b"], df["t"])).collect():
+        assert r["got"] == pytest.approx(r["want"]), cases[r["i"]]
+
+
 def test_empty_tables(spark, tmp_path):
     for t in TABLES:
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
