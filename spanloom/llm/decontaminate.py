@@ -33,22 +33,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), AZ, az), SEPARATORS), "")
 
 
-def _folded(text: Column) -> Column:
-    """As words(), in any lower case: as many words, and equal words stay equal; cheaper than translate."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
-
-
 def windows(bench: DataFrame, n: int = N, text: str = "text", item_id: str = "item_id") -> DataFrame:
     """(gram, folded, len, item): the distinct windows of the items; folded: the hash that documents are scanned for."""
-    items = bench.select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("w"), _folded(F.col(text)).alias("f")).filter(F.size("w") > 0)
+    items = bench.select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("w")).filter(F.size("w") > 0)
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))))
-    cut = items.select("item", "w", "f", at.alias("at"))
+    cut = items.select("item", "w", at.alias("at"))
     part = lambda c: F.slice(c, F.col("at"), F.least(F.size("w"), F.lit(n)))
     return cut.select(
         F.array_join(part("w"), " ").alias("gram"),
-        F.xxhash64(F.transform(part("f"), lambda x: F.xxhash64(x))).alias("folded"),
+        F.xxhash64(F.transform(part("w"), lambda x: F.xxhash64(x))).alias("folded"),
         F.size(part("w")).alias("len"),
-        F.xxhash64(F.element_at(part("f"), 1)).alias("head"),
+        F.xxhash64(F.element_at(part("w"), 1)).alias("head"),
         "item",
     ).distinct()
 
@@ -80,12 +75,12 @@ def _located_by_set(df: DataFrame, text: str, grams: list, n: int, out: str) ->
         fits = f"s.pos + s.len - 1 <= size(h) AND xxhash64(slice(h, s.pos, s.len)) IN ({_numbers({g.folded for g in short})})"
         found.append(f"IF(size(h) > 0, filter(flatten(transform({at}, i -> array({each}))), s -> {fits}), {none})")
     found = f"concat({', '.join(found)})" if found else none
-    whole = f"coalesce({_quoted(text)}, '')"
+    folded = f"translate(coalesce({_quoted(text)}, ''), '{AZ}', '{az}')"
     # array(x) with transform(..)[0] binds x to a name once per row
-    df = df.withColumn(scan, F.expr(f"transform(array(transform({_split_sql(f'lower({whole})')}, x -> xxhash64(x))), h -> named_struct('n_words', size(h), 'found', CAST({found} AS {HITS})))[0]"))
+    df = df.withColumn(scan, F.expr(f"transform(array(transform({_split_sql(folded)}, x -> xxhash64(x))), h -> named_struct('n_words', size(h), 'found', CAST({found} AS {HITS})))[0]"))
     if grams:
         texts = ", ".join(f"'{g}'" for g in sorted({g.gram for g in grams}))  # a word holds no quote and no backslash
-        exact = f"transform(array({_split_sql(f"translate({whole}, '{AZ}', '{az}')")}), v -> filter({scan}.found, s -> array_join(slice(v, s.pos, s.len), ' ') IN ({texts})))[0]"
+        exact = f"transform(array({_split_sql(folded)}), v -> filter({scan}.found, s -> array_join(slice(v, s.pos, s.len), ' ') IN ({texts})))[0]"
         hits = F.expr(f"IF(size({scan}.found) > 0, {exact}, {none})")
     else:
         hits = F.expr(none)

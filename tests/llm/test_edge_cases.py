@@ -38,6 +38,14 @@ def test_decontaminate_join_path(spark, bench):
     assert cut(a) == cut(b)
 
 
+def test_decontaminate_word_does_not_depend_on_what_follows(spark):
+    """Lower case of a capital sigma before a full stop and a letter is another than before a space."""
+    some = spark.createDataFrame([(1, "ΟΔΟΣ.ΑΒ"), (2, "οδος αβ")], "doc_id long, text string")
+    item = spark.createDataFrame([(1, "ΟΔΟΣ ΑΒ")], "item_id long, text string")
+    for options in ({}, {"max_broadcast": 0}):
+        assert {r["doc_id"]: r["n_hit"] for r in decontaminate.report(some, item, **options).collect()} == {1: 2, 2: 0}
+
+
 def test_secrets(spark):
     rows = kept(secret_scan.scan(docs(spark), out="secrets"))
     assert all(r["secrets"] == [] for r in rows)
