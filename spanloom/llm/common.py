@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +31,37 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Folders of the open scratch() blocks, innermost last.
+_scratch: list[str] = []
+#: Bounds of a batch that goes to Python, so that a task's memory does not grow with the length of texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
 def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/spanloom-{tag}-{uuid.uuid4().hex}"
+    return f"{_scratch[-1] if _scratch else shared_dir(spark)}/spanloom-{tag}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession, tag: str) -> Iterator[None]:
+    """What new_folder and materialize write inside is removed at the end: nothing that is read later may rest on it."""
+    folder = new_folder(spark, tag)
+    _scratch.append(folder)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sends texts to Python in batches of BATCH_ROWS rows or BATCH_BYTES bytes, or as the session says."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size) in ("64MB", str(64 << 20)):  # Spark's own default
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -10,17 +10,20 @@ Steps: exact copies fall together by two hashes of the text; signatures are cut
 texts that share a band are candidates; candidates are verified by the true overlap of their multisets;
 links become classes by large-star and small-star steps.
 
-A bucket's candidates are not all paired. First each text is compared with the most popular text of each of its
-buckets; then classes are formed, and texts of one class need no further comparison. What is left, pairs of
-one bucket in different classes, is counted before it is made: while it exceeds ``slack`` pairs per text,
-further rounds compare each bucket with its next most popular text, which then leaves the bucket, so that the count
-falls; the rest is compared pair by pair. So every
-candidate pair of texts is either verified or already in one class. A pair of likeness 0.8 shares no band, and
-so is missed, with probability (1 - 0.8**ROWS)**BANDS = 3e-6.
+A bucket's candidates are never all paired. First each text is compared with one of each of its buckets, the lead,
+and classes are formed; texts of one class need no further comparison. Buckets that still hold several classes are
+left to exact prefix filtering: order the shingles of their texts from rare to frequent; two texts of likeness s or
+more then share one of their first n - ceil(s * n) + 1 shingles. Texts that share such a shingle are compared if
+their classes differ and if their sizes and the shingle's places in both leave room for the likeness; of two such texts one
+is not of the shingle's largest class, so one side of that join is without the bulk of a large group of copies.
+Thus every candidate pair is compared, is known to be of one class, or is shown to be less alike, and a group of
+copies costs in proportion to its size. A pair of likeness 0.8 shares no band, and so may be missed, with
+probability (1 - 0.8**ROWS)**BANDS = 3e-6.
 
 Defined results: a null text counts as empty; texts without words are alike only if equal; a text of fewer than
-five words is one shingle; rows of one doc_id form one class; rows without an id have a class named by a hash of
-their text; an empty table gives no rows. Only doc_id and text are used; other columns are kept by keep_one.
+five words is one shingle; rows of one doc_id with different texts are documents of their own; a class is named by
+its least doc_id, or, if none of its rows has one, by a hash of its text; an empty table gives no rows. Only doc_id
+and text are used; other columns are kept by keep_one.
 """
 
 from __future__ import annotations
@@ -34,12 +37,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, table
+from .common import bounded_batches, fresh, materialize, new_folder, scratch, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 M = BANDS * ROWS
-SLACK = 64.0
 MAX_BROADCAST = 500_000
 MEMO = 200_000
 WORD = re.compile(r"[^\x00-/:-`{-\x7f]+")
@@ -117,13 +119,24 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def distinct(shingles: np.ndarray) -> np.ndarray:
+    """A multiset as a sorted set: the second, third, ... of equal shingles get hashes of their own."""
+    s = np.sort(shingles)
+    if len(s) > 1 and (again := s[1:] == s[:-1]).any():
+        first = np.flatnonzero(np.concatenate([[True], ~again]))
+        nth = np.arange(len(s)) - np.repeat(first, np.diff(np.append(first, len(s))))
+        s = np.sort(np.where(nth > 0, _mix(s + nth.astype(U) * _MUL[3]), s))
+    return s
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard likeness of two sorted arrays with repeats."""
-    x, n = np.unique(a, return_counts=True)
-    y, m = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    both = int(np.minimum(n[i], m[j]).sum())
-    return both / max(1, len(a) + len(b) - both)
+    """Likeness of two sorted sets."""
+    if not len(a) or not len(b):
+        return 0.0
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int((b[at] == a).sum())
+    return both / (len(a) + len(b) - both)
 
 
 def _text_hashes(text: Column) -> tuple[Column, Column]:
@@ -149,13 +162,20 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for b in batches:
-        out = [np.sort(shingler(t).astype(np.uint32)).tobytes() for t in b["text"].to_pylist()]
-        yield pa.record_batch([b["node"], pa.array(out, pa.binary())], names=["node", "shingles"])
+        sets = [distinct(shingler(t)) for t in b["text"].to_pylist()]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+        every = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, U), *sets]).view(np.int64))
+        yield pa.record_batch([b["node"], every], names=["node", "shingles"])
+
+
+def _sets(column: pa.ListArray) -> list[np.ndarray]:
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy().view(U)
+    return [values[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 
 
 def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [overlap(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True)]
+        found = list(map(overlap, _sets(b["x"]), _sets(b["y"])))
         yield pa.record_batch([b["a"], b["b"], pa.array(found, pa.float64())], names=["a", "b", "likeness"])
 
 
@@ -168,29 +188,31 @@ class Texts:
     """The distinct texts (nodes) of a table, their bands, and the rows' links to them."""
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str) -> None:
+        bounded_batches(docs.sparkSession)
         self.keyed = _keyed(docs, doc_id, text)
         self.rows = materialize(self.keyed.mapInArrow(_bands, "doc_id long, h1 long, h2 long, bands array<long>"), "bands")
-        named = self.rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
-        self.nodes = materialize(named.select(F.coalesce("least", "h1").alias("node"), "h1", "h2", "bands"), "nodes")
-
-    def members(self) -> DataFrame:
-        """(bucket, node) of the buckets that several nodes share."""
-        each = self.nodes.select("node", F.explode("bands").alias("bucket"))
-        shared = each.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        return materialize(each.join(shared, "bucket").select("bucket", "node", "n"), "members")
+        named = materialize(self.rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "texts")
+        # a node is named by the first hash; of texts that share it, all but one by the second
+        clash = materialize(named.groupBy("h1").agg(F.min("h2").alias("_own"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "clash")
+        node = F.when(F.col("_own").isNull() | (F.col("_own") == F.col("h2")), F.col("h1")).otherwise(F.col("h2"))
+        self.nodes = named.join(_small(clash), "h1", "left").select(node.alias("node"), "h1", "h2", "least", "bands")
+
+    def stars(self) -> DataFrame:
+        """(node, lead): every node with the lead of each bucket that it shares with others."""
+        members = self.nodes.select(F.explode("bands").alias("bucket"), "node")
+        leads = members.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        return members.join(leads, "bucket").filter("node <> lead").select("node", "lead").distinct()
 
     def shingles(self, nodes: DataFrame) -> DataFrame:
-        """(node, shingles) of the given nodes, from the texts that bear their ids."""
-        wanted = nodes.join(self.nodes.select("node", "h1", "h2"), "node")
-        own = self.keyed.withColumn("node", F.coalesce("doc_id", "h1"))
-        texts = own.join(_small(materialize(wanted, "wanted")), ["node", "h1", "h2"]).select("node", "text")
-        return materialize(texts.mapInArrow(_shingles, "node long, shingles binary"), "shingles")
+        """(node, shingles) of the given nodes, from one row that has the text."""
+        wanted = materialize(nodes.join(self.nodes.select("node", "h1", "h2", F.col("least").alias("_least")), "node"), "wanted")
+        same = F.col("doc_id").eqNullSafe(F.col("_least"))
+        texts = self.keyed.join(_small(wanted), ["h1", "h2"]).filter(same).select("node", "text")
+        return materialize(texts.mapInArrow(_shingles, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
 
 
-def _verified(texts: Texts, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose multisets are alike enough."""
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    known = texts.shingles(ids)
+def _alike(known: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are alike enough; known: (node, shingles)."""
     both = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_likeness, "a long, b long, likeness double").filter(F.col("likeness") >= similarity).select("a", "b")
 
@@ -198,7 +220,6 @@ def _verified(texts: Texts, pairs: DataFrame, similarity: float) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the nodes of edges (a, b): label is the least node of the component."""
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    before = None
     while True:
         ends = now.union(now.select("v", "u"))
         least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -206,71 +227,65 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         now = materialize(star, "edges")
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == before:
+        ends = now.select(F.col("u").alias("k"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(now.select("v", F.lit(0), F.lit(1)))
+        per = ends.groupBy("k").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        if not per.filter("below > 1 OR below + above > 1").limit(1).count():  # each node below one root
             break
-        before = mark
     stars = now.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
     return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _star_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each member with the most popular node of its bucket, if their labels differ."""
-    lead = members.groupBy("bucket").agg(F.max(F.struct("fame", "node", "label")).alias("lead"))
-    lead = materialize(lead.select("bucket", F.col("lead.node").alias("lead"), F.col("lead.label").alias("lead_label")), "leads")
-    met = members.join(lead, "bucket").filter("node <> lead AND label <> lead_label")
-    pairs = met.select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
-    return pairs, lead.select("bucket", F.col("lead").alias("node"))
-
-
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, slack: float = SLACK) -> tuple[DataFrame, Texts]:
-    """A row per document: doc_id, class_id (the least id of its class), h1, h2 (hashes of its text)."""
-    texts = Texts(docs, doc_id, text)
-    members = texts.members()
-    fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
-    members = materialize(members.select("bucket", "node").join(fame, "node"), "members")
-    count = fame.count()
-    labels, links, done, used = None, None, None, None
-    while count:
-        with_label = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if labels is not None:
-            with_label = with_label.join(used, ["bucket", "node"], "left_anti")  # a node that has led its bucket has met all of it
-            sizes = with_label.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("k"), ((F.sum("n") ** 2 - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-            open_ = materialize(sizes.filter("k > 1"), "open")
-            left = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
-            if not left:
-                break
-            with_label = materialize(with_label.join(open_.select("bucket"), "bucket"), "members")
-        if labels is None or left > slack * count:
-            pairs, leads = _star_pairs(with_label)
-            used = leads if used is None else materialize(used.union(leads), "used")
-            last = False
-        else:
-            other = with_label.select("bucket", F.col("node").alias("b"), F.col("label").alias("other"))
-            pairs = with_label.join(other, "bucket").filter("node > b AND label <> other").select(F.col("node").alias("a"), "b").distinct()
-            last = True
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        found = materialize(_verified(texts, pairs, similarity), "links")
-        done = pairs if done is None else done.union(pairs)
-        links = found if links is None else links.union(found)
-        labels = materialize(components(links), "labels")
-        if last:
-            break
-    named = texts.nodes.select("node", "h1", "h2")
-    if labels is not None:
-        named = named.join(labels, "node", "left").select(F.coalesce("label", "node").alias("class_id"), "h1", "h2")
-    else:
-        named = named.withColumnRenamed("node", "class_id")
-    return texts.rows.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]), texts
+def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different labels that may be alike, of sets (node, label, shingles); no pair that is alike is missing."""
+    entries = materialize(sets.select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "entries")
+    shared = entries.groupBy("shingle").agg(F.count("*").alias("f")).filter("f > 1")
+    ordered = entries.join(shared, "shingle").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("s"))
+    alone = F.col("n") - F.size("s")  # shingles that no other text has come first
+    need = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1
+    first = ordered.select("node", "label", "n", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), F.greatest(need - alone, F.lit(0)).cast("int"))).alias("k", "s"))
+    first = materialize(first.select(F.col("s.shingle").alias("shingle"), "node", "label", "n", (F.col("alone") + F.col("k")).alias("place")), "prefixes")
+    sizes = first.groupBy("shingle", "label").agg(F.count("*").alias("size")).groupBy("shingle").agg(F.count("*").alias("labels"), F.max(F.struct("size", "label")).alias("most"))
+    mixed = materialize(first.join(sizes.filter("labels > 1").select("shingle", F.col("most.label").alias("most")), "shingle"), "mixed")
+    few = mixed.filter("label <> most").select("shingle", *(F.col(c).alias(f"_{c}") for c in ("node", "label", "n", "place")))
+    least = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("_n")) - 1e-9  # what alike sets share
+    fits = (F.least("n", "_n") >= similarity * F.greatest("n", "_n") - 1e-9) & (F.least(F.col("n") - F.col("place"), F.col("_n") - F.col("_place")) >= least)
+    met = few.join(mixed.drop("most"), "shingle").filter((F.col("label") != F.col("_label")) & fits)
+    return met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+
+
+def _labels(texts: Texts, similarity: float) -> DataFrame:
+    """(node, label) of the nodes that have links; label is the least node of the class."""
+    stars = materialize(texts.stars(), "stars")
+    known = texts.shingles(stars.select("node").union(stars.select("lead")).distinct())
+    links = materialize(_alike(known, stars.select(F.col("node").alias("a"), F.col("lead").alias("b")), similarity), "links")
+    labels = materialize(components(links), "labels")
+    named = stars.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = named.groupBy("lead").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one <> other").select("lead")
+    left = named.join(mixed, "lead").select("node", "label").distinct()
+    pairs = prefix_pairs(left.join(known, "node"), similarity)
+    more = materialize(_alike(known, materialize(pairs, "pairs"), similarity), "links")
+    return materialize(components(links.union(more)), "labels") if more.limit(1).count() else labels
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """A row per document: doc_id, class_id (the least id of its class), label (one of each class), h1, h2 (hashes of its text)."""
+    path = new_folder(docs.sparkSession, "classes")
+    with scratch(docs.sparkSession, "classes"):
+        texts = Texts(docs, doc_id, text)
+        labels = _labels(texts, similarity)
+        light = texts.nodes.select("node", "h1", "h2", "least")
+        least = labels.join(light, "node").groupBy("label").agg(F.min("least").alias("_least"))
+        named = light.join(labels.join(least, "label"), "node", "left")
+        named = named.select("h1", "h2", F.coalesce("_least", "label", "least", "h1").alias("class_id"), F.coalesce("label", "node").alias("label"))
+        texts.rows.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).write.parquet(path)
+    return docs.sparkSession.read.schema("h1 long, h2 long, doc_id long, class_id long, label long").parquet(path)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each class: the one with the least id; all its columns."""
-    found, _ = classes(docs, doc_id, text, similarity)
+    found = classes(docs, doc_id, text, similarity)
     k, one, two, n = fresh(docs, "_k", "_h1", "_h2", "_n")
-    ids = materialize(found.select(F.coalesce("doc_id", "h1").alias(k), F.col("h1").alias(one), F.col("h2").alias(two), "class_id").groupBy(k, one, two).agg(F.min("class_id").alias("c"), F.count("*").alias(n)), "kept")
+    ids = materialize(found.select(F.coalesce("doc_id", "h1").alias(k), F.col("h1").alias(one), F.col("h2").alias(two), "label").groupBy(k, one, two).agg(F.min("label").alias("c"), F.count("*").alias(n)), "kept")
     first = ids.groupBy("c").agg(F.min(F.struct(k, one, two)).alias("f")).select(F.col(f"f.{k}").alias(k), F.col(f"f.{one}").alias(one), F.col(f"f.{two}").alias(two))
     gone = materialize(ids.join(first, [k, one, two], "left_anti").select(k, one, two), "gone")
     h1, h2 = _text_hashes(F.coalesce(F.col(text), F.lit("")))
@@ -285,5 +300,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simila
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    found, _ = classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id")

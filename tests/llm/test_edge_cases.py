@@ -80,7 +80,7 @@ def test_language(spark):
 
 
 def test_near_duplicates(spark):
-    found, _ = neardup.classes(docs(spark))
+    found = neardup.classes(docs(spark))
     of = {(r["doc_id"], r["h1"]): r["class_id"] for r in found.collect()}
     assert found.count() == len(ROWS)
     label = {d: c for (d, _), c in of.items()}

@@ -239,14 +239,41 @@ def _copies(n: int) -> dict[int, str]:
     return texts
 
 
-@pytest.mark.parametrize(("slack", "copies", "rest"), [(64.0, 25, True), (0.0, 5, False)])
-def test_near_duplicates_against_all_pairs(spark, documents, slack, copies, rest):
+@pytest.mark.parametrize(("copies", "rest"), [(25, True), (400, False)])
+def test_near_duplicates_against_all_pairs(spark, documents, copies, rest):
     texts = _copies(copies) | (dict(zip(documents.doc_id, documents.text, strict=True)) if rest else {})
     df = spark.createDataFrame([(int(k), v) for k, v in texts.items()], "doc_id long, text string")
-    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(df, slack=slack)[0].collect()}
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()}
     assert got == _classes(texts)
 
 
+def test_likeness_of_multisets():
+    rng = np.random.default_rng(3)
+    for _ in range(500):
+        a, b = (rng.integers(0, 40, rng.integers(0, 60)).astype(np.uint64) for _ in "ab")
+        m, n = collections.Counter(a.tolist()), collections.Counter(b.tolist())
+        want = sum((m & n).values()) / max(1, sum((m | n).values()))
+        assert neardup.overlap(neardup.distinct(a), neardup.distinct(b)) == pytest.approx(want)
+
+
+def test_prefix_pairs_miss_none(spark):
+    """Random sets around a few centres, of which many are alike, against all pairs."""
+    rng, sets = np.random.default_rng(5), {}
+    for i in range(300):
+        centre, size = rng.integers(0, 4), rng.integers(20, 60)
+        sets[i] = {int(x) for x in range(centre * 1000, centre * 1000 + size)} - {int(x) for x in centre * 1000 + rng.integers(0, 60, 5)} | {int(x) for x in rng.integers(0, 10**6, rng.integers(0, 12))} | {7}
+    label = {i: i if rng.random() < 0.5 else i % 4 for i in sets}
+    df = spark.createDataFrame([(i, int(label[i]), sorted(s)) for i, s in sets.items()], "node long, label long, shingles array<long>")
+    got = {tuple(r) for r in neardup.prefix_pairs(df, 0.8).collect()}
+    alike = {(i, j) for i in sets for j in sets if i < j and label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9}
+    assert alike and alike <= got and len(got) < 20 * len(alike)
+
+
+def test_unlike_texts_of_one_id_stay(spark, documents):
+    df = spark.createDataFrame([(7, documents.text[0]), (7, "another text of the same id that is not alike at all"), (8, documents.text[0])], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in neardup.keep_one(df).collect()) == [7, 7]
+
+
 def test_fingerprints_estimate_likeness(spark, documents):
     got = fingerprint.op8_fingerprint(spark, SF).toPandas().set_index("doc_id")
     order = documents.sort_values("doc_id", ascending=False)
