@@ -198,10 +198,14 @@ class Texts:
         self.nodes = named.join(_small(clash), "h1", "left").select(node.alias("node"), "h1", "h2", "least", "bands")
 
     def stars(self) -> DataFrame:
-        """(node, lead): every node with the lead of each bucket that it shares with others."""
+        """(node, lead): every node with the lead of each bucket that it shares with others: of the bucket's texts the
+        one that meets most others in its buckets, as the middle of a group does."""
         members = self.nodes.select(F.explode("bands").alias("bucket"), "node")
-        leads = members.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        return members.join(leads, "bucket").filter("node <> lead").select("node", "lead").distinct()
+        several = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        shared = materialize(members.join(several, "bucket").select("bucket", "node", "n"), "members")
+        known = shared.drop("n").join(shared.groupBy("node").agg(F.sum("n").alias("fame")), "node")
+        leads = known.groupBy("bucket").agg(F.max(F.struct("fame", "node"))["node"].alias("lead"))
+        return shared.join(leads, "bucket").filter("node <> lead").select("node", "lead").distinct()
 
     def shingles(self, nodes: DataFrame) -> DataFrame:
         """(node, shingles) of the given nodes, from one row that has the text."""
