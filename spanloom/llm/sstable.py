@@ -14,13 +14,17 @@ the filter, a binary search of the sparse index and one block.
 
 Encoding: a byte-level BPE splits a text into pieces before it merges, and no piece joins a non-space to a space
 that follows. So a text is cut before spaces and at line ends, the tokenizers library encodes each distinct cut, and
-the ids are put together; cuts met before come from a bounded table. Where white space is anything but single
-spaces and line ends between words, the cuts are whole runs of white space with the word that follows. The ids equal
-those of the whole text (tested).
+the ids are put together; cuts met lately come from a bounded table. A cut of letters with ASCII marks behind them is
+two pieces, which go straight to the library's model. Where white space is anything but single spaces and line ends
+between words, the cuts are whole runs of white space with the word that follows. The ids equal those of the whole
+text (tested). A text that holds the string of an added token, such as ``<|endoftext|>``, is encoded whole, as the
+library does it: by default to that token's id; with ``plain`` it is ordinary text.
 
 Writing: documents are encoded where they are read, dealt to shards by ranges of the key, sorted and written by
-one task each, under a temporary name that is then renamed; a repeated task writes the same bytes again. Memory
-holds a block, the index and the filter of one shard.
+one task each, under a temporary name that is then renamed; a repeated task writes the same bytes again. There are as
+many shards as shuffle partitions, and more where a shard would hold over SHARD bytes of text; an id that fills
+several shards is dealt to them by a hash of its documents' ids. Memory holds a block, the index, the filter and 8
+bytes a key of one shard.
 
 Defined results: a null text is empty (only the end id); repeated ids are separate entries; an empty table has no
 shards; extra columns are not stored.
@@ -34,6 +38,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,46 +50,83 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, table
+from .common import bounded_batches, new_folder, table
 
 BLOCK = 64 * 1024
 BITS_PER_KEY, HASHES = 10, 7
 MAGIC = b"SLMSST01"
 FOOTER = struct.Struct("<QQQQQQIII8s")
 END_ID = 0
-MEMO = 300_000
+MEMO = 200_000
+SHARD = 512 * 1024 * 1024
 MANIFEST = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("entries", pa.int64()), ("ids", pa.int64())])
 LINE = re.compile(r" ?[^\s\x1c-\x1f\x85\u180e]+")
 RUNS = re.compile(r"\s*\S+|\s+")
+MARKED = re.compile(r"( ?)([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+#: How a byte-level model writes bytes: printable ones as they are, the others as further characters.
+BYTES = {b: chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b != 173}
+BYTES |= {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in BYTES)}
 
 
 @lru_cache(1)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, plain: bool = False) -> Encoder:
+    return Encoder(path, plain)
+
+
+class Memo:
+    """A table of the ids of some MEMO cuts met lately: of two generations, the older goes when the newer is full."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def unknown(self, cuts: set[str]) -> list[str]:
+        """Those of the cuts that are in neither; the others are now in the newer."""
+        if len(self.new) > MEMO:
+            self.old, self.new = self.new, {}
+        missing = cuts.difference(self.new)
+        known = missing.intersection(self.old)
+        self.new.update((c, self.old[c]) for c in known)
+        return list(missing.difference(known))
 
 
 class Encoder:
-    """Ids of whole texts as bytes; remembers up to MEMO cuts."""
+    """Ids of whole texts as bytes."""
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, plain: bool = False) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain
+        self.added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        #: ids of cuts as they stand, and of cuts behind a space
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.model = self.tokenizer.model if isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None else None
+        self.plain, self.spaced, self.pieces = Memo(), Memo(), Memo()  # cuts as they stand, cuts behind a space, pieces
         alone = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = np.array(alone, self.kind).tobytes()
         self.mark = alone[0] if len(alone) == 1 else None
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of letters (a space may precede them) or of marks: one piece, so the model's own."""
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTES))]
+        return np.array(ids, self.kind).tobytes()
+
     def _encode(self, cuts: list[str]) -> list[bytes]:
         """Ids of each cut. Cuts that neither hold nor end in white space are encoded many at a time, a line each."""
         out: dict[str, bytes] = {}
-        lines, odd = [], []
+        lines, odd, marked = [], [], []
         for c in cuts:
-            (lines if self.mark is not None and LINE.fullmatch(c) else odd).append(c)
+            m = MARKED.fullmatch(c) if self.model else None
+            if m and m[2].isalpha():
+                marked.append((c, m[1] + m[2], m[3]))
+            else:
+                (lines if self.mark is not None and LINE.fullmatch(c) else odd).append(c)
+        parts = {x for _, *two in marked for x in two if x}
+        for x in self.pieces.unknown(parts):
+            self.pieces.new[x] = self._piece(x)
+        of = self.pieces.new
+        for c, letters, marks in marked:
+            out[c] = of[letters] + of[marks] if marks else of[letters]
         size = self.kind.itemsize
         groups = [lines[i : i + 512] for i in range(0, len(lines), 512)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
@@ -98,23 +140,19 @@ class Encoder:
             out[c] = np.array(e.ids, self.kind).tobytes()
         return [out[c] for c in cuts]
 
-    def _learn(self, plain: set[str], spaced: set[str]) -> bool:
-        """False if the table had to be emptied first."""
-        plain, spaced = plain.difference(self.plain), spaced.difference(self.spaced)
-        if len(self.plain) + len(self.spaced) + len(plain) + len(spaced) > MEMO:
-            self.plain.clear()
-            self.spaced.clear()
-            return False
-        new = [*plain, *(" " + x for x in spaced)]
-        ids = self._encode(new) if new else []
-        self.plain.update(zip(plain, ids, strict=False))
-        self.spaced.update(zip(spaced, ids[len(plain) :], strict=True))
-        return True
+    def _learn(self, plain: set[str], spaced: set[str]) -> None:
+        one, two = self.plain.unknown(plain), self.spaced.unknown(spaced)
+        if one or two:
+            ids = self._encode([*one, *(" " + x for x in two)])
+            self.plain.new.update(zip(one, ids, strict=False))
+            self.spaced.new.update(zip(two, ids[len(one) :], strict=True))
 
     def _some(self, texts: list[str], tail: bytes) -> list[bytes]:
         plain, spaced, cut = set(), set(), []
         for t in texts:
-            if not t or t.replace("\n", " ") != " ".join(t.split()):  # other than single spaces and line ends between words
+            if any(x in t for x in self.added):
+                cut.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes())
+            elif not t or t.replace("\n", " ") != " ".join(t.split()):  # other than single spaces and line ends between words
                 runs = RUNS.findall(t)
                 plain.update(runs)
                 cut.append(runs)
@@ -124,11 +162,12 @@ class Encoder:
                     plain.add(first)
                     spaced.update(rest)
                 cut.append(lines)
-        if not self._learn(plain, spaced):
-            self._learn(plain, spaced)
-        one, two, out = self.plain.__getitem__, self.spaced.__getitem__, []
+        self._learn(plain, spaced)
+        one, two, out = self.plain.new.__getitem__, self.spaced.new.__getitem__, []
         for c in cut:
-            if c and isinstance(c[0], str):
+            if isinstance(c, bytes):
+                out.append(c + tail)
+            elif c and isinstance(c[0], str):
                 out.append(b"".join(map(one, c)) + tail)
             else:
                 out.append(self.line.join(one(x[0]) + b"".join(map(two, x[1:])) for x in c) + tail)
@@ -169,8 +208,12 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
+def _bloom_hashes(key: bytes) -> tuple[int, int]:
+    return zlib.crc32(key), zlib.crc32(key, 0x9E3779B9) | 1
+
+
 def _bloom_places(key: bytes, bits: int, hashes: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x9E3779B9) | 1
+    a, b = _bloom_hashes(key)
     return [(a + i * b) % bits for i in range(hashes)]
 
 
@@ -179,12 +222,17 @@ class Writer:
 
     def __init__(self, out, width: int, block: int = BLOCK) -> None:
         self.out, self.width, self.most = out, width, block
-        self.at, self.block, self.last, self.keys, self.index = 0, bytearray(), b"", [], []
+        self.at, self.block, self.last, self.index = 0, bytearray(), None, []
+        self.one, self.two = array("I"), array("I")  # the distinct keys' hashes, for the filter
         self.entries = self.ids = 0
 
     def add(self, key: bytes, value: bytes) -> None:
-        if self.keys and key < self.keys[-1]:
+        if self.last is not None and key < self.last:
             raise ValueError("keys must ascend")
+        if key != self.last:
+            a, b = _bloom_hashes(key)
+            self.one.append(a)
+            self.two.append(b)
         shared = 0
         if self.block:
             top = min(len(key), len(self.last))
@@ -192,7 +240,6 @@ class Writer:
                 shared += 1
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.last = key
-        self.keys.append(key)
         self.entries += 1
         self.ids += len(value) // self.width
         if len(self.block) >= self.most:
@@ -208,11 +255,12 @@ class Writer:
     def finish(self) -> None:
         self._flush()
         index = b"".join(_varint(len(k)) + k + _varint(o) + _varint(n) for k, o, n in self.index)
-        bits = max(64, BITS_PER_KEY * len(self.keys))
-        bloom = bytearray((bits + 7) // 8)
-        for k in set(self.keys):
-            for p in _bloom_places(k, bits, HASHES):
-                bloom[p >> 3] |= 1 << (p & 7)
+        bits = max(64, BITS_PER_KEY * len(self.one))
+        held = np.zeros((bits + 7) // 8 * 8, np.uint8)
+        one, two = np.array(self.one, np.uint64), np.array(self.two, np.uint64)
+        for i in range(HASHES):
+            held[((one + np.uint64(i) * two) % np.uint64(bits)).astype(np.int64)] = 1
+        bloom = np.packbits(held, bitorder="little").tobytes()
         self.out.write(index)
         self.out.write(bloom)
         self.out.write(FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), self.entries, self.ids, bits, HASHES, self.width, MAGIC))
@@ -291,23 +339,30 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, shards: int | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, shards: int | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, plain: bool = False) -> DataFrame:
     """Encodes docs and writes the shards into folder (a path that all executors reach). Returns the manifest, a
     row a shard: shard, path, entries, ids, start (ids of all shards before). Ranges of doc_id come from its
     quantiles."""
     spark, vocabulary = docs.sparkSession, tokenizer or default_tokenizer()
-    n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounded_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    cuts = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    bounds = np.array(sorted(set(cuts)), "int64")
+    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        n = max(n, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD))
+    seen = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000), F.count("*"), F.count("doc_id")).first()
+    cuts = np.array(seen[0] or [], "int64")  # an id that stands here k times fills k shards
+    nulls = -(-(seen[1] - seen[2]) * n // max(1, seen[1]))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary)
+        encoder = _encoder(vocabulary, plain)
         for b in batches:
-            null = np.asarray(b["doc_id"].is_null())
-            shard = np.where(null, 0, np.searchsorted(bounds, np.asarray(b["doc_id"].fill_null(0)), side="left"))
             ids = encoder([t or "" for t in b["text"].to_pylist()], end_id)
-            yield pa.record_batch([pa.array(shard, pa.int32()), b["doc_id"], pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
+            null, key = np.asarray(b["doc_id"].is_null()), np.asarray(b["doc_id"].fill_null(0))
+            low = np.where(null, 0, nulls + np.searchsorted(cuts, key, side="left"))
+            wide = np.maximum(np.where(null, nulls, np.searchsorted(cuts, key, side="right") - np.searchsorted(cuts, key, side="left")), 1)
+            for i in np.flatnonzero(wide > 1):
+                low[i] += zlib.crc32(ids[i]) % int(wide[i])
+            yield pa.record_batch([pa.array(low, pa.int32()), b["doc_id"], pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
 
     width = np.dtype("<u2" if _vocabulary_size(vocabulary) <= 1 << 16 else "<u4").itemsize
 
@@ -338,7 +393,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, sha
         yield pa.RecordBatch.from_pylist([dict(zip(MANIFEST.names, m, strict=True)) for m in made], schema=MANIFEST)
 
     encoded = rows.mapInArrow(encode, "shard int, doc_id long, ids binary")
-    dealt = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
+    dealt = encoded.repartitionById(int(nulls) + len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
     listing = new_folder(spark, "manifest")
     dealt.mapInArrow(write, "shard int, path string, entries long, ids long").write.parquet(listing)
     made = sorted(spark.read.schema("shard int, path string, entries long, ids long").parquet(listing).collect())  # a row a shard

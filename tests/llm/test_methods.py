@@ -5,12 +5,15 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import fingerprint, htmltext, langid, licenses, mixing, neardup, secret_scan, sstable, wordpiece
+from spanloom.llm.common import new_folder
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,9 +26,7 @@ def documents(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(sstable.default_tokenizer())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(sstable.default_tokenizer())
 
 
 def test_token_shards_equal_whole_text_encoding(spark, documents):
@@ -40,10 +41,30 @@ def test_token_shards_equal_whole_text_encoding(spark, documents):
 def test_cut_encoding_equals_whole_text_encoding():
     rng, encoder, whole = random.Random(5), sstable.Encoder(sstable.default_tokenizer()), tokenizer()
     alphabet = ["a", "B", " ", " ", "  ", "\n", "\t", " ", " ", "'s", "12", "!", "é", "漢", "<|endoftext|>", "\r\n", "\U0001f600"]
-    for _ in range(2000):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14)))
-        ids = np.frombuffer(encoder([text])[0], encoder.kind)
-        assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0], repr(text)
+    alphabet += ["word", "naïve", "Ⅷ", "x½", "_", "don't", "(a)", "«b»", "end.", "x...", "\x1c", "\u3000", "e\u0301", "ß!", "-", "'ll"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(6000)]
+    for text, ids in zip(texts, encoder(texts), strict=True):
+        assert np.frombuffer(ids, encoder.kind).tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0], repr(text)
+    assert np.frombuffer(encoder(["a <|endoftext|> b"])[0], encoder.kind).tolist() == [64, 220, 50256, 275, 0]
+    assert 50256 not in np.frombuffer(sstable.Encoder(sstable.default_tokenizer(), plain=True)(["a <|endoftext|> b"])[0], encoder.kind)
+
+
+def test_old_cuts_leave_the_table(monkeypatch):
+    monkeypatch.setattr(sstable, "MEMO", 50)
+    rng, encoder, whole = random.Random(6), sstable.Encoder(sstable.default_tokenizer()), tokenizer()
+    texts = [" ".join(rng.choice("abcd") * rng.randint(1, 40) + rng.choice(["", ".", ","]) for _ in range(30)) for _ in range(400)]
+    for text, ids in zip(texts, encoder(texts), strict=True):
+        assert np.frombuffer(ids, encoder.kind).tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_a_hot_id_fills_several_shards(spark):
+    rows = [(None, f"no id {i}") for i in range(60)] + [(5, f"five {i}") for i in range(120)] + [(i, f"own {i}") for i in range(6, 66)] + [(1, None)]
+    made = sstable.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), new_folder(spark, "tokens"), shards=8)
+    assert max(r["entries"] for r in made.collect()) <= 60
+    back = sorted(sstable.read_documents(spark, made).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in back] == [None] * 60 + [1] + [5] * 120 + list(range(6, 66))
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(back, back[1:], strict=False))
+    assert len(sstable.look_up(made, [5]).collect()) == 120
 
 
 def test_shard_file_round_trip():
@@ -128,6 +149,22 @@ def test_secret_spans(spark):
     assert "[secret]" in secret_scan.redact(docs).filter("doc_id = 0").first()["text"]
 
 
+def test_running_sums(spark):
+    rows = [(i, [(i * 7 + k) % 13 for k in range(n)]) for i, n in enumerate([0, 1, 2, 255, 256, 257, 512, 1000])]
+    df = spark.createDataFrame(rows, "i long, a array<int>").select("i", "a", secret_scan.running(F.col("a")).alias("r"))
+    assert all(r["r"] == [sum(r["a"][:k]) for k in range(len(r["a"]))] for r in df.collect())
+
+
+def test_secrets_of_long_texts(spark):
+    """A text of 400,000 matches, and a long run that nearly is a key header, take seconds."""
+    tokens = " ".join(f"{i:024x}" for i in range(400_000))
+    docs = spark.createDataFrame([(1, tokens), (2, "-----BEGIN " + "AB " * 300_000), (3, "-----BEGIN RSA PRIVATE KEY-----")], "doc_id long, text string")
+    began = time.time()
+    n = {r["doc_id"]: (r["n"], r["last"]) for r in secret_scan.scan(docs).select("doc_id", F.size("spans").alias("n"), F.get("spans", F.size("spans") - 1).alias("last")).collect()}
+    assert n[1][0] == 400_000 and n[1][1]["end"] == len(tokens) and n[2][0] == 0 and n[3][0] == 1 and n[3][1]["kind"] == "pem"
+    assert time.time() - began < 60
+
+
 def test_language_held_out(spark):
     found = langid.op4_language(spark, "/root/testdata/sf0.01").toPandas()
     lang = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").toPandas()
@@ -136,6 +173,63 @@ def test_language_held_out(spark):
     assert all(h == (zlib.crc32(str(d).encode()) % 5 == 0) for d, h in zip(found.doc_id, found.held_out, strict=True))
 
 
+def test_language_sizes_against_a_plain_loop():
+    import zstandard
+
+    rng = random.Random(2)
+    contents = {k: " ".join("".join(rng.choice(a) for _ in range(rng.randint(2, 7))) for _ in range(4000)).encode() for k, a in (("aa", "abcde"), ("bb", "cdefg"))}
+    known = langid.Classifier(contents)
+    for text in ["", "½ ² Ⅷ", "①②", "12 !", "x", *(" ".join("".join(rng.choice(a) for _ in range(4)) for _ in range(n)) for a in ("abcde", "cdefg", "cde") for n in (2, 30, 400, 3000))]:
+        data, sizes = langid.fold(text).encode(), {}
+        for name, content in contents.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            level = langid.SHORT_LEVEL if len(data) <= langid.SHORT else langid.LEVEL
+            d.precompute_compress(level=level)
+            size = lambda x, d=d, level=level: len(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(x))
+            carrier = content[: langid.CARRIER] + b" "
+            sizes[name] = max(1, size(carrier + data) - size(carrier)) if len(data) <= langid.SHORT else sum(size(data[i : i + langid.PIECE]) for i in range(0, len(data), langid.PIECE))
+        want = min(sizes, key=lambda k: (sizes[k], k)) if any(map(str.isalpha, text)) else "und"
+        lang, margin = known(text)
+        assert lang == want, text
+        if want != "und":
+            least, second = sorted(sizes.values())
+            assert margin == pytest.approx((second - least) / second)
+    same = langid.Classifier(dict.fromkeys(("aa", "bb"), contents["aa"]))
+    assert same("abcde abcde") == ("aa", 0.0)
+
+
+def test_blocks_of_broken_and_long_pages():
+    """Cost grows with the page: unclosed tags, tags never ended, and depth."""
+    began = time.time()
+    assert len(htmltext.blocks("<div>x" * 200_000)) == 200_000
+    assert htmltext.blocks("<a " * 200_000)[0].text.startswith("<a <a")
+    assert len(htmltext.blocks("<a>x" * 100_000 + "</div>" * 100_000)) == 1
+    assert [b.text for b in htmltext.blocks("<!-- " * 100_000 + "--><p>y")] == ["y"]
+    assert time.time() - began < 30
+    deep = htmltext.blocks("<div id=comments>" + "<div>" * 50 + "<p>deep</p>" + "</div>" * 51 + "<p>after</p>")
+    named = htmltext._place(".comments")
+    assert named in deep[0].path.places() and named not in deep[1].path.places()
+    many = htmltext.blocks(f'<div class="{" ".join(f"u{chr(97 + i)}" for i in range(20))} comments"><p>x</p></div>')
+    assert named in many[0].path.places()
+
+
+def test_labels_against_a_plain_loop():
+    model, rng = htmltext.Labeller(3), np.random.default_rng(1)
+    pages = [rng.random((n, htmltext.INPUT)).astype(np.float32) * 2 for n in (1, 5, 17)]
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    for x, got in zip(pages, model.label(pages), strict=True):
+        states = []
+        for d, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            h, c, out = np.zeros(16), np.zeros(16), np.zeros((len(x), 16))
+            for t in order:
+                i, f, o, g = np.split(x[t] @ model.p[f"{d}W"] + model.p[f"{d}c"] + h @ model.p[f"{d}U"], 4)
+                c = sig(f) * c + sig(i) * np.tanh(g)
+                h = out[t] = sig(o) * np.tanh(c)
+            states.append(out)
+        z = np.concatenate(states, axis=1) @ model.p["V"] + x @ model.p["S"] + model.p["s"]
+        assert (got == (z[:, 0] > 0)).all()
+
+
 def test_labeller_gradient():
     rng, model = np.random.default_rng(0), htmltext.Labeller()
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
