@@ -2,7 +2,7 @@
 
 A page is a sequence of blocks: the text between tags that break a line. A bidirectional LSTM (numpy) reads for
 each block a vector of its hashed tag path (tags, ids and class names of the ancestors), of its hashed words and of
-a few measures (length, share of linked characters, ...), and labels it main text or not with the whole page as
+a few measures (length, share of linked characters, ...), of all its words, tags and ancestors, and labels it main text or not with the whole page as
 context. The main blocks, in page order, are the text.
 
 The model is trained here, on made pages (``make_page``) whose labels are known: articles in many layouts among
@@ -30,9 +30,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import bounded_batches, fresh, table
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*>)""", re.S)
+TAG = re.compile(r"""<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*>)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 NAME_PART = re.compile(r"[a-z]+", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -41,7 +41,7 @@ HIDDEN = frozenset("script style title template noscript svg textarea select obj
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 BREAKS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 
-WORDS, MEASURES, OTHERS, DEPTH = 64, 8, 32, 12
+WORDS, MEASURES, OTHERS = 64, 8, 32
 DIGIT = re.compile(r"\d")
 
 
@@ -72,7 +72,7 @@ INPUT = PATH + WORDS + MEASURES
 class Block:
     __slots__ = ("linked", "path", "text")
 
-    def __init__(self, text: str, path: tuple, linked: int) -> None:
+    def __init__(self, text: str, path: Path, linked: int) -> None:
         self.text, self.path, self.linked = text, path, linked
 
 
@@ -81,45 +81,78 @@ def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
     for m in ATTRIBUTE.finditer(attributes) if "=" in attributes else ():
         for name in (m[1] or m[2] or m[3] or "").split():
             out += [f".{x.lower()}" for x in NAME_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", name))]
-    return tuple(out[:12])
+    return tuple(out)
+
+
+class Path:
+    """The tokens of a block's ancestors: places in the path vector of all of them and of the two innermost.
+
+    Each open tag has one, made from that of the tag outside it, so a block costs nothing for its depth."""
+
+    __slots__ = ("every", "inner", "last")
+
+    def __init__(self, outside: Path | None = None, tokens: tuple[str, ...] = ()) -> None:
+        new = frozenset(_place(t) for t in tokens)
+        self.last = new
+        self.every = outside.every if outside and new <= outside.every else (outside.every | new if outside else new)
+        self.inner = (outside.last if outside else frozenset()) | new
+
+    def places(self) -> list[int]:
+        return sorted(self.every | {len(KNOWN) + k for k in self.inner if k < len(KNOWN)})
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The page's blocks in order; path holds the ancestors' tokens, innermost last."""
+    """The page's blocks in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    #: Open tags: name, path of the innermost that breaks a line, and whether a link is open.
+    stack: list[tuple[str, Path, bool]] = []
+    breaking: list[int] = []  # the places in stack of those that break a line
+    where: dict[str, list[int]] = {}  # the places of each name
     parts: list[str] = []
     linked = at = 0
     page = page or ""
+    last, root = page.rfind(">"), Path()
 
     def end() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, tuple(t for _, t in stack if t[0] not in INLINE)[-DEPTH:], min(linked, len(text))))
+            out.append(Block(text, stack[-1][1] if stack else root, min(linked, len(text))))
         parts.clear()
         linked = 0
 
+    def shut(place: int) -> None:
+        """Closes all tags from place on."""
+        for name, _, _ in stack[place:]:
+            where[name].pop()
+        del stack[place:]
+        while breaking and breaking[-1] >= place:
+            breaking.pop()
+
     while at < len(page):
-        m = TAG.search(page, at)
+        m = TAG.search(page, at) if at <= last or "<!--" in page[max(at, last) :] else None
         raw = page[at : m.start() if m else len(page)]
         if raw:
             raw = html_.unescape(raw)
             parts.append(raw)
-            if any(t == "a" for t, _ in stack):
+            if stack and stack[-1][2]:
                 linked += len(raw.strip())
         if not m:
             break
         at = m.end()
+        if m[0] == "<!--":
+            close = page.find("-->", at)
+            at = close + 3 if close >= 0 else len(page)
+            continue
         tag = (m[2] or "").lower()
         if not tag:
             continue
         if m[1]:
             if tag not in INLINE:
                 end()
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if place >= 0 and (tag not in INLINE or all(t in INLINE for t, _ in stack[place:])):
-                del stack[place:]
+            place = where[tag][-1] if where.get(tag) else -1
+            if place >= 0 and (tag not in INLINE or not breaking or breaking[-1] < place):
+                shut(place)
             continue
         if tag in HIDDEN and not m[3].endswith("/>"):
             end()
@@ -130,12 +163,16 @@ def blocks(page: str | None) -> list[Block]:
             parts.append(" ")
         if tag not in INLINE:
             end()
-            for shut in (CLOSES.get(tag), {"p"} if tag in BREAKS_P else None):
-                place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), -1)
-                if shut and place >= 0 and stack[place][0] in shut:
-                    del stack[place:]
+            for ends in (CLOSES.get(tag), {"p"} if tag in BREAKS_P else None):
+                if ends and breaking and stack[breaking[-1]][0] in ends:
+                    shut(breaking[-1])
         if tag not in VOID and not m[3].endswith("/>"):
-            stack.append((tag, _tokens(tag, m[3])))
+            path, link = (stack[-1][1], stack[-1][2]) if stack else (root, False)
+            where.setdefault(tag, []).append(len(stack))
+            if tag not in INLINE:
+                breaking.append(len(stack))
+                path = Path(path, _tokens(tag, m[3]))
+            stack.append((tag, path, link or tag == "a"))
     end()
     return out
 
@@ -144,42 +181,36 @@ def _slot(token: str, size: int) -> int:
     return zlib.crc32(token.encode()) % size
 
 
-def _places(path: tuple) -> np.ndarray:
-    """Of any ancestor's tokens; the two innermost ancestors' once more."""
-    place = {t: i for i, t in enumerate(KNOWN)}
-    out = {place[t] if t in place else 2 * len(KNOWN) + _slot(t, OTHERS) for tokens in path for t in tokens}
-    out |= {len(KNOWN) + place[t] for tokens in path[-2:] for t in tokens if t in place}
-    return np.array(sorted(out), np.intp)
+PLACE = {t: i for i, t in enumerate(KNOWN)}
+
+
+def _place(token: str) -> int:
+    """Of a known token its own place; the others share OTHERS places behind the two sets of known ones."""
+    return PLACE[token] if token in PLACE else 2 * len(KNOWN) + _slot(token, OTHERS)
 
 
 class Features:
-    """INPUT numbers a block; remembers the slots of tokens."""
+    """INPUT numbers a block; remembers the slots of words."""
 
     def __init__(self) -> None:
-        self.path: dict[tuple, np.ndarray] = {}
         self.word: dict[str, int] = {}
 
     def __call__(self, page: list[Block]) -> np.ndarray:
         x = np.zeros((len(page), INPUT), np.float32)
+        path = places = None
         for n, b in enumerate(page):
-            slots = self.path.get(b.path)
-            if slots is None:
-                if len(self.path) > 50_000:
-                    self.path.clear()
-                slots = self.path[b.path] = _places(b.path)
-            x[n, slots] = 1
+            if b.path is not path:
+                path, places = b.path, b.path.places()
+            x[n, places] = 1
             words = b.text.lower().split()
-            for w in words[:40]:
-                k = self.word.get(w)
-                if k is None:
-                    if len(self.word) > 100_000:
-                        self.word.clear()
-                    k = self.word[w] = _slot(w.strip(".,;:!?()|"), WORDS)
-                x[n, PATH + k] += 1
+            if len(self.word) > 100_000:
+                self.word.clear()
+            for w in set(words).difference(self.word):
+                self.word[w] = _slot(w.strip(".,;:!?()|"), WORDS)
+            slots = np.fromiter(map(self.word.__getitem__, words), np.intp, len(words))
+            x[n, PATH : PATH + WORDS] = np.bincount(slots, minlength=WORDS) / len(words)
             size = len(b.text)
-            row = x[n, PATH + WORDS :]
-            x[n, PATH : PATH + WORDS] /= max(1, min(40, len(words)))
-            row[:] = (np.log1p(size) / 6, b.linked / size, min(1, len(words) / 50), min(1, b.text.count(",") / 5), b.text[-1] in ".!?", len(DIGIT.findall(b.text[:200])) / 20, n / len(page), b.text[0] in "©|»")
+            x[n, PATH + WORDS :] = (np.log1p(size) / 6, b.linked / size, min(1, len(words) / 50), min(1, b.text.count(",") / 5), b.text[-1] in ".!?", min(1.0, 10 * len(DIGIT.findall(b.text)) / size), n / len(page), b.text[0] in "©|»")
         return x
 
 
@@ -326,7 +357,9 @@ def make_page(rng: random.Random) -> tuple[str, list[bool]]:
 
     def names(kind: str) -> str:
         chosen = rng.choice((MAIN if kind == "main" else NAMES[kind]).split())
-        extra = rng.choice(["", "", "", " clearfix", " col-8", " inner", " row"])
+        extra = rng.choice(["", "", "", " clearfix", " col-8", " inner", " row", " " + " ".join(f"{word()}-{rng.randint(1, 12)}" for _ in range(rng.randint(3, 15)))])
+        if rng.random() < 0.1:  # utility classes before the telling one
+            chosen = f"{extra.strip()} {chosen}".strip()
         how = rng.random()
         return f' class="{chosen}{extra}"' if how < 0.6 else f' id="{chosen}"' if how < 0.85 else f' id="{chosen}-{rng.randint(1, 99)}" class="{word()} {chosen}"'
 
@@ -358,9 +391,11 @@ def make_page(rng: random.Random) -> tuple[str, list[bool]]:
         for _ in range(rng.randint(1, 6 if kind == "comments" else 3)):
             style = rng.random()
             if kind == "comments" and style < 0.7:
-                out.append(f'<div class="{rng.choice(["comment", "comment-body", "reply", word()])}">')
+                depth = rng.choice([1, 1, 1, 2, 3, 8, 16])
+                for _ in range(depth):
+                    out.append(f'<div class="{rng.choice(["comment", "comment-body", "reply", word()])}">')
                 text("p", prose(3, 60), False)
-                out.append("</div>")
+                out.append("</div>" * depth)
             elif style < 0.3:
                 text(rng.choice(["h2", "h3", "h4", "p"]), rng.choice(PHRASES), False)
             elif style < 0.8:
@@ -381,13 +416,14 @@ def make_page(rng: random.Random) -> tuple[str, list[bool]]:
         out.append(f"<{tag}{'' if bare else names('main')}>")
         depth = rng.random() < 0.25
         if depth:
-            out.append(f"<div{names('main') if rng.random() < 0.7 else ''}>")
+            layers = rng.choice([1, 1, 2, 6, 14])
+            out.append(f"<div{names('main') if rng.random() < 0.7 else ''}>" + "<div>" * (layers - 1))
         if rng.random() < 0.8:
             text(rng.choice(["h1", "h1", "h2"]), prose(2, 10).rstrip("."), True)
         for _ in range(rng.choice([1, 2, 3, 5, 8, 12, 20])):
             style = rng.random()
             if style < 0.72:
-                text("p", prose(1, rng.choice([4, 30, 90])), True)
+                text("p", prose(1, rng.choice([4, 30, 90, 300] if rng.random() < 0.3 else [4, 30, 90])), True)
             elif style < 0.78:
                 text(rng.choice(["h2", "h3"]), prose(1, 6).rstrip("."), True)
             elif style < 0.83:
@@ -410,7 +446,7 @@ def make_page(rng: random.Random) -> tuple[str, list[bool]]:
             else:
                 other(rng.choice(["advert", "share", "side", "notice", "form"]))
         if depth:
-            out.append("</div>")
+            out.append("</div>" * layers)
         if rng.random() < 0.15:
             other(rng.choice(["comments", "share", "side"]))
         out.append(f"</{tag}>")
@@ -454,6 +490,7 @@ def main_texts(pages: list[str | None], model: Labeller, features: Features) ->
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text", model: Labeller | None = None) -> DataFrame:
     """pages with ``out``: the main text of the whole html."""
+    bounded_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast((model or trained()).p)  # some 40,000 numbers
 
     @F.pandas_udf("string")

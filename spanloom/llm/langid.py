@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import bounded_batches, fresh, table
 
 SAMPLES, WINDOW, DICTIONARY = 1500, 400, 256 * 1024
 PIECE, LEVEL, SHORT, SHORT_LEVEL, CARRIER = 4096, 9, 600, 19, 1000
@@ -74,7 +74,7 @@ class Classifier:
     def __call__(self, text: str | None) -> tuple[str, float]:
         """The language and its margin."""
         folded = fold(text) if text else ""
-        if not folded or not self.langs:
+        if not self.langs or not any(map(str.isalpha, folded)):  # signs such as ½ are no letters
             return "und", 0.0
         data = folded.encode("utf-8", "replace")
         if len(data) <= SHORT:
@@ -88,6 +88,7 @@ class Classifier:
 
 def predict(docs: DataFrame, contents: dict[str, bytes], text: str = "text", out: str = "language") -> DataFrame:
     """docs with ``out``: struct(lang string, margin double)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(contents)  # languages x DICTIONARY bytes
 
     @F.pandas_udf("lang string, margin double")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import bounded_batches, fresh, table
 
 LEAST, SPREAD = 0.8, 2
 WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
@@ -176,6 +176,7 @@ MATCHES = "array<struct<license:string,start:int,end:int,coverage:double>>"
 def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, least: float = LEAST, text: str = "text", out: str = "licenses") -> DataFrame:
     """docs with ``out``: array of (license, start, end, coverage); start and end count words."""
     known = tuple(notices.items())
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf(MATCHES)
     def matched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import bounded_batches, fresh, table
 
 MARK = "▁"
 LONGEST = 100
@@ -120,6 +120,7 @@ def default_model() -> str:
 def count_tokens(docs: DataFrame, model: str | None = None, text: str = "text", out: str = "count") -> DataFrame:
     """docs with ``out``: struct(n_words, n_tokens, n_unknown) of longs."""
     path = model or default_model()
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("n_words long, n_tokens long, n_unknown long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
