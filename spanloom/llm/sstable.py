@@ -84,10 +84,13 @@ class Memo:
         """Those of the cuts that are in neither; the others are now in the newer."""
         if len(self.new) > MEMO:
             self.old, self.new = self.new, {}
-        missing = cuts.difference(self.new)
-        known = missing.intersection(self.old)
-        self.new.update((c, self.old[c]) for c in known)
-        return list(missing.difference(known))
+        new, old, out = self.new, self.old, []
+        for c in cuts.difference(new):
+            if c in old:
+                new[c] = old[c]
+            else:
+                out.append(c)
+        return out
 
 
 class Encoder:
@@ -108,8 +111,12 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of letters (a space may precede them) or of marks: one piece, so the model's own."""
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTES))]
-        return np.array(ids, self.kind).tobytes()
+        if piece.isascii():
+            written = f"Ġ{piece[1:]}" if piece[0] == " " else piece
+        else:
+            written = piece.encode().decode("latin-1").translate(BYTES)
+        size = self.kind.itemsize
+        return b"".join([t.id.to_bytes(size, "little") for t in self.model.tokenize(written)])
 
     def _encode(self, cuts: list[str]) -> list[bytes]:
         """Ids of each cut. Cuts that neither hold nor end in white space are encoded many at a time, a line each."""
