@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import decontaminate, langid, mixing, neardup, sstable
-from spanloom.llm.common import new_folder, table
+from spanloom.llm.common import new_folder, scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents: doc_id, start, n_tokens, ids_crc32 of the mix, in order of doc_id.
+
+    Null and letterless texts go in the first stage; of repeated rows and copies one stays; null ids are kept and come
+    first; extra columns are carried to the last stage; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            path = new_folder(spark, name)
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = new_folder(spark, name)
+        with scratch(spark, f"{name}-work"):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
