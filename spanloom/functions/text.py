@@ -61,8 +61,8 @@ def strip_fillers(c: Column, fillers=FILLERS) -> Column:
 
 def is_viable(c: Column, seconds: Column | None = None) -> Column:
     """Whether a piece of speech can stand alone: long enough in characters or words and, if given, in time."""
-    cjk, chars = cjk_chars(c), latin_chars(c)
-    enough = (cjk >= 4) | (latin_words(c) >= 3) | (chars >= 10) | ((cjk >= 2) & (chars >= 3))
+    cjk, chars, words = cjk_chars(c), count_of(c, "[A-Za-z0-9]"), count_of(c, "[A-Za-z0-9]+")
+    enough = (cjk >= 4) | (words >= 3) | (chars >= 10) | ((cjk >= 2) & (chars >= 3))
     lasts = F.lit(True) if seconds is None else F.coalesce(seconds >= 0.55, F.lit(True))
     return (F.length(norm(c)) >= 2) & lasts & enough
 

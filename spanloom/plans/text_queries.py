@@ -49,7 +49,7 @@ def char_counts(spark, d):
 
 
 @query(rf"""WITH {SEGMENTS}, c AS (SELECT rec_id, seg_id, unnest(l) clause, unnest(range(len(l))) pos FROM (SELECT rec_id, seg_id, list_filter(regexp_split_to_array(txt, '[。！？.!?]+'), lambda x: x <> '') l FROM seg)),
-n AS (SELECT *, length(regexp_replace(clause, '[^\p{{L}}\p{{N}}_]', '', 'g')) nl, len(regexp_extract_all(clause, '{T.CJK}')) cjk, len(regexp_extract_all(clause, '[A-Za-z]+')) lw, len(regexp_extract_all(clause, '[A-Za-z]')) lc FROM c)
+n AS (SELECT *, length(regexp_replace(clause, '[^\p{{L}}\p{{N}}_]', '', 'g')) nl, len(regexp_extract_all(clause, '{T.CJK}')) cjk, len(regexp_extract_all(clause, '[A-Za-z0-9]+')) lw, len(regexp_extract_all(clause, '[A-Za-z0-9]')) lc FROM c)
 SELECT rec_id, seg_id, CAST(pos AS BIGINT) pos, nl >= 2 AND nl * 60 >= 550 AND (cjk >= 4 OR lw >= 3 OR lc >= 10 OR (cjk >= 2 AND lc >= 3)) viable FROM n""")
 def viable_span(spark, d):
     df = segments(spark, d).select("rec_id", "seg_id", F.posexplode(F.filter(F.split("text", "[。！？.!?]+"), lambda x: x != "")).alias("pos", "clause"))

@@ -6,6 +6,7 @@ from collections import namedtuple
 import duckdb
 import pytest
 
+from spanloom.functions import text as T
 from spanloom.operators import folds, fuzzy, similarity, spans
 from spanloom.plans import catalog
 
@@ -42,6 +43,12 @@ def test_chunk_windows(spark):
     assert got == [(1, 0, 0, 1_080_000), (1, 1, 1_075_000, 2_160_000), (1, 2, 2_155_000, 2_400_000), (4, 0, 0, 1_080_500)]
 
 
+def test_digits_count_towards_viability(spark):
+    cases = [("2024 10 15", True), ("1234567890", True), ("12 ab", False), ("漢字 a1b", True), ("漢字仮名", True), ("a", False), (None, False), ("", False)]
+    df = spark.createDataFrame(cases, "t string, want boolean")
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", T.is_viable(df["t"])).collect())
+
+
 def test_loops(spark):
     def run(text):
         rows = [(1, i, w) for i, w in enumerate(text.split())]
