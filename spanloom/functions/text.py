@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 NOT_WORD = r"[^\p{L}\p{N}_]"
 CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}]"
-CJK_OR_MARK = r"[\x{3000}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]"
+#: Besides CJK characters, marks that take no space after them, and marks that take none before them.
+NO_SPACE_AFTER = CJK[:-1] + r"，。！？；：、（）「」『』【】《》(\[{]"
+NO_SPACE_BEFORE = CJK[:-1] + r"，。！？；：、）」』】》,.!?;:)\]}%]"
 
 #: Words that open a sentence without meaning anything.
 FILLERS = ("那麼", "那", "其實", "然後", "而且", "好", "來", "對", "就是", "所以", "OK", "ok", "現在", "另外")
@@ -54,9 +56,9 @@ def display_width(c: Column) -> Column:
 
 
 def strip_fillers(c: Column, fillers=FILLERS) -> Column:
-    """The normal form without leading marks and filler words, however many of them follow each other."""
+    """The normal form without filler words at the start, however many follow each other with commas or spaces between."""
     words = "|".join(sorted(fillers, key=lambda w: (-len(w), w)))
-    return norm(F.regexp_replace(text_of(c), rf"^(?:(?:{words})|{NOT_WORD})+", ""))
+    return norm(F.regexp_replace(text_of(c), rf"^{NOT_WORD}*(?:(?:{words})[，,、 \x{{3000}}]*)+", ""))
 
 
 def is_viable(c: Column, seconds: Column | None = None) -> Column:
@@ -75,8 +77,8 @@ def ends_with_any(c: Column, marks) -> Column:
 
 
 def join_for_display(words: Column) -> Column:
-    """Words with spaces between them, but none beside CJK characters or marks."""
-    return F.regexp_replace(F.regexp_replace(F.array_join(words, " "), rf"({CJK_OR_MARK}) ", "$1"), rf" ({CJK_OR_MARK})", "$1")
+    """Words with spaces between them, but none beside CJK characters, after opening or before closing marks."""
+    return F.regexp_replace(F.regexp_replace(F.array_join(words, " "), rf"({NO_SPACE_AFTER}) ", "$1"), rf" ({NO_SPACE_BEFORE})", "$1")
 
 
 def offset_seconds(c: Column) -> Column:
@@ -151,8 +153,9 @@ def fuzzy_count(text: Column, phrase: Column) -> Column:
 
 def suffix_prefix(a: Column, b: Column, most: int = 48, least: int = 5) -> Column:
     """Length of the longest end of a that begins b, from most down to least characters; 0 if none."""
-    found = F.filter(F.sequence(F.lit(most), F.lit(least), F.lit(-1)), lambda k: (F.length(a) >= k) & (F.right(a, k) == F.left(b, k)))
-    return F.coalesce(F.get(found, F.lit(0)), F.lit(0)).cast("long")
+    ends = F.array(F.struct(F.right(a, F.lit(most)).alias("a"), F.left(b, F.lit(most)).alias("b")))  # bound once, not once a length
+    longest = lambda x: F.get(F.filter(F.sequence(F.lit(most), F.lit(least), F.lit(-1)), lambda k: (F.length(x["a"]) >= k) & (F.right(x["a"], k) == F.left(x["b"], k))), F.lit(0))
+    return F.coalesce(F.get(F.transform(ends, longest), F.lit(0)), F.lit(0)).cast("long")
 
 
 def script_lines(text: Column) -> Column:

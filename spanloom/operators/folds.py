@@ -6,10 +6,12 @@ key's state, never one key's rows. So a recording of any length takes the memory
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def fold(df: DataFrame, key: str, order: Sequence[str], schema: str, new_state: Callable) -> DataFrame:
@@ -102,8 +104,9 @@ def sanitize(clips: DataFrame, least_ms: int = 450, gap_ms: int = 350) -> DataFr
 
 
 class Loops:
-    """Words without repeats in a row: a run of ``most`` or more equal words or groups keeps its first copy. Holds the
-    last words only, as many as the longest run can need before it is told from new words."""
+    """Words without repeats in a row: a run of ``most`` or more equal words or groups keeps its first copy. Words are
+    compared by their ``same``; a group of nothing but empty ones is no repeat. Holds the last words only, as many as the
+    longest run can need before it is told from new words."""
 
     def __init__(self, longest: int, most: int) -> None:
         self.longest, self.most, self.kept = longest, most, []
@@ -112,27 +115,29 @@ class Loops:
         return self.most if n >= 3 else self.most + 1
 
     def push(self, row) -> list:
-        self.kept.append((row.rec_id, row.pos, row.word))
+        self.kept.append(((row.rec_id, row.seg_id, row.pos, row.word), row.same))
         return self._flush(False)
 
     def _flush(self, end: bool) -> list:
         out = []
         while self.kept and (end or len(self.kept) >= self.longest * (self.most + 2)):
-            word = [w for _, _, w in self.kept]
+            word = [w for _, w in self.kept]
             step = 1
             for n in range(min(self.longest, len(word) // self.most), 0, -1):
                 reps = 1
+                if not any(word[:n]):
+                    continue
                 while word[reps * n : (reps + 1) * n] == word[:n]:
                     reps += 1
                 if reps >= self._reps(n):
                     if not end and (reps + 1) * n > len(word):  # the run may go on
                         del self.kept[n : (reps - self._reps(n) + 1) * n]
                         return out
-                    out += self.kept[:n]
+                    out += [row for row, _ in self.kept[:n]]
                     step = reps * n
                     break
             else:
-                out.append(self.kept[0])
+                out.append(self.kept[0][0])
             del self.kept[:step]
         return out
 
@@ -141,8 +146,77 @@ class Loops:
 
 
 def drop_loops(words: DataFrame, longest: int = 8, most: int = 3) -> DataFrame:
-    """words: rec_id, pos, word."""
-    return fold(words.select("rec_id", "pos", "word"), "rec_id", ["pos"], "rec_id long, pos long, word string", lambda: Loops(longest, most))
+    """words: rec_id, seg_id, pos, word. Words are equal that are so in lower case without marks and symbols."""
+    same = F.trim(F.regexp_replace(F.lower(F.coalesce("word", F.lit(""))), r"[\p{P}\p{S}]", ""))
+    rows = words.select("rec_id", "seg_id", F.col("pos").cast("long").alias("pos"), "word", same.alias("same"))
+    return fold(rows, "rec_id", ["seg_id", "pos"], "rec_id long, seg_id long, pos long, word string", lambda: Loops(longest, most))
+
+
+class Groups:
+    """Timed words to short groups. After a word a group ends by a pause, a closing mark, from the soft width on by a
+    short pause or a clause mark, and anyway at the hard width or the longest time."""
+
+    def __init__(self, soft: int, hard: int, longest_ms: int) -> None:
+        self.soft, self.hard, self.longest, self.open, self.count = soft, hard, longest_ms, None, 0
+
+    def push(self, row) -> list:
+        out = []
+        if self.open:
+            gap, wide = row.start_ms - self.open[3], self.width >= self.soft
+            if gap >= 350 or self.closed or (wide and (gap >= 120 or self.clause)) or self.width >= self.hard or self.open[3] - self.open[2] >= self.longest:
+                out = self.close()
+        if not self.open:
+            self.count += 1
+            self.open, self.width = [row.rec_id, self.count, row.start_ms, row.end_ms, []], 0
+        self.open[3] = row.end_ms
+        self.open[4].append(row.word)
+        self.width += row.width
+        self.closed, self.clause = row.closed, row.clause
+        return out
+
+    close = Sentences.close
+
+
+def word_groups(words: DataFrame, cjk: bool = False) -> DataFrame:
+    """(rec_id, group_id, start_ms, end_ms, words) of words: rec_id, seg_id, pos, word, start_ms, end_ms. Widths are in
+    half-width units for CJK, else characters and a space; empty words are left out, null ones too."""
+    w = F.trim(F.coalesce("word", F.lit("")))
+    width = F.length(w) + F.regexp_count(w, F.lit(r"[^\x00-\x7F]")) if cjk else F.length(w) + 1
+    tail = r"[\"'”’）)]*$"
+    rows = words.select("rec_id", "seg_id", "pos", w.alias("word"), "start_ms", "end_ms", width.cast("long").alias("width"), w.rlike("[。！？.!?]" + tail).alias("closed"), w.rlike(r"[，、；：,;:\-]" + tail).alias("clause")).filter("word <> ''")
+    soft, hard = (30, 48) if cjk else (38, 60)
+    return fold(rows, "rec_id", ["seg_id", "pos"], "rec_id long, group_id long, start_ms long, end_ms long, words array<string>", lambda: Groups(soft, hard, 5_500))
+
+
+class Retakes:
+    """Takes (head, doc_id, n) in order of id: the latest take before each that is at most as much longer as allowed.
+    A take covers those before it that need as much length or more, so both ids and needs of those held rise."""
+
+    def __init__(self) -> None:
+        self.ids, self.needs, self.now, self.least = [], [], None, 0
+
+    def push(self, row) -> list:
+        need = row.n * 3 // 4
+        if row.doc_id != self.now:
+            if self.now is not None:
+                keep = bisect_left(self.needs, self.least)
+                del self.ids[keep:], self.needs[keep:]
+                self.ids.append(self.now)
+                self.needs.append(self.least)
+            self.now, self.least = row.doc_id, need
+        self.least = min(self.least, need)
+        at = bisect_right(self.needs, row.n)
+        return [(self.ids[at - 1], row.doc_id)] if at else []
+
+    def close(self) -> list:
+        return []
+
+
+def earlier_takes(takes: DataFrame) -> DataFrame:
+    """(before, doc_id) of takes: head, doc_id, n. Of each take the latest earlier one with the same head of which it
+    has three quarters of the length n or more. One head is one task, of narrow rows, and holds as many rows as there
+    are different lengths at most."""
+    return fold(takes.filter("doc_id IS NOT NULL").select("head", "doc_id", "n"), "head", ["doc_id"], "before long, doc_id long", Retakes)
 
 
 class Chunks:

@@ -65,11 +65,13 @@ def walls(spans: DataFrame, others: DataFrame, key: str, slack_ms: int = 20) ->
     return as_of(df, starts, key, "_to", "wall_after", ["wall_after"], later=True).drop("_from", "_to")
 
 
-def chunk_windows(durations: DataFrame, key: str, total: str, chunk_ms: int = 1_080_000, overlap_ms: int = 5_000, tail_ms: int = 1_000) -> DataFrame:
-    """(key, chunk, start_ms, end_ms): windows of chunk_ms that begin overlap_ms early; a shorter tail than tail_ms
-    joins the window before it. A total of 0 or null has no window."""
+def chunk_windows(durations: DataFrame, key: str, total: str, chunk_ms: int = 1_080_000, overlap_ms: int = 5_000, tail_ms: int = 1_000, longest_ms: int = 1_180_000) -> DataFrame:
+    """(key, chunk, start_ms, end_ms): windows of chunk_ms that begin overlap_ms early. A last window that with its
+    overlap is shorter than tail_ms joins the one before, unless that grows beyond longest_ms. A total of 0 or null has
+    no window."""
     n = F.ceil(F.col(total) / chunk_ms)
-    n = F.when((n > 1) & (F.col(total) - (n - 1) * chunk_ms < tail_ms), n - 1).otherwise(n)
+    before = F.greatest(F.lit(0), (n - 2) * chunk_ms - overlap_ms)
+    n = F.when((n > 1) & (F.col(total) - (n - 1) * chunk_ms + overlap_ms < tail_ms) & (F.col(total) - before <= longest_ms), n - 1).otherwise(n)
     cut = durations.filter(F.col(total) > 0).select(key, F.col(total).alias("_total"), n.alias("_n"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("chunk"))
     start = F.greatest(F.lit(0), F.col("chunk") * chunk_ms - overlap_ms).cast("long")
     end = F.when(F.col("chunk") == F.col("_n") - 1, F.col("_total")).otherwise((F.col("chunk") + 1) * chunk_ms)
@@ -102,17 +104,20 @@ def tiered_match(clips: DataFrame, units: DataFrame, key: str, slack_ms: int = 2
     return every.withColumn("_best", best).filter("tier = _best").drop("_best")
 
 
-def containment(docs: DataFrame, blocks: DataFrame, max_broadcast: int = 10_000, anchor: int = 24) -> DataFrame:
-    """(doc_id, block_id) where docs.norm contains blocks.norm. Up to max_broadcast blocks are sent to every task;
-    beyond that a block is found by its first ``anchor`` characters, joined to those at every place of a text, and
-    shorter blocks by their whole length."""
-    blocks = blocks.filter(F.length("norm") > 0).select("block_id", F.col("norm").alias("_block"))
-    docs = docs.select("doc_id", "norm")
-    if len(blocks.select("block_id").limit(max_broadcast + 1).collect()) <= max_broadcast:
-        return docs.join(F.broadcast(blocks), F.contains("norm", "_block")).select("doc_id", "block_id")
-    blocks = blocks.withColumn("_n", F.least(F.length("_block"), F.lit(anchor)))
+def containment(docs: DataFrame, blocks: DataFrame, anchor: int = 12, piece: int = 64) -> DataFrame:
+    """(doc_id, block_id) where docs.norm contains blocks.norm; empty or null blocks are nowhere.
+
+    A block is found by the hash of its first ``anchor`` characters, or of all if it has fewer, among the hashes at
+    every place of a text: an equi-join on hashes, without texts. Texts are read in overlapping pieces, as finding a
+    place costs its distance from the start. What is met is looked up once more in its text."""
+    blocks = blocks.filter(F.length("norm") > 0).select("block_id", F.col("norm").alias("_block"), F.least(F.length("norm"), F.lit(anchor)).alias("_n"))
+    blocks = blocks.withColumn("_h", F.xxhash64("_n", F.left("_block", F.col("_n"))))
     sizes = [r[0] for r in blocks.select("_n").distinct().collect()]  # anchor values at most
-    places = docs.select("doc_id", "norm", F.explode(F.array(*map(F.lit, sizes))).alias("_n")).filter(F.length("norm") >= F.col("_n"))
-    places = places.select("doc_id", "_n", "norm", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("norm") - F.col("_n") + 1), lambda i: F.xxhash64(F.substring("norm", i, F.col("_n")))))).alias("_h"))
-    met = places.join(blocks.withColumn("_h", F.xxhash64(F.left("_block", F.col("_n")))), ["_h", "_n"])
-    return met.filter(F.contains("norm", "_block")).select("doc_id", "block_id")
+    docs = docs.select("doc_id", "norm", F.xxhash64("norm").alias("_text"))
+    cut = F.transform(F.sequence(F.lit(1), F.length("norm"), F.lit(piece)), lambda i: F.substring("norm", i, piece + anchor - 1))
+    pieces = docs.filter(F.length("norm") > 0).select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_same"), F.explode(cut).alias("_piece"))
+    places = pieces.select("*", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("_n"))
+    places = places.filter(F.length("_piece") >= F.col("_n")).select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(piece), F.length("_piece") - F.col("_n") + 1))).alias("_i"))
+    places = places.select("_doc", "_same", F.xxhash64("_n", F.substring("_piece", F.col("_i"), F.col("_n"))).alias("_h"))
+    met = places.join(blocks.select("_h", "block_id", "_block"), "_h").select("_doc", "_same", "block_id", "_block").distinct()
+    return docs.join(met, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_same"))).filter(F.contains("norm", "_block")).select("doc_id", "block_id")

@@ -107,13 +107,14 @@ def target_rows_or_all(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", some.alias("some")).filter((F.col("role") == "user") | ~F.col("some")).drop("some")
 
 
-@query(f"""WITH {SEGMENTS}, c AS (SELECT rec_id, seg_id, dur_ms, len(regexp_extract_all(txt, '{T.CJK}')) k, len(regexp_extract_all(txt, '[A-Za-z0-9]')) a, length(regexp_replace(txt, '[ \\t\\n\\r]', '', 'g')) o FROM seg)
-SELECT rec_id, seg_id, round(CAST(CASE WHEN k + a = 0 THEN o ELSE k + a * 6 // 10 END AS DOUBLE) * 1000 / greatest(dur_ms, 500), 6) cps FROM c""")
+@query(f"""WITH {SEGMENTS}, c AS (SELECT rec_id, seg_id, dur_ms, txt, len(regexp_extract_all(txt, '[\\x{{4E00}}-\\x{{9FFF}}]')) k, len(regexp_extract_all(txt, '[A-Za-z0-9]')) a, length(regexp_replace(txt, '[ \\t\\n\\r]', '', 'g')) o FROM seg)
+SELECT rec_id, seg_id, CASE WHEN txt = '' OR dur_ms <= 0 THEN 3.0::DOUBLE ELSE round(CAST(CASE WHEN k + a * 6 // 10 = 0 THEN o ELSE k + a * 6 // 10 END AS DOUBLE) * 1000 / greatest(dur_ms, 500), 6) END cps FROM c""")
 def clip_cps(spark, d):
     t = F.col("text")
-    k, a = T.cjk_chars(t), T.count_of(t, "[A-Za-z0-9]")
-    n = F.when(k + a == 0, F.length(F.regexp_replace(t, r"[ \t\n\r]", ""))).otherwise(k + F.floor(a * 6 / 10))
-    return segments(spark, d).select("rec_id", "seg_id", F.round(n.cast("double") * 1000 / F.greatest(F.col("dur_ms"), F.lit(500)), 6).alias("cps"))
+    said = T.count_of(t, r"[\x{4E00}-\x{9FFF}]") + F.floor(T.count_of(t, "[A-Za-z0-9]") * 6 / 10)
+    n = F.when(said == 0, F.length(F.regexp_replace(t, r"[ \t\n\r]", ""))).otherwise(said)
+    cps = F.round(n.cast("double") * 1000 / F.greatest(F.col("dur_ms"), F.lit(500)), 6)
+    return segments(spark, d).select("rec_id", "seg_id", F.when((t == "") | (F.col("dur_ms") <= 0), 3.0).otherwise(cps).alias("cps"))
 
 
 HEADS = r"WITH t AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}_]', '', 'g')) norm FROM documents)"
@@ -138,14 +139,13 @@ def content_hash_cache(spark, d):
     return table(spark, d, "documents").groupBy(F.sha2(T.text_of(F.col("text")), 256).alias("content")).agg(F.min("doc_id").alias("upload"), (F.count("*") - 1).alias("skipped"))
 
 
-@query(HEADS + """, p AS (SELECT doc_id, norm b, lag(norm) OVER w a, lag(doc_id) OVER w before FROM t WHERE norm <> '' WINDOW w AS (PARTITION BY left(norm, 40) ORDER BY doc_id))
-SELECT before, doc_id FROM p WHERE before IS NOT NULL AND left(a, 4) = left(b, 4) AND length(b) >= length(a) * 3 // 4""")
+@query(HEADS + """, p AS (SELECT b.doc_id, (SELECT max(a.doc_id) FROM t a WHERE length(a.norm) >= 4 AND left(a.norm, 4) = left(b.norm, 4) AND a.doc_id < b.doc_id AND length(b.norm) >= length(a.norm) * 3 // 4) AS "before" FROM t b WHERE length(b.norm) >= 4)
+SELECT "before", doc_id FROM p WHERE "before" IS NOT NULL""")
 def opening_retake_pairs(spark, d):
-    """Each take of a block with the one before it, if it begins alike and is three quarters as long or longer."""
-    takes = _heads(spark, d).filter("norm <> ''").select("doc_id", F.left("norm", F.lit(40)).alias("block"), F.left("norm", F.lit(4)).alias("head"), F.length("norm").alias("n"))
-    w = Window.partitionBy("block").orderBy("doc_id")
-    p = takes.withColumn("a", F.lag(F.struct("doc_id", "head", "n")).over(w)).filter("a.head = head AND n >= a.n * 3 div 4")
-    return p.select(F.col("a.doc_id").alias("before"), "doc_id")
+    """Each text with the latest one before it that begins with the same 4 characters and of which it has three quarters
+    of the length or more; texts of under 4 characters have none."""
+    takes = _heads(spark, d).select(F.left("norm", F.lit(4)).alias("head"), "doc_id", F.length("norm").cast("long").alias("n")).filter("n >= 4")
+    return folds.earlier_takes(takes)
 
 
 @query(HEADS + r", b AS (SELECT item_id block_id, lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}_]', '', 'g')) norm FROM benchmark) SELECT doc_id, block_id FROM t JOIN b ON b.norm <> '' AND contains(t.norm, b.norm)")
@@ -215,7 +215,7 @@ def unclaimed_anti_join(spark, d):
 
 
 WINDOWS = f"""{SEGMENTS}, t AS (SELECT rec_id, max(end_ms) total, CAST(ceil(max(end_ms) / 20000.0) AS BIGINT) n FROM seg GROUP BY rec_id),
-u AS (SELECT rec_id, total, CASE WHEN n > 1 AND total - (n - 1) * 20000 < 1000 THEN n - 1 ELSE n END n FROM t),
+u AS (SELECT rec_id, total, CASE WHEN n > 1 AND total - (n - 1) * 20000 + 1000 < 1000 AND total - greatest(0, (n - 2) * 20000 - 1000) <= 1180000 THEN n - 1 ELSE n END n FROM t),
 win AS (SELECT rec_id, chunk, greatest(0, chunk * 20000 - 1000) start_ms, CASE WHEN chunk = n - 1 THEN total ELSE (chunk + 1) * 20000 END end_ms FROM (SELECT *, unnest(range(n)) chunk FROM u))"""
 
 
@@ -365,8 +365,22 @@ def sanitize_clips(spark, d):
 
 @query()
 def repetition_loops(spark, d):
-    w = words(spark, d).select("rec_id", (F.col("seg_id") * 1_000_000 + F.col("pos")).alias("pos"), "word")
-    return folds.drop_loops(w)
+    return folds.drop_loops(words(spark, d))
+
+
+_TAIL = """["''”’）)]*$"""
+
+
+@query(rf"""WITH RECURSIVE {WORDS}, o AS (SELECT *, length(word) + 1 width, regexp_matches(word, '[。！？.!?]{_TAIL}') closed, regexp_matches(word, '[，、；：,;:\-]{_TAIL}') clause, row_number() OVER (PARTITION BY rec_id ORDER BY seg_id, pos) rn FROM word),
+f AS (SELECT rec_id, rn, 1::BIGINT group_id, start_ms, start_ms first_ms, end_ms, width, closed, clause, word FROM o WHERE rn = 1 UNION ALL
+SELECT o.rec_id, o.rn, CASE WHEN b THEN f.group_id + 1 ELSE f.group_id END, o.start_ms, CASE WHEN b THEN o.start_ms ELSE f.first_ms END, o.end_ms, CASE WHEN b THEN o.width ELSE f.width + o.width END, o.closed, o.clause, o.word
+FROM f JOIN o ON o.rec_id = f.rec_id AND o.rn = f.rn + 1, LATERAL (SELECT o.start_ms - f.end_ms gap) g, LATERAL (SELECT gap >= 350 OR f.closed OR (f.width >= 38 AND (gap >= 120 OR f.clause)) OR f.width >= 60 OR f.end_ms - f.first_ms >= 5500 b) h),
+s AS (SELECT rec_id, group_id, min(first_ms) start_ms, arg_max(end_ms, rn) end_ms, count(*) n_words, string_agg(word, ' ' ORDER BY rn) txt FROM f GROUP BY rec_id, group_id)
+SELECT rec_id, group_id, start_ms, end_ms, n_words, regexp_replace(regexp_replace(txt, '({T.NO_SPACE_AFTER}) ', '\1', 'g'), ' ({T.NO_SPACE_BEFORE})', '\1', 'g') text FROM s""")
+def word_grouping(spark, d):
+    """Words by pauses, marks and width, as they are shown."""
+    g = folds.word_groups(words(spark, d))
+    return g.select("rec_id", "group_id", "start_ms", "end_ms", F.size("words").cast("long").alias("n_words"), T.join_for_display(F.col("words")).alias("text"))
 
 
 @query()

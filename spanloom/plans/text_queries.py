@@ -32,7 +32,7 @@ def normalize_text(spark, d):
 
 
 @query(r"""WITH t AS (SELECT doc_id, ['那麼', '然後,', 'ok ', 'OK，', '', '好 對 '][CAST(doc_id % 6 AS INT) + 1] || coalesce(text, '') x FROM documents)
-SELECT doc_id, md5(lower(regexp_replace(regexp_replace(x, '^(?:(?:OK|ok|其實|另外|就是|所以|然後|現在|而且|那麼|來|好|對|那)|[^\p{L}\p{N}_])+', ''), '[^\p{L}\p{N}_]', '', 'g'))) stripped_md5 FROM t""")
+SELECT doc_id, md5(lower(regexp_replace(regexp_replace(x, '^[^\p{L}\p{N}_]*(?:(?:OK|ok|其實|另外|就是|所以|然後|現在|而且|那麼|來|好|對|那)[，,、 \x{3000}]*)+', ''), '[^\p{L}\p{N}_]', '', 'g'))) stripped_md5 FROM t""")
 def strip_leading_fillers(spark, d):
     heads = F.array(*map(F.lit, ["那麼", "然後,", "ok ", "OK，", "", "好 對 "]))
     x = F.concat(F.get(heads, (F.col("doc_id") % 6).cast("int")), T.text_of(F.col("text")))
@@ -167,7 +167,12 @@ def transcript_listing_whole(spark, d):
     return rows.select("rec_id", F.array_join(F.transform("rows", lambda x: x["line"]), "\n").alias("listing"))
 
 
-@query(r"""WITH """ + SEGMENTS + r""" SELECT rec_id, seg_id, md5(array_to_string(list_filter(regexp_split_to_array(txt, '[ \t\n\r]+'), lambda x: x <> ''), ' ')) display_md5 FROM seg WHERE NOT regexp_matches(txt, '[\x{3000}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]')""")
+def _display_sql() -> str:
+    words = r"array_to_string(list_filter(regexp_split_to_array(txt, '[ \t\n\r]+'), lambda x: x <> ''), ' ')"
+    return rf"WITH {SEGMENTS} SELECT rec_id, seg_id, md5(regexp_replace(regexp_replace({words}, '({T.NO_SPACE_AFTER}) ', '\1', 'g'), ' ({T.NO_SPACE_BEFORE})', '\1', 'g')) display_md5 FROM seg"
+
+
+@query(_display_sql())
 def words_display_join(spark, d):
-    df = segments(spark, d).filter(~F.col("text").rlike(T.CJK_OR_MARK))
-    return df.select("rec_id", "seg_id", F.md5(T.join_for_display(F.filter(F.split("text", r"[ \t\n\r]+"), lambda x: x != ""))).alias("display_md5"))
+    """Every segment's words as they are shown."""
+    return segments(spark, d).select("rec_id", "seg_id", F.md5(T.join_for_display(F.filter(F.split("text", r"[ \t\n\r]+"), lambda x: x != ""))).alias("display_md5"))

@@ -5,13 +5,14 @@ from collections import namedtuple
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import folds, fuzzy, similarity, spans
 from spanloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-Row = namedtuple("Row", "rec_id pos word")
+Row = namedtuple("Row", "rec_id seg_id pos word same")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -40,7 +41,9 @@ def test_runs(spark, name):
 def test_chunk_windows(spark):
     d = spark.createDataFrame([(1, 2_400_000), (2, 0), (3, None), (4, 1_080_500)], "rec_id long, total long")
     got = [tuple(r) for r in spans.chunk_windows(d, "rec_id", "total").orderBy("rec_id", "chunk").collect()]
-    assert got == [(1, 0, 0, 1_080_000), (1, 1, 1_075_000, 2_160_000), (1, 2, 2_155_000, 2_400_000), (4, 0, 0, 1_080_500)]
+    assert got == [(1, 0, 0, 1_080_000), (1, 1, 1_075_000, 2_160_000), (1, 2, 2_155_000, 2_400_000), (4, 0, 0, 1_080_000), (4, 1, 1_075_000, 1_080_500)]
+    short = spans.chunk_windows(spark.createDataFrame([(1, 2_100), (2, 2_600), (3, 1_000)], "rec_id long, total long"), "rec_id", "total", 1_000, 100, 300)
+    assert [tuple(r) for r in short.orderBy("rec_id", "chunk").collect()] == [(1, 0, 0, 1_000), (1, 1, 900, 2_100), (2, 0, 0, 1_000), (2, 1, 900, 2_000), (2, 2, 1_900, 2_600), (3, 0, 0, 1_000)]
 
 
 def test_digits_count_towards_viability(spark):
@@ -51,12 +54,14 @@ def test_digits_count_towards_viability(spark):
 
 def test_loops(spark):
     def run(text):
-        rows = [(1, i, w) for i, w in enumerate(text.split())]
-        return " ".join(r["word"] for r in folds.drop_loops(spark.createDataFrame(rows, "rec_id long, pos long, word string")).orderBy("pos").collect())
+        rows = [(1, i // 7, i % 7, w) for i, w in enumerate(text.split())]
+        return " ".join(r["word"] for r in folds.drop_loops(spark.createDataFrame(rows, "rec_id long, seg_id long, pos long, word string")).orderBy("seg_id", "pos").collect())
 
     assert run("thank you very thank you very thank you very much") == "thank you very much"
     assert run("a a a b") == "a a a b" and run("a a a a b") == "a b"
     assert run("a b a b a b") == "a b a b a b" and run("one two three") == "one two three"
+    assert run("Thank you very, thank you very thank YOU very much") == "Thank you very, much"
+    assert run("... - ! ? a") == "... - ! ? a"  # nothing but marks is no repeat
     assert run("p q r " * 24 + "end") == _whole("p q r " * 24 + "end")
 
 
@@ -85,8 +90,8 @@ def test_loops_against_whole_lists():
     for text in texts:
         state, out = folds.Loops(8, 3), []
         for i, w in enumerate(text.split()):
-            out += state.push(Row(1, i, w))
-        assert " ".join(x[2] for x in out + state.close()) == _whole(text)
+            out += state.push(Row(1, 0, i, w, w))
+        assert " ".join(x[3] for x in out + state.close()) == _whole(text)
 
 
 def test_sanitize(spark):
@@ -105,8 +110,10 @@ def test_chunk_at_pause(spark):
 def test_containment_of_many_blocks(spark):
     docs = spark.createDataFrame([(1, "abcdefghijklmnopqrstuvwxyz0123456789"), (2, "xyz"), (3, "")], "doc_id long, norm string")
     blocks = spark.createDataFrame([(1, "cdefghijklmnopqrstuvwxyz0123"), (2, "xyz"), (3, ""), (4, "cdefghijklmnopqrstuvwxyz9999")], "block_id long, norm string")
-    few = sorted(map(tuple, spans.containment(docs, blocks).collect()))
-    assert few == sorted(map(tuple, spans.containment(docs, blocks, max_broadcast=0).collect())) == [(1, 1), (1, 2), (2, 2)]
+    for anchor in (1, 3, 12, 24, 100):
+        assert sorted(map(tuple, spans.containment(docs, blocks, anchor).collect())) == [(1, 1), (1, 2), (2, 2)]
+    again = docs.union(docs.filter("doc_id = 2")).union(spark.createDataFrame([(None, "axyz"), (3, None)], docs.schema))
+    assert sorted(map(str, (tuple(r) for r in spans.containment(again, blocks).collect()))) == ["(1, 1)", "(1, 2)", "(2, 2)", "(2, 2)", "(None, 2)"]
 
 
 def test_listing_holds_whole_text(spark, tmp_path):
@@ -174,3 +181,30 @@ def test_empty_tables(spark, tmp_path):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     for name, f in catalog.queries().items():
         assert f(spark, str(tmp_path)).count() == 0, name
+
+
+def test_fillers_with_commas_between(spark):
+    cases = [("那。其實x", "其實x"), ("...那麼，其實 好x", "x"), ("OK, ok、Go On", "goon"), ("所以", ""), (None, ""), ("這那麼", "這那麼")]
+    df = spark.createDataFrame(cases, "t string, want string")
+    assert [r["got"] for r in df.select(T.strip_fillers(df["t"]).alias("got")).collect()] == [w for _, w in cases]
+
+
+def test_words_as_shown(spark):
+    cases = [("漢 字 x y", "漢字x y"), ("a ( b ) c", "a (b) c"), ("100 % of it , ok ?", "100% of it, ok?"), ("「 go 」 on", "「go」on"), ("ア ー ok", "アーok"), ("a 𝄞 b", "a 𝄞 b"), ("", "")]
+    df = spark.createDataFrame(cases, "t string, want string")
+    assert [r["got"] for r in df.select(T.join_for_display(F.split("t", " ")).alias("got")).collect()] == [w for _, w in cases]
+
+
+def test_earlier_takes_against_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.randint(1, 60), rng.randint(4, 40)) for _ in range(200)] + [("c", None, 5), ("c", 1, 5)]
+    got = sorted(map(tuple, folds.earlier_takes(spark.createDataFrame(rows, "head string, doc_id long, n long")).collect()))
+    known = [r for r in rows if r[1] is not None]
+    want = [(max((a[1] for a in known if a[0] == b[0] and a[1] < b[1] and b[2] >= a[2] * 3 // 4), default=None), b[1]) for b in known]
+    assert got == sorted(w for w in want if w[0] is not None)
+
+
+def test_word_groups_in_ideographs(spark):
+    rows = [(1, 0, i, w, 100 * i, 100 * i + 90) for i, w in enumerate("漢字" * 30)] + [(1, 1, 0, " ", 6000, 6001), (1, 1, 1, "好。”", 6100, 6200), (1, 1, 2, None, 6200, 6210), (1, 1, 3, "ok", 6200, 6300)]
+    got = folds.word_groups(spark.createDataFrame(rows, "rec_id long, seg_id long, pos long, word string, start_ms long, end_ms long"), cjk=True).orderBy("group_id").collect()
+    assert [len(r["words"]) for r in got] == [24, 24, 13, 1] and got[-1]["start_ms"] == 6200
