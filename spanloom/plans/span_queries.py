@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import folds, similarity, spans
+from spanloom.operators import folds, retakes, similarity, spans
+from spanloom.sinks import cut_table
+from spanloom.sources import recognised
 
 from .relations import CLIPS, SEGMENTS, WORDS, clips, segments, table, words
 
@@ -396,3 +398,33 @@ def coverage_score(spark, d):
     pairs = similarity.candidates(b, t, 4).filter("shared >= 3")
     both = pairs.join(b.select("block_id", "block"), "block_id").join(t.select("text_id", "norm"), "text_id")
     return both.select("block_id", F.col("text_id").alias("doc_id"), F.round(similarity.coverage(F.col("block"), F.col("norm")), 6).alias("coverage"))
+
+
+@query()
+def retake_flags(spark, d):
+    """Each sentence with the one before it: whether it restarts it, completes a false start, or is a take of the same."""
+    before = F.lag("text").over(_rec())
+    p = segments(spark, d).select("rec_id", "seg_id", "text", before.alias("prev")).filter("prev IS NOT NULL")
+    return p.select("rec_id", "seg_id", retakes.restarts(F.col("prev"), F.col("text")).alias("restarts"), retakes.aborted(F.col("prev"), F.col("text")).alias("aborted"), retakes.related(F.col("prev"), F.col("text")).alias("related"))
+
+
+@query(f"WITH {WORDS} SELECT rec_id, seg_id, pos, word, start_ms + 1000 start_ms, greatest(end_ms, start_ms + 20) + 1000 end_ms FROM word")
+def recognised_words(spark, d):
+    """The words of recognition results: one JSON text a recording, one result a segment; moved by a second."""
+    ms = lambda c: F.concat(F.format_string("%d.%03d", F.floor(F.col(c) / 1000), F.col(c) % 1000), F.lit("s"))
+    w = words(spark, d).select("rec_id", "seg_id", "pos", F.struct("word", ms("start_ms").alias("startOffset"), ms("end_ms").alias("endOffset")).alias("w"))
+    one = w.groupBy("rec_id", "seg_id").agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("ws"))
+    result = F.struct(F.lit("en").alias("languageCode"), F.array(F.struct(F.transform("ws", lambda x: x["w"]).alias("words"))).alias("alternatives"))
+    js = one.select("rec_id", "seg_id", F.to_json(F.struct(F.array(result).alias("results"))).alias("js"))
+    got = recognised.words_of(js.withColumn("key", F.struct("rec_id", "seg_id")), "key", "js", F.lit(1000))
+    return got.select("key.rec_id", "key.seg_id", "pos", "word", "start_ms", "end_ms")
+
+
+_SECONDS = "CAST(({0} + 5) // 10 // 100 AS VARCHAR) || '.' || lpad(CAST(({0} + 5) // 10 % 100 AS VARCHAR), 2, '0')"
+
+
+@query(f"""WITH {SEGMENTS} SELECT rec_id, seg_id, md5(concat_ws(',', CAST(seg_id AS VARCHAR), '"' || speaker || '"', {_SECONDS.format("start_ms")}, {_SECONDS.format("end_ms")}, {_SECONDS.format("dur_ms")}, '3.00', {_SECONDS.format("gap_ms")}, '0.00', '"' || replace(txt, '"', '""') || '"', '""', '"ok"')) line_md5 FROM seg""")
+def cut_table_lines(spark, d):
+    """Each segment as a line of a cut table."""
+    line = cut_table.csv_line(F.col("seg_id"), F.col("speaker"), F.col("start_ms"), F.col("end_ms"), F.lit(3000), F.col("gap_ms"), F.lit(0), F.col("text"), F.lit(None).cast("string"), F.lit("ok"))
+    return segments(spark, d).select("rec_id", "seg_id", F.md5(line).alias("line_md5"))

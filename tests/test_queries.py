@@ -2,14 +2,17 @@
 
 import random
 from collections import namedtuple
+from difflib import SequenceMatcher
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import folds, fuzzy, similarity, spans
+from spanloom.operators import folds, fuzzy, retakes, similarity, spans
 from spanloom.plans import catalog
+from spanloom.sinks import cut_table
+from spanloom.sources import recognised
 
 SF = "/root/testdata/sf0.001"
 Row = namedtuple("Row", "rec_id seg_id pos word same")
@@ -208,3 +211,54 @@ def test_word_groups_in_ideographs(spark):
     rows = [(1, 0, i, w, 100 * i, 100 * i + 90) for i, w in enumerate("漢字" * 30)] + [(1, 1, 0, " ", 6000, 6001), (1, 1, 1, "好。”", 6100, 6200), (1, 1, 2, None, 6200, 6210), (1, 1, 3, "ok", 6200, 6300)]
     got = folds.word_groups(spark.createDataFrame(rows, "rec_id long, seg_id long, pos long, word string, start_ms long, end_ms long"), cjk=True).orderBy("group_id").collect()
     assert [len(r["words"]) for r in got] == [24, 24, 13, 1] and got[-1]["start_ms"] == 6200
+
+
+def _bare(t):
+    return "".join(c for c in t or "" if c.isalnum() or c == "_").lower()
+
+
+def _plain_retakes(t, u):
+    """(restarts, aborted) by the rules, with plain strings that have no fillers."""
+    like = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    p, n = _bare(t), _bare(u)
+    if min(len(p), len(n)) < 3:
+        return False, False
+    w = min(14, max(6, len(n)))
+    x, y = p[:w], n[:w]
+    k = min(len(x), len(y))
+    again = x[: min(4, k)] == y[: min(4, k)] or (len(x) > 3 and x[:4] in y[:7]) or (len(y) > 3 and y[:4] in x[:7]) or (k > 3 and like(x[:k], y[:k]) >= 0.7)
+    false = (p[:3] == n[:3] and len(n) >= len(p) * 3 // 4) or (len(p) > 3 and p[:-1] in n) or (len(p) > 4 and like(p, n[: len(p) + 4]) >= 0.72)
+    return again, again or false
+
+
+def test_retakes_against_plain_rules(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 24))) for _ in range(60)] + [None, "", "漢字仮名", "漢字仮名まじり文", "a𝄞bcde"]
+    pairs = [(i, rng.choice(texts), rng.choice(texts)) for i in range(600)]
+    for k in range(0, 600, 3):  # near copies
+        t = list(pairs[k][1] or "abc")
+        t[rng.randrange(len(t)) if t else 0 : 1] = ["z"]
+        pairs[k] = (k, pairs[k][1], "".join(t))
+    a, b = F.col("a"), F.col("b")
+    df = spark.createDataFrame(pairs, "i long, a string, b string")
+    for r in df.select("i", "a", "b", retakes.restarts(a, b).alias("r"), retakes.aborted(a, b).alias("x"), retakes.related(a, b).alias("y")).collect():
+        one, two = _plain_retakes(r["a"], r["b"]), _plain_retakes(r["b"], r["a"])
+        p, n = _bare(r["a"]), _bare(r["b"])
+        assert (r["r"], r["x"], r["y"]) == (*one, one[1] or two[1] or (len(p) > 3 and p[:4] == n[:4])), r
+
+
+def test_recognised_words(spark, tmp_path):
+    js = ['{"results":[{"languageCode":"en"},{"alternatives":[{"words":[{"word":" a ","startOffset":"1.5s","endOffset":"1.51s"},{"word":" "},{"word":"b"}]},{"words":[{"word":"no"}]}]}]}', "{", None, "{}"]
+    df = spark.createDataFrame(list(enumerate(js)), "k long, js string")
+    assert sorted(tuple(r) for r in recognised.words_of(df, "k", "js", F.lit(100)).collect()) == [(0, 1, 0, "a", 1600, 1620), (0, 1, 2, "b", 100, 120)]
+    (tmp_path / "one.json").write_text(js[0])
+    assert [r["word"] for r in recognised.read_words(spark, str(tmp_path)).orderBy("pos").collect()] == ["a", "b"]
+
+
+def test_cut_table(spark, tmp_path):
+    df = spark.createDataFrame([(2, "x", 1005, 2000, 'say "hi"'), (1, None, 0, 1004, None)], "place long, topic string, s long, e long, t string")
+    c = F.col
+    line = cut_table.csv_line(c("place"), c("topic"), c("s"), c("e"), F.lit(4567), F.lit(-120), F.lit(None).cast("long"), c("t"), F.lit("v"), F.lit("a"))
+    cut_table.write_cut_table(df.select("place", line.alias("line")), f"{tmp_path}/cut")
+    got = "".join(p.read_text() for p in sorted((tmp_path / "cut").glob("part-*"))).splitlines()
+    assert got == ["\ufeff" + ",".join(cut_table.COLUMNS), '1,"",0.00,1.00,1.00,4.57,-0.12,,"","v","a"', '2,"x",1.01,2.00,1.00,4.57,-0.12,,"say ""hi""","v","a"']
