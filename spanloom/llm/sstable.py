@@ -57,7 +57,7 @@ BITS_PER_KEY, HASHES = 10, 7
 MAGIC = b"SLMSST01"
 FOOTER = struct.Struct("<QQQQQQIII8s")
 END_ID = 0
-MEMO = 200_000
+MEMO = 300_000
 SHARD = 512 * 1024 * 1024
 MANIFEST = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("entries", pa.int64()), ("ids", pa.int64())])
 LINE = re.compile(r" ?[^\s\x1c-\x1f\x85\u180e]+")
@@ -125,15 +125,18 @@ class Encoder:
         for c in cuts:
             m = MARKED.fullmatch(c) if self.model else None
             if m and m[2].isalpha():
-                marked.append((c, m[1] + m[2], m[3]))
+                if m[3]:
+                    marked.append((c, m[1] + m[2], m[3]))
+                else:  # kept as a cut, so not as a piece too
+                    out[c] = self._piece(c)
             else:
                 (lines if self.mark is not None and LINE.fullmatch(c) else odd).append(c)
-        parts = {x for _, *two in marked for x in two if x}
+        parts = {x for _, *two in marked for x in two}
         for x in self.pieces.unknown(parts):
             self.pieces.new[x] = self._piece(x)
         of = self.pieces.new
         for c, letters, marks in marked:
-            out[c] = of[letters] + of[marks] if marks else of[letters]
+            out[c] = of[letters] + of[marks]
         size = self.kind.itemsize
         groups = [lines[i : i + 512] for i in range(0, len(lines), 512)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
