@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, htmltext, langid, licenses, mixing, neardup, secret_scan, sstable, wordpiece
+from . import conversations, decontaminate, fillmiddle, fingerprint, htmltext, langid, licenses, mixing, neardup, packing, secret_scan, sstable, wordpiece
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_fingerprint": fingerprint.op8_fingerprint,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_licenses": licenses.op10_licenses,
+        "op11_best_fit_packing": packing.op11_best_fit_packing,
+        "op12_fill_in_middle": fillmiddle.op12_fill_in_middle,
+        "op13_prefix_trie": conversations.op13_prefix_trie,
     }
 
 
@@ -24,4 +27,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_secret_scan": secret_scan.SQL,
         "op9_decontaminate": decontaminate.SQL,
+        "op12_fill_in_middle": fillmiddle.SQL,
+        "op13_prefix_trie": conversations.SQL,
     }
