@@ -61,7 +61,8 @@ class Encoder:
         says = json.loads(Path(path).read_text())
         steps = [s["type"] for s in (says["normalizer"] or {}).get("normalizers", [])]
         split = ((says["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
-        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": SPLIT} and split.get("invert") and split.get("behavior") == "Removed"
+        bare = all(a[:1] == "<" and not SPACE.search(a) for a in self.added)
+        self.by_word = bare and steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": SPLIT} and split.get("invert") and split.get("behavior") == "Removed"
         self.words, self.pieces = Memo(), Memo()
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -73,12 +74,13 @@ class Encoder:
 
     def _cuts(self, text: str) -> list[str]:
         """Words; those of plain letters in lower case."""
-        if "<|" not in text and PLAIN.fullmatch(text):
+        if self._plain(text):
             return text.lower().split()
         return [w.lower() if self._plain(w) else w for w in SPACE.split(text) if w]
 
-    def _plain(self, word: str) -> bool:
-        return bool(PLAIN.fullmatch(word)) and not any(a in word for a in self.added)
+    def _plain(self, text: str) -> bool:
+        """Plain letters, and no added token's string in either case."""
+        return bool(PLAIN.fullmatch(text)) and not ("<" in text and any(a in text.lower() for a in self.added))
 
     def _learn(self, words: list[str]) -> None:
         new, odd = self.words.new, []

@@ -1,0 +1,60 @@
+"""Fill in the middle: the SQL on given tables, a plain version on difficult rows, exact round trips."""
+
+import datetime
+import hashlib
+import re
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from spanloom.llm import fillmiddle
+
+from .edge import CLASHES, ROWS, docs, empty
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain(doc_id, text, seed=7, rate=100, suffix_first=50):
+    t = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", t)
+    h = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[8 * i : 8 * i + 8], 16) for i in range(4))
+    n = len(units)
+    lo, hi = sorted((h1 % (n + 1), h2 % (n + 1)))
+    if not t or any(m in t for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= rate:
+        return n, "plain", None, None, t
+    p, m, s = ("".join(x) for x in (units[:lo], units[lo:hi], units[hi:]))
+    out = f"<S>{s}<P>{p}<M>{m}" if h4 % 100 < suffix_first else f"<P>{p}<S>{s}<M>{m}"
+    return n, "spm" if h4 % 100 < suffix_first else "psm", len(p), len(m), out
+
+
+NAMES = ["n", "form", "prefix_chars", "middle_chars", "output"]
+
+
+def test_query_against_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    df = fillmiddle.op12_fill_in_middle(spark, SF)
+    assert sorted(map(tuple, df.collect())) == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({fillmiddle.SQL})").fetchall())
+
+
+@pytest.mark.parametrize("rate, suffix_first", [(100, 50), (40, 0), (0, 100)])
+def test_against_plain_version(spark, rate, suffix_first):
+    texts = ["", None, "\n", "\n\n\n", "one", "one\n", "a\nb\nc", "a\r\nb\r\n", "has <P> mark\nx", "x <S>", "<M>", "<p> <Q>\n<", "漢字\n\U0001f600é\né\n", "tab\t\nquote ' \" \\ %\n", "nul \x00 in\nit\n", "line\n" * 40_000, "x" * 200_000]
+    rows = [(k * 1000 + i, t) for k in range(6) for i, t in enumerate(texts)] + [(None, "no\nid\nhere\n"), (-5, "a\nb\n"), (3, "twice\nx\n"), (3, "twice\nx\n")]
+    made = fillmiddle.transform(spark.createDataFrame(rows, "doc_id long, text string"), rate=rate, suffix_first=suffix_first)
+    got = fillmiddle.restore(made).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert tuple(r[c] for c in NAMES) == plain(r["doc_id"], r["text"], 7, rate, suffix_first), r["doc_id"]
+        assert r["restored"] == (r["text"] or "")
+
+
+def test_columns(spark):
+    more = docs(spark).withColumns({"output": F.lit(1), "FORM": F.lit(2), "b": F.lit("x"), "given": F.lit(0), "at": F.lit(datetime.datetime(2024, 1, 1)), "arr": F.array(F.lit(1.5))})
+    got = fillmiddle.restore(fillmiddle.transform(more))
+    rows = got.collect()
+    assert len(rows) == len(ROWS) and all(r[c] == c for r in rows for c in CLASHES) and all(r["at"] == datetime.datetime(2024, 1, 1) and r["arr"] == [1.5] for r in rows)
+    assert [c for c in got.columns if c.lower() == "form"] == ["form"] and all(isinstance(r["output"], str) for r in rows)
+    assert fillmiddle.restore(fillmiddle.transform(empty(spark))).count() == 0
