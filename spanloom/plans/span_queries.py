@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import folds, retakes, similarity, spans
+from spanloom.operators import alignment, folds, retakes, similarity, spans
 from spanloom.sinks import cut_table
 from spanloom.sources import recognised
 
@@ -428,3 +428,13 @@ def cut_table_lines(spark, d):
     """Each segment as a line of a cut table."""
     line = cut_table.csv_line(F.col("seg_id"), F.col("speaker"), F.col("start_ms"), F.col("end_ms"), F.lit(3000), F.col("gap_ms"), F.lit(0), F.col("text"), F.lit(None).cast("string"), F.lit("ok"))
     return segments(spark, d).select("rec_id", "seg_id", F.md5(line).alias("line_md5"))
+
+
+@query()
+def clip_alignment(spark, d):
+    """Where clips of every other segment stand in their recordings: 80 characters of it, as they are, or with every 15th
+    replaced or every 11th left out."""
+    text = F.substring("text", 9, 80)
+    said = F.when(F.col("seg_id") % 3 == 0, text).when(F.col("seg_id") % 3 == 1, F.regexp_replace(text, "(?s)(.{14}).", "$1x")).otherwise(F.regexp_replace(text, "(?s)(.{10}).", "$1"))
+    clips = segments(spark, d).filter("seg_id % 2 = 0").select("rec_id", F.col("seg_id").alias("clip_id"), said.alias("transcript"))
+    return alignment.align(clips, words(spark, d))
