@@ -127,6 +127,12 @@ def norm_head(c: Column, n: int) -> Column:
     return F.when(F.length(norm(c)) >= n, cut).otherwise(text_of(c))
 
 
+def norm_cut(c: Column, n: Column) -> Column:
+    """The start of a text before its word character number n (from 0); the whole text if it has no more."""
+    pattern = F.concat(F.lit(rf"^((?:{NOT_WORD}*+[\p{{L}}\p{{N}}_]){{"), n.cast("string"), F.lit(rf"}}+{NOT_WORD}*+)"))
+    return F.when(F.length(norm(c)) > n, F.call_function("regexp_extract", text_of(c), pattern, F.lit(1))).otherwise(text_of(c))
+
+
 def phrase_count(text: Column, phrase: Column) -> Column:
     """Occurrences of phrase in text that do not overlap; 0 for an empty phrase."""
     n = F.length(phrase)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as T
 
 CELL, SEED = 256, 4
+#: Marks that are taken off where a text is cut.
+SEAM = " ，,、；;：:——-\u3000"
 
 
 def character_line(words: DataFrame) -> DataFrame:
@@ -48,6 +51,14 @@ def cells(line: DataFrame) -> DataFrame:
     return one.select("rec_id", "cell", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("chars"))
 
 
+def _read(windows: DataFrame, lines: DataFrame) -> DataFrame:
+    """windows (rec_id, lo, hi and others) with x, the characters of the line from lo to before hi."""
+    held = windows.withColumn("cell", F.explode(F.sequence(F.expr(f"lo div {CELL}"), F.expr(f"hi div {CELL}"))))
+    read = held.join(lines, ["rec_id", "cell"]).groupBy(*windows.columns).agg(F.array_sort(F.collect_list(F.struct("cell", "chars"))).alias("p"))
+    text = F.substring(F.array_join(F.transform("p", lambda x: x["chars"]), ""), (F.col("lo") % CELL + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int"))
+    return read.select(*windows.columns, text.alias("x"))
+
+
 def _place(t: str, text: str) -> tuple[int, int, int]:
     """(edits, last, span): the stretch of text with the fewest edits of t, ending at last (inclusive)."""
     scores = _scan(t, text, 0)
@@ -98,10 +109,8 @@ def _pass(clips: DataFrame, lines: DataFrame, one_in: int, sizes: list[int]) ->
     band = F.floor((F.col("place") - F.col("a")) / wide)
     bands = asked.join(held, ["rec_id", "h"]).select("rec_id", "clip_id", "n", "e", band.alias("band")).distinct()
     lo, hi = F.greatest(F.col("band") * wide - F.col("e"), F.lit(0)), (F.col("band") + 1) * wide + F.col("n") + F.col("e")
-    windows = bands.withColumns({"lo": lo, "hi": hi}).withColumn("cell", F.explode(F.sequence(F.expr(f"lo div {CELL}"), F.expr(f"hi div {CELL}"))))
-    read = windows.join(lines, ["rec_id", "cell"]).groupBy("rec_id", "clip_id", "n", "e", "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("cell", "chars"))).alias("p"))
-    text = F.substring(F.array_join(F.transform("p", lambda x: x["chars"]), ""), (F.col("lo") % CELL + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int"))
-    met = read.select("rec_id", "clip_id", "n", "e", "lo", text.alias("x")).join(clips.select("rec_id", "clip_id", "t"), ["rec_id", "clip_id"])
+    read = _read(bands.select("rec_id", "clip_id", "n", "e", lo.alias("lo"), hi.alias("hi")), lines)
+    met = read.join(clips.select("rec_id", "clip_id", "t"), ["rec_id", "clip_id"])
     got = met.select("rec_id", "clip_id", "n", "e", "lo", F.pandas_udf(_extended, "edits long, last long, span long")("t", "x").alias("g"))
     got = got.filter("g.edits <= e").select("rec_id", "clip_id", "n", "g.edits", "g.span", (F.col("lo") + F.col("g.last")).alias("last_place"))
     best = F.max(F.struct((-F.col("edits")).alias("e"), "last_place", (-F.abs(F.col("span") - F.col("n"))).alias("d"), "span")).alias("b")
@@ -130,12 +139,87 @@ def align(clips: DataFrame, words: DataFrame) -> DataFrame:
     near = _pass(c, lines, 8, [1, 2, 3, 4])
     far = _pass(c.join(near.select("rec_id", "clip_id"), ["rec_id", "clip_id"], "left_anti").filter("n >= 4"), lines, 4, [2, 3])
     found = near.unionByName(far)
+    return _timed(found, line, ["rec_id", "clip_id"], "edits")
+
+
+def _timed(found: DataFrame, line: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """keys, more, and the words and times of first_place and last_place."""
     inside = _in_cells(line)
 
     def at_word(place: str, after: int, names: tuple[str, str, str]) -> DataFrame:
-        p = found.select("rec_id", "clip_id", F.col(place).alias("p"), F.expr(f"{place} div {CELL}").alias("cell"))
+        p = found.select(*keys, F.col(place).alias("p"), F.expr(f"{place} div {CELL}").alias("cell"))
         met = p.join(inside, ["rec_id", "cell"]).filter("at <= p AND p < at + n")
-        return met.select("rec_id", "clip_id", F.col("seg_id").alias(names[0]), F.col("pos").cast("long").alias(names[1]), _time_in_word(F.col("p"), F.lit(after)).alias(names[2]))
+        return met.select(*keys, F.col("seg_id").alias(names[0]), F.col("pos").cast("long").alias(names[1]), _time_in_word(F.col("p"), F.lit(after)).alias(names[2]))
 
     first, last = at_word("first_place", 0, ("first_seg", "first_pos", "start_ms")), at_word("last_place", 1, ("last_seg", "last_pos", "end_ms"))
-    return found.select("rec_id", "clip_id", "edits").join(first, ["rec_id", "clip_id"]).join(last, ["rec_id", "clip_id"])
+    return found.select(*keys, *more).join(first, keys).join(last, keys)
+
+
+def _parts(t: str, x: str, skip: int = 3, jump: int = 2, most: float = 0.15) -> list[tuple[int, int, int, int]]:
+    """(from, to, first, last): stretches t[from:to] of t with their places in x, in order; [] if t is not near.
+
+    The whole table of edits, where a step over ``skip`` or more characters of x costs ``jump``. Read back from the last
+    end of least cost, steps over x are put off as long as they may be, so a phrase said twice belongs to its last take."""
+    size, n = len(x), len(t)
+    if not size or not n:
+        return []
+    codes = np.frombuffer(x.encode("utf-32-le"), "<u4")
+    place = np.arange(size + 1)
+    table = np.zeros((n + 1, size + 1), "int32")
+    for i, c in enumerate(t, 1):
+        row = table[i - 1] + 1
+        row[1:] = np.minimum(row[1:], table[i - 1, :-1] + (codes != ord(c)))
+        row = np.minimum.accumulate(row - place) + place
+        if size >= skip:
+            row[skip:] = np.minimum(row[skip:], np.minimum.accumulate(row[:-skip]) + jump)
+        table[i] = row
+    least = table[n].min()
+    i, j = n, int(size - table[n][::-1].argmin())
+    out, to, last, jumps = [], n, j - 1, 0
+    while i:
+        here = table[i, j]
+        if j and here == table[i - 1, j - 1] + (t[i - 1] != x[j - 1]):
+            i, j = i - 1, j - 1
+        elif here == table[i - 1, j] + 1:
+            i -= 1
+        elif j and here == table[i, j - 1] + 1:
+            j -= 1
+        else:
+            out.append((i, to, j, last))
+            j = int(np.flatnonzero(table[i, : j - skip + 1] + jump == here)[-1])
+            to, last, jumps = i, j - 1, jumps + 1
+    out.append((0, to, j, last))
+    return out[::-1] if least - jump * jumps <= most * n and all(b >= a for _, _, a, b in out) else []
+
+
+def _excised(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for ts, texts in batches:
+        yield pd.Series([[dict(zip(("part", "from", "to", "first", "last"), (k, *p), strict=True)) for k, p in enumerate(_parts(t, x or ""))] for t, x in zip(ts, texts, strict=True)])
+
+
+def excise(clips: DataFrame, words: DataFrame) -> DataFrame:
+    """The parts of each clip's sentences that its transcript keeps, without the stumbles that it leaves out: rec_id,
+    clip_id, part (from 0), n_parts, transcript (the part's), first_seg, first_pos, start_ms, last_seg, last_pos, end_ms.
+    clips: rec_id, clip_id, first_seg, last_seg, transcript.
+
+    Parts follow each other, three characters or more apart. One that cannot stand alone (too short in characters, words
+    or time) goes, unless it is the last. A clip whose sentences are not near its transcript keeps them whole, as one part;
+    so does one without word characters. A clip without words has no row. Costs the product of a transcript and its own
+    sentences; nothing else is read."""
+    keys = ["rec_id", "clip_id"]
+    line = character_line(words)
+    sentences = line.groupBy("rec_id", "seg_id").agg(F.min("at").alias("lo"), F.max(F.col("at") + F.col("n")).alias("hi"))
+    mine = clips.filter("first_seg <= last_seg").select(*keys, F.explode(F.sequence("first_seg", "last_seg")).alias("seg_id")).join(sentences, ["rec_id", "seg_id"])
+    stretch = _read(mine.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), cells(line))
+    both = stretch.join(clips.select(*keys, T.text_of(F.col("transcript")).alias("raw"), T.norm(F.col("transcript")).alias("t")), keys)
+    kind = "array<struct<part:long,`from`:int,`to`:int,first:long,last:long>>"
+    whole = F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("from"), F.length("t").alias("to"), F.lit(0).alias("first"), (F.length("x") - 1).alias("last"))).cast(kind)
+    got = both.withColumn("p", F.pandas_udf(_excised, kind)("t", "x")).withColumn("p", F.when(F.size("p") > 0, F.col("p")).otherwise(whole))
+    rows = got.select(*keys, "lo", "raw", F.size("p").alias("of"), F.explode("p").alias("p"))
+    before = F.when(F.col("p.from") > 0, T.norm_cut(F.col("raw"), F.col("p.from"))).otherwise("")
+    said = F.substring(T.norm_cut(F.col("raw"), F.col("p.to")), F.length(before) + 1, F.length("raw"))
+    rows = rows.select(*keys, F.col("p.part").alias("part"), F.when(F.col("of") == 1, F.col("raw")).otherwise(F.trim(said, F.lit(SEAM))).alias("transcript"), (F.col("p.part") == F.col("of") - 1).alias("final"), (F.col("lo") + F.col("p.first")).alias("first_place"), (F.col("lo") + F.col("p.last")).alias("last_place"))
+    timed = _timed(rows, line, [*keys, "part"], "transcript", "final")
+    kept = timed.filter(F.col("final") | T.is_viable(F.col("transcript"), (F.col("end_ms") - F.col("start_ms")) / 1000)).drop("final")
+    w = Window.partitionBy(*keys)
+    return kept.withColumns({"n_parts": F.count("*").over(w), "part": F.row_number().over(w.orderBy("part")).cast("long") - 1})

@@ -438,3 +438,14 @@ def clip_alignment(spark, d):
     said = F.when(F.col("seg_id") % 3 == 0, text).when(F.col("seg_id") % 3 == 1, F.regexp_replace(text, "(?s)(.{14}).", "$1x")).otherwise(F.regexp_replace(text, "(?s)(.{10}).", "$1"))
     clips = segments(spark, d).filter("seg_id % 2 = 0").select("rec_id", F.col("seg_id").alias("clip_id"), said.alias("transcript"))
     return alignment.align(clips, words(spark, d))
+
+
+@query()
+def stumble_excision(spark, d):
+    """Of every segment and the one behind it, what a transcript without their characters 31 to 60 and without the last 20
+    of the second keeps."""
+    w = _rec()
+    s = segments(spark, d).select("rec_id", "seg_id", "text", F.coalesce(F.lead("seg_id").over(w), F.col("seg_id")).alias("last_seg"), F.coalesce(F.lead("text").over(w), F.lit("")).alias("then"))
+    said = F.concat(F.left("text", F.lit(30)), F.substring("text", F.lit(61), F.length("text")), F.lit(" "), F.left("then", F.greatest(F.length("then") - 20, F.lit(0))))
+    clips = s.filter("seg_id % 2 = 0").select("rec_id", F.col("seg_id").alias("clip_id"), F.col("seg_id").alias("first_seg"), "last_seg", said.alias("transcript"))
+    return alignment.excise(clips, words(spark, d)).withColumn("transcript", F.md5("transcript"))

@@ -97,3 +97,55 @@ def test_query_against_plain_table(spark):
     clips = [(*k, text[k][8:88]) for k in got if k[0] < 4 and k[1] % 3 == 0]
     want = check(spark, clips, rows)
     assert all((got[k]["edits"], got[k]["first_seg"], got[k]["first_pos"], got[k]["last_seg"], got[k]["last_pos"]) == v for k, v in want.items())
+
+
+def test_excised_cases(spark):
+    """The published cases of stumbles: times of the parts kept."""
+    rows, clips, want = [], [], {}
+
+    def case(transcript, sentences, parts):
+        rec = len(clips) + 1
+        for seg, ws in enumerate(sentences):
+            rows.extend((rec, seg, i, w, round(a * 1000), round(b * 1000)) for i, (w, a, b) in enumerate(ws))
+        clips.append((rec, 1, 0, len(sentences) - 1, transcript))
+        want[rec] = [(round(a * 1000), round(b * 1000)) for a, b in parts]
+
+    case("今天我們來介紹核心系統的三個關鍵指標。", [[("今天我們", 20.0, 20.7), ("來介紹", 20.7, 21.3), ("核心系統", 21.32, 22.1), ("呃", 22.12, 22.45), ("核心系統", 22.6, 23.4), ("的三個", 23.4, 24.2), ("關鍵指標", 24.2, 25.6)]], [(20.0, 21.3), (22.6, 25.6)])
+    case("今天我們來說明完整架構。", [[("今天", 5.0, 5.3), ("呃", 5.32, 5.55), ("今天我們", 5.7, 6.5), ("來說明", 6.5, 7.3), ("完整架構", 7.3, 8.6)]], [(5.7, 8.6)])
+    case("簡單模型就能還原無線信號。", [[("簡單", 50.0, 50.45), ("簡單", 50.55, 51.0), ("模型就能還原無線訊號", 51.02, 54.2)]], [(50.55, 54.2)])
+    case("並計算出反射路徑與信號強度", [[("並", 20.0, 20.25), ("計算出反射路徑與訊號強度", 20.26, 22.9), ("分佈", 22.92, 23.5)]], [(20.0, 22.9)])
+    case("儘管如此，這套架構依然具備極高的實務部署價值。", [[("盡", 60.0, 60.14), ("管如此這套架構依然具備極高的實務部署價值", 60.14, 64.2), ("而且未來", 64.35, 65.2)]], [(60.0, 64.2)])
+    case("系統會將感測數據回傳給主機。也就是說，我們的終端設備會公開廣播摘要，任何人在範圍內接收封包就能完成解析。", [[("系統會將感測數據回傳給主機", 100.0, 103.6), ("也就是說我們", 103.75, 104.8)], [("也就是說", 105.3, 105.9), ("也就是說我們的終端設備會公開廣播摘要", 106.05, 110.2), ("任何人在範圍", 110.35, 111.5)], [("任何人在範圍內接收封包就能完成解析。", 112.0, 115.6)]], [(100.0, 103.6), (106.05, 110.2), (112.0, 115.6)])
+    case("Completely other words", [[("今天我們", 1.0, 2.0)]], [(1.0, 2.0)])
+    case(None, [[("今天", 1.0, 2.0), ("我們", 2.0, 2.5)]], [(1.0, 2.5)])
+    case("nothing", [[("...", 1.0, 2.0)]], [])
+    got = {}
+    df = alignment.excise(spark.createDataFrame(clips, "rec_id long, clip_id long, first_seg long, last_seg long, transcript string"), spark.createDataFrame(rows, WORDS))
+    for r in df.orderBy("rec_id", "part").collect():
+        got.setdefault(r["rec_id"], []).append((r["start_ms"], r["end_ms"]))
+        assert r["n_parts"] == len(want[r["rec_id"]])
+    assert {k: got.get(k, []) for k in want} == want
+    said = {(r["rec_id"], r["part"]): r["transcript"] for r in df.collect()}
+    assert said[1, 0] == "今天我們來介紹" and said[1, 1] == "核心系統的三個關鍵指標。" and said[6, 1] == "也就是說，我們的終端設備會公開廣播摘要"
+
+
+def test_parts_against_every_choice():
+    """The least cost of all ways to take stretches in order, by brute force over short texts."""
+    rng = random.Random(9)
+
+    def edits(a, b):
+        return alignment._scan(a, b, 1)[-1] if a and b else len(a) + len(b)
+
+    for _ in range(150):
+        t = "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))
+        x = "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
+        one = lambda a, b: {(i, j): edits(t[a:b], x[i:j]) for i in range(len(x) + 1) for j in range(i, len(x) + 1)}
+        best = min(one(0, len(t)).values())
+        for cut in range(len(t) + 1):
+            left, right = one(0, cut), one(cut, len(t))
+            best = min([best, *(u + v + 2 for (_, j), u in left.items() for (k, _), v in right.items() if k - j >= 3)])
+        parts = alignment._parts(t, x, most=9)
+        if parts:
+            jumps = len(parts) - 1
+            cost = sum(edits(t[a:b], x[i : j + 1]) for a, b, i, j in parts) + 2 * jumps
+            assert cost <= best and (jumps > 1 or cost == best), (t, x, parts, best)
