@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import alignment, folds, retakes, similarity, spans
+from spanloom.operators import alignment, folds, occlusion, retakes, similarity, spans
 from spanloom.sinks import cut_table
 from spanloom.sources import recognised
 
@@ -449,3 +449,21 @@ def stumble_excision(spark, d):
     said = F.concat(F.left("text", F.lit(30)), F.substring("text", F.lit(61), F.length("text")), F.lit(" "), F.left("then", F.greatest(F.length("then") - 20, F.lit(0))))
     clips = s.filter("seg_id % 2 = 0").select("rec_id", F.col("seg_id").alias("clip_id"), F.col("seg_id").alias("first_seg"), "last_seg", said.alias("transcript"))
     return alignment.excise(clips, words(spark, d)).withColumn("transcript", F.md5("transcript"))
+
+
+def _false_starts(spark, d):
+    """Segments as units; each even one ends with the first five words of the next, said too early."""
+    w = words(spark, d).select("rec_id", "seg_id", "pos", "word", "start_ms", "end_ms")
+    ends = segments(spark, d).select("rec_id", (F.col("seg_id") + 1).alias("seg_id"), F.col("end_ms").alias("from_ms"))
+    early = w.filter("seg_id % 2 = 1 AND pos < 5").join(ends, ["rec_id", "seg_id"])
+    late = F.sum(F.col("end_ms") - F.col("start_ms")).over(Window.partitionBy("rec_id", "seg_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    early = early.withColumn("_to", F.col("from_ms") + F.floor(late / 2)).withColumn("_from", F.col("_to") - F.floor((F.col("end_ms") - F.col("start_ms")) / 2))
+    early = early.select("rec_id", F.col("seg_id") - 1, F.col("pos") + 1_000_000, "word", F.col("_from"), F.col("_to"))
+    every = w.union(early)
+    return every.groupBy("rec_id", F.col("seg_id").alias("unit_id")).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), occlusion.words_of_unit().alias("words"))
+
+
+@query()
+def take_occlusion(spark, d):
+    """What is left of units whose ends the next unit says again."""
+    return occlusion.occlude(_false_starts(spark, d))
