@@ -1,10 +1,18 @@
-"""Alignment of a script's blocks with spoken text, for candidates that share a rare enough start or word group."""
+"""Alignment of a script's blocks with spoken text: coverage of a block, and each text's best block of a whole script.
+
+The best block is exact: every block is weighed by an upper bound first, and only blocks whose bound reaches the least
+coverage that counts and the best one found so far are aligned. Matched runs have k characters at least (2 with ideographs,
+else 3), so each gives k-grams that follow each other in both; the longest common subsequence of the k-grams, times k, is
+no less than what is matched. It comes for all blocks of a few hundred at once, a bit a k-gram, in one integer. Texts stay
+where they are read; blocks are a stated set that goes to all tasks in groups of bounded size, a pass over the texts each."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +57,84 @@ def coverage(block: Column, text: Column) -> Column:
     return F.when(F.length(block) == 0, 0.0).when(F.contains(text, block), 1.0).otherwise(F.pandas_udf(_coverage_of, "double")(block, text))
 
 
-def candidates(blocks: DataFrame, texts: DataFrame, words: int = 3) -> DataFrame:
-    """(block_id, text_id) that share a group of words; both sides have id and w (array of words). An equi-join on the
-    groups' hashes; each side's groups are distinct, so a pair is counted before any alignment."""
-    groups = lambda d, name: d.filter(F.size("w") >= words).select(F.col(name), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.slice("w", i, words))))).alias("g"))
-    return groups(blocks, "block_id").join(groups(texts, "text_id"), "g").groupBy("block_id", "text_id").agg(F.count("*").alias("shared"))
+class Blocks:
+    """Blocks of one k, a few hundred at most, that are weighed together."""
+
+    def __init__(self, blocks: Sequence[tuple[int, str]], k: int) -> None:
+        self.k, self.blocks, self.grams = k, sorted(blocks, key=lambda b: len(b[1])), {}
+        self.sizes = np.array([len(t) for _, t in self.blocks])
+        at, starts, guard = 0, [], 0
+        for _, t in self.blocks:
+            starts.append(at)
+            for i in range(len(t) - k + 1):
+                g = t[i : i + k]
+                self.grams[g] = self.grams.get(g, 0) | 1 << at
+                at += 1
+            guard |= 1 << at
+            at += 1
+        self.starts, self.width = np.array(starts), at
+        self.all = (1 << at) - 1 ^ guard
+
+    def bounds(self, text: str) -> np.ndarray:
+        """For each block, no less than the characters of it that text can match in order."""
+        row, known, all_ = self.all, self.grams.get, self.all
+        for i in range(len(text) - self.k + 1):
+            has = known(text[i : i + self.k])
+            if has:
+                met = row & has
+                row = (row + met | row - met) & all_  # a carry ends at the guard behind its block
+        bits = np.unpackbits(np.frombuffer((row ^ all_).to_bytes(self.width // 8 + 1, "little"), "u1"), bitorder="little")
+        most = np.minimum(np.add.reduceat(bits, self.starts, dtype="int64") * self.k, self.sizes)
+        return np.where(self.sizes < self.k, self.sizes, most)  # these can only stand there whole
+
+    def best(self, text: str, least: float, longest: float, found: tuple[float, int] | None) -> tuple[float, int] | None:
+        """(coverage, block), or what was found if none here is better. Equal ones go to the least block."""
+        low = bisect_left(self.sizes, len(text) / longest)
+        sizes = self.sizes[low:]
+        n = int(np.searchsorted(sizes * least, len(text), side="right"))
+        if not n or not text:
+            return found
+        share = self.bounds(text)[low : low + n] / sizes[:n]
+        for i in np.argsort(-share, kind="stable"):
+            if share[i] < least or (found and share[i] < found[0]):
+                break
+            block_id, block = self.blocks[low + i]
+            got = _covered(block, text)
+            if len(text) <= len(block) * longest and got >= least and (not found or (got, -block_id) > (found[0], -found[1])):
+                found = got, block_id
+        return found
+
+
+def best_block(texts: DataFrame, blocks: DataFrame, least: float = 0.45, longest: float = 1.85, group_chars: int = 4_000_000, together: int = 256) -> DataFrame:
+    """texts, which have norm, with block_id and coverage of the block of which norm covers most, ``least`` or more; null if
+    there is none. Of equal ones the least block_id. A text longer than ``longest`` times a block is no take of it.
+    blocks: block_id, norm, a stated set: group_chars characters of it at a time go to all tasks, in a pass of their own.
+    Null texts have no block; empty and null blocks are nobody's."""
+    if not 0 < longest <= 2:
+        raise ValueError("longest: above 0, 2 at most")  # beyond, windows of the text would have to be weighed
+    spark = texts.sparkSession
+    given = blocks.filter(F.length("norm") > 0).select("block_id", "norm")
+    passes = (given.agg(F.sum(F.length("norm"))).first()[0] or 0) // group_chars + 1
+    out = texts.withColumns({"_best": F.lit(None).cast("struct<coverage:double,block_id:long>")})
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in texts.schema)}, _best struct<coverage:double,block_id:long>"
+    for p in range(passes):
+        rows = [tuple(r) for r in given.filter(F.pmod(F.xxhash64("block_id", F.lit(7)), F.lit(passes)) == p).collect()]
+        held = spark.sparkContext.broadcast(rows)
+
+        def weigh(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            sets = []
+            for k in (2, 3):
+                mine = sorted((b for b in held.value if k == (2 if any("\u4e00" <= c <= "\u9fff" for c in b[1]) else 3)), key=lambda b: len(b[1]))
+                sets += [Blocks(mine[i : i + together], k) for i in range(0, len(mine), together)]
+            for b in batches:
+                best = []
+                for text, had in zip(b["norm"], b["_best"], strict=True):
+                    found = (had["coverage"], had["block_id"]) if had is not None else None
+                    for s in sets:
+                        found = s.best(text or "", least, longest, found)
+                    best.append(None if found is None else {"coverage": float(found[0]), "block_id": int(found[1])})
+                yield b.assign(_best=pd.Series(best, index=b.index, dtype=object))
+
+        if rows:
+            out = out.mapInPandas(weigh, schema)
+    return out.select(*texts.columns, F.col("_best.block_id").alias("block_id"), F.col("_best.coverage").alias("coverage"))

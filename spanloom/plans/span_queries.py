@@ -390,14 +390,29 @@ def chunk_boundaries(spark, d):
     return folds.chunks(segments(spark, d), 8_000, 500, 20_000)
 
 
+def _lines(spark, d):
+    """Lines of documents: doc_id, line (from 0), norm."""
+    t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(T.text_of(F.col("text")), "\n")).alias("line", "text"))
+    return t.select("doc_id", F.col("line").cast("long").alias("line"), T.norm(F.col("text")).alias("norm")).filter("norm <> ''")
+
+
+def _blocks(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("block_id"), T.norm(F.col("text")).alias("norm"))
+
+
 @query()
 def coverage_score(spark, d):
-    ws = lambda t: F.filter(F.split(F.lower(T.text_of(t)), T.NOT_WORD + "+"), lambda x: x != "")
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("block_id"), ws(F.col("text")).alias("w"), T.norm(F.col("text")).alias("block"))
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), ws(F.col("text")).alias("w"), T.norm(F.col("text")).alias("norm"))
-    pairs = similarity.candidates(b, t, 4).filter("shared >= 3")
-    both = pairs.join(b.select("block_id", "block"), "block_id").join(t.select("text_id", "norm"), "text_id")
-    return both.select("block_id", F.col("text_id").alias("doc_id"), F.round(similarity.coverage(F.col("block"), F.col("norm")), 6).alias("coverage"))
+    """Each line of a document with the item of ``benchmark`` of which it covers most, if that is 45 % or more."""
+    best = similarity.best_block(_lines(spark, d), _blocks(spark, d)).filter("block_id IS NOT NULL")
+    return best.select("block_id", "doc_id", "line", F.round("coverage", 6).alias("coverage"))
+
+
+@query()
+def last_take_per_block(spark, d):
+    """Of the lines that cover 85 % or more of an item, how many there are and the last one."""
+    best = similarity.best_block(_lines(spark, d), _blocks(spark, d), least=0.85)
+    last = F.max(F.struct("doc_id", "line")).alias("l")
+    return best.filter("block_id IS NOT NULL").groupBy("block_id").agg(F.count("*").alias("takes"), last).select("block_id", "takes", F.col("l.doc_id").alias("doc_id"), F.col("l.line").alias("line"))
 
 
 @query()
