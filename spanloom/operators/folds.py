@@ -10,9 +10,13 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions import text as T
+
+from . import takes
+
 
 def fold(df: DataFrame, key: str, order: Sequence[str], schema: str, new_state: Callable) -> DataFrame:
     """new_state() gives an object with push(row) and close(), both of which return the tuples that are ready."""
@@ -35,27 +39,38 @@ def fold(df: DataFrame, key: str, order: Sequence[str], schema: str, new_state:
 
 
 class Sentences:
-    """Segments (rec_id, seg_id, start_ms, end_ms, nl, closes) to sentences. A segment begins a new one after a long
-    gap; after a shorter gap once the sentence has some length; after any pause once it is long; after a closing mark."""
+    """Segments to sentences. A segment begins a new one after a long gap; after a shorter gap, or with a drawn-out first
+    word, once the sentence has some length; after any pause once it is long; after a closing mark; after a clause mark with a
+    breath, or where the word before the mark took the breath's time; after a slate in Latin letters; between scripts; and
+    where the speaker, or whether it is the one wanted, changes."""
 
     def __init__(self) -> None:
         self.open: list | None = None
         self.count = 0
-        self.closed = False
+        self.last = None
+
+    def _begins(self, row) -> bool:
+        last, gap, n = self.last, row.start_ms - self.open[3], self.open[5]
+        if gap >= 550 or ((gap >= 200 or row.drawn) and n >= 5) or (gap >= 250 and n >= 3 and row.nl >= 4):
+            return True
+        if (row.end_ms - self.open[2] >= 8000 and gap >= 120) or last.closes:
+            return True
+        breath = gap >= 120 or last.last_ms + max(gap, 0) * last.last_n >= 320 * last.last_n or last.last_ms >= 250 * last.last_n
+        if last.clause and ((n >= 6 and row.nl >= 2 and breath) or gap >= 180):
+            return True
+        slate = self.slate and not row.slate and gap >= 150
+        return slate or self.kana != row.kana or last.target != row.target or (last.speaker != row.speaker and bool(last.speaker) and bool(row.speaker))
 
     def push(self, row) -> list:
-        out = []
-        if self.open:
-            gap, n = row.start_ms - self.open[3], self.open[5]
-            long_ = self.open[3] - self.open[2] >= 8000 and gap >= 120
-            if gap >= 550 or (gap >= 200 and n >= 5) or (gap >= 250 and n >= 3 and row.nl >= 4) or long_ or self.closed:
-                out = self.close()
+        out = self.close() if self.open and self._begins(row) else []
         if self.open:
             self.open[3], self.open[4], self.open[5] = row.end_ms, self.open[4] + 1, self.open[5] + row.nl
+            self.slate, self.kana = self.slate and row.slate, self.kana or row.kana
         else:
             self.count += 1
             self.open = [row.rec_id, self.count, row.start_ms, row.end_ms, 1, row.nl]
-        self.closed = row.closes
+            self.slate, self.kana = row.slate, row.kana
+        self.last = row
         return out
 
     def close(self) -> list:
@@ -65,7 +80,68 @@ class Sentences:
 
 
 def sentences(segments: DataFrame) -> DataFrame:
-    return fold(segments.select("rec_id", "seg_id", "start_ms", "end_ms", "nl", "closes"), "rec_id", ["seg_id"], "rec_id long, sent_id long, start_ms long, end_ms long, n_segs long, n_chars long", Sentences)
+    """(rec_id, sent_id, start_ms, end_ms, n_segs, n_chars) of segments: rec_id, seg_id, start_ms, end_ms, text and, any of
+    them left out or null: speaker, target (true if null), first_ms and first_n, last_ms and last_n (time and word characters
+    of the first and last word). A segment without text has no marks, no script and is no slate."""
+    given = lambda c, t, d: (F.coalesce(F.col(c).cast(t), F.lit(d)) if c in segments.columns else F.lit(d).cast(t)).alias(c)
+    text, first_n = T.text_of(F.col("text")), F.greatest(given("first_n", "long", 1), F.lit(1))
+    first_ms = given("first_ms", "long", 0)
+    rows = segments.select(
+        "rec_id", "seg_id", "start_ms", "end_ms", F.length(T.norm(text)).cast("long").alias("nl"), T.ends_with_any(text, T.CLOSURE).alias("closes"), T.ends_with_any(text, T.CLAUSE).alias("clause"),
+        F.trim(text).rlike(r"^[A-Za-z0-9\s\-_]+$").alias("slate"), text.rlike(r"[\x{3040}-\x{30FF}]").alias("kana"), given("speaker", "string", ""), given("target", "boolean", True),
+        ((first_ms >= 1200) & (first_ms >= 450 * first_n)).alias("drawn"), given("last_ms", "long", 0), F.greatest(given("last_n", "long", 1), F.lit(1)).alias("last_n"),
+    )
+    return fold(rows, "rec_id", ["seg_id"], "rec_id long, sent_id long, start_ms long, end_ms long, n_segs long, n_chars long", Sentences)
+
+
+class Pauses:
+    """Words of a sentence to parts: after a closing mark; after a clause mark that took a breath's time; after a short
+    opening whose last syllable drags; and at a pause, or before a drawn-out word, between two clauses."""
+
+    def __init__(self) -> None:
+        self.seg, self.open, self.last = None, None, None
+
+    def _begins(self, row) -> bool:
+        last, n, rest = self.last, self.open[6], row.rest
+        gap, chars = row.start_ms - last.end_ms, max(1, last.nl)
+        took = last.end_ms - last.start_ms
+        if last.closes and n >= 2 and rest >= 1:
+            return True
+        breath = gap >= 120 or took + max(gap, 0) * chars >= 320 * chars or took >= 250 * chars
+        if last.clause and breath and n >= 6 and rest >= 2:
+            return True
+        drags = (took >= 275 * chars and gap >= 60) or (took >= 310 * chars and gap >= 35)
+        if drags and 2 <= n <= 5 and (n <= 4 or gap >= 60) and rest >= 4:
+            return True
+        own = row.end_ms - row.start_ms
+        drawn = own >= 1200 and own >= 450 * max(1, row.nl)
+        return (gap >= 180 or drawn) and n >= (3 if gap >= 250 else 5) and rest >= 5
+
+    def push(self, row) -> list:
+        out = []
+        if row.seg_id != self.seg:
+            out, self.seg, part = self.close(), row.seg_id, 1
+        elif self._begins(row):
+            part = self.open[2] + 1
+            out = self.close()
+        if self.open:
+            self.open[4], self.open[5], self.open[6] = row.end_ms, self.open[5] + 1, self.open[6] + row.nl
+        else:
+            self.open = [row.rec_id, row.seg_id, part, row.start_ms, row.end_ms, 1, row.nl]
+        self.last = row
+        return out
+
+    close = Sentences.close
+
+
+def split_at_pauses(words: DataFrame) -> DataFrame:
+    """(rec_id, seg_id, part, start_ms, end_ms, n_words, n_chars): the parts, from 1, of sentences' words: rec_id, seg_id (the
+    sentence), pos, word, start_ms, end_ms. Null words count as empty."""
+    w = Window.partitionBy("rec_id", "seg_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    word = T.text_of(F.col("word"))
+    rows = words.select("rec_id", "seg_id", "pos", "start_ms", "end_ms", F.length(T.norm(word)).cast("long").alias("nl"), T.ends_with_any(word, T.CLOSURE).alias("closes"), T.ends_with_any(word, T.CLAUSE).alias("clause"))
+    rows = rows.withColumn("rest", F.sum("nl").over(w))
+    return fold(rows, "rec_id", ["seg_id", "pos"], "rec_id long, seg_id long, part long, start_ms long, end_ms long, n_words long, n_chars long", Pauses)
 
 
 class Sanitized:
@@ -220,31 +296,87 @@ def earlier_takes(takes: DataFrame) -> DataFrame:
 
 
 class Chunks:
-    """Cuts a recording at a pause once a chunk is long enough, and anywhere at the longest length."""
+    """Cuts a recording into chunks at pauses, never inside a cluster of takes of one sentence if it can be helped.
+
+    Holds the sentences of the open chunk: no more than fit into the longest chunk, and four behind it. At a pause that
+    is long enough, once the chunk is, the cut goes back to before the first of the takes that go on behind it; if the
+    pause there is too short the search goes on. At the longest length the cut goes to the longest pause that parts no
+    takes. What is behind a cut is looked at again as the beginning of the next chunk. The rest is the last chunk once it
+    is short enough; of it only the number is kept."""
+
+    AHEAD = 4
 
     def __init__(self, target: int, pause: int, longest: int) -> None:
-        self.target, self.pause, self.longest, self.open, self.count = target, pause, longest, None, 0
+        self.target, self.pause, self.longest = target, pause, longest
+        self.start, self.units, self.at, self.earliest, self.count, self.rest = None, [], 0, 0, 0, 0
 
     def push(self, row) -> list:
+        if self.start is None:
+            self.start = 0 if row.start_ms < 30_000 else row.start_ms - 5_000
+            self.rec, self.total = row.rec_id, row.total_ms
+        if self.total - self.start <= self.longest:
+            self.rest += 1
+            return []
+        self.units.append((int(row.start_ms), int(row.end_ms), takes.Take(row.norm, row.bare)))
+        return self._cut(False)
+
+    def _cut(self, end: bool) -> list:
         out = []
-        if self.open:
-            gap = row.start_ms - self.open[3]
-            if (self.open[3] - self.open[2] >= self.target and gap >= self.pause) or row.end_ms - self.open[2] > self.longest:
-                cut = (self.open[3] + row.start_ms) // 2
-                self.open[3] = cut
-                out = self.close()
-                self.count += 1
-                self.open = [row.rec_id, self.count, cut, row.end_ms, 1]
-                return out
-            self.open[3], self.open[4] = max(self.open[3], row.end_ms), self.open[4] + 1
-        else:
+        while self.at < len(self.units) - 1 and (end or self.at + self.AHEAD < len(self.units) - 1):
+            found = self._split()
+            if found is None:
+                self.at += 1
+                continue
+            stop, begin = self.units[found][1], self.units[found + 1][0]
+            middle = stop + max(0, begin - stop) // 2
             self.count += 1
-            self.open = [row.rec_id, self.count, 0, row.end_ms, 1]
+            out.append((self.rec, self.count, self.start, middle, found + 1))
+            self.start, self.units, self.at, self.earliest = middle, self.units[found + 1 :], 0, 0
+            if self.total - self.start <= self.longest:
+                self.rest, self.units = len(self.units), []
         return out
 
-    close = Sentences.close
+    def _split(self) -> int | None:
+        """The unit behind which to cut, if one is settled at the one looked at."""
+        i, units = self.at, self.units
+        length = units[i][1] - self.start
+        if length * 100 >= self.target * 65 and self.earliest == 0:
+            self.earliest = i
+        if length >= self.target and units[i + 1][0] - units[i][1] >= self.pause:
+            safe = self._before_takes(i, self.earliest)
+            if safe == i or units[safe + 1][0] - units[safe][1] >= 400:
+                return safe
+        if length < self.longest:
+            return None
+        first = max(1, self.earliest)
+        best, most = i, -1
+        for c in range(first, i + 1):
+            safe = self._before_takes(c, first)
+            if units[safe + 1][0] - units[safe][1] > most:
+                best, most = safe, units[safe + 1][0] - units[safe][1]
+        return best
+
+    def _before_takes(self, at: int, least: int) -> int:
+        """Back from ``at`` until none of the four before a cut there is a take of one of the four behind it."""
+        while at > least:
+            behind = self.units[at + 1 : at + 1 + self.AHEAD]
+            first = next((b for b in range(max(least, at - self.AHEAD), at + 1) if any(takes.related(self.units[b][2], a[2]) for a in behind)), None)
+            if first is None or first <= least:
+                break
+            at = first - 1
+        return at
+
+    def close(self) -> list:
+        out = self._cut(True) if self.start is not None else []
+        if self.rest + len(self.units):
+            out.append((self.rec, self.count + 1, self.start, self.total, self.rest + len(self.units)))
+        return out
 
 
 def chunks(units: DataFrame, target_ms: int = 480_000, pause_ms: int = 2_000, longest_ms: int = 660_000) -> DataFrame:
-    """units: rec_id, seg_id, start_ms, end_ms."""
-    return fold(units.select("rec_id", "seg_id", "start_ms", "end_ms"), "rec_id", ["seg_id"], "rec_id long, chunk_id long, start_ms long, end_ms long, n_units long", lambda: Chunks(target_ms, pause_ms, longest_ms))
+    """(rec_id, chunk_id, start_ms, end_ms, n_units) of units: rec_id, seg_id, start_ms, end_ms and, if given, text (null and
+    none: no takes). A recording ends where its last unit does; one up to longest_ms is one chunk."""
+    text = F.col("text") if "text" in units.columns else F.lit("")
+    total = F.max("end_ms").over(Window.partitionBy("rec_id"))
+    rows = units.select("rec_id", "seg_id", "start_ms", "end_ms", T.norm(text).alias("norm"), T.strip_fillers(text).alias("bare"), total.alias("total_ms"))
+    return fold(rows, "rec_id", ["seg_id"], "rec_id long, chunk_id long, start_ms long, end_ms long, n_units long", lambda: Chunks(target_ms, pause_ms, longest_ms))

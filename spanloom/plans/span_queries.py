@@ -351,13 +351,41 @@ def retention_filter(spark, d):
     return clips(spark, d).select("rec_id", "clip_id", (F.col("start_ms") < 31_622_400_000 - days * F.lit(86_400_000).cast("long")).alias("expired"))
 
 
-@query(f"""WITH RECURSIVE {SEGMENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY seg_id) rn FROM seg),
-f AS (SELECT rec_id, rn, 1::BIGINT sent_id, start_ms, end_ms, 1::BIGINT k, nl n, closes FROM o WHERE rn = 1 UNION ALL
-SELECT o.rec_id, o.rn, CASE WHEN b THEN f.sent_id + 1 ELSE f.sent_id END, CASE WHEN b THEN o.start_ms ELSE f.start_ms END, o.end_ms, CASE WHEN b THEN 1 ELSE f.k + 1 END, CASE WHEN b THEN o.nl ELSE f.n + o.nl END, o.closes
-FROM f JOIN o ON o.rec_id = f.rec_id AND o.rn = f.rn + 1, LATERAL (SELECT o.start_ms - f.end_ms gap) g, LATERAL (SELECT gap >= 550 OR (gap >= 200 AND f.n >= 5) OR (gap >= 250 AND f.n >= 3 AND o.nl >= 4) OR (f.end_ms - f.start_ms >= 8000 AND gap >= 120) OR f.closes b) h)
+@query(rf"""WITH RECURSIVE {SEGMENTS}, t AS (SELECT rec_id, seg_id, start_ms, end_ms, CASE WHEN seg_id % 10 = 6 THEN left(norm, 6) ELSE txt || CASE seg_id % 5 WHEN 1 THEN '，' WHEN 3 THEN '!' ELSE '' END || CASE WHEN seg_id % 13 = 12 THEN 'の' ELSE '' END END t FROM seg),
+o AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY seg_id) rn, CAST(length(regexp_replace(t, '[^\p{{L}}\p{{N}}_]', '', 'g')) AS BIGINT) nl, regexp_matches(rtrim(t), '(。|！|？|!|\?|……|\.\.\.)$') closes, regexp_matches(rtrim(t), '[，,、；;：:]$') clause,
+  regexp_matches(trim(t), '^[A-Za-z0-9\s\-_]+$') slate, regexp_matches(t, '[\x{{3040}}-\x{{30FF}}]') kana, seg_id % 7 < 5 speaker, seg_id % 11 <> 10 target, seg_id % 6 = 4 drawn, seg_id % 4 = 1 slow FROM t),
+f AS (SELECT rec_id, rn, 1::BIGINT sent_id, start_ms, end_ms, 1::BIGINT k, nl n, closes, clause, slate, kana, speaker, target, slow FROM o WHERE rn = 1 UNION ALL
+SELECT o.rec_id, o.rn, CASE WHEN b THEN f.sent_id + 1 ELSE f.sent_id END, CASE WHEN b THEN o.start_ms ELSE f.start_ms END, o.end_ms, CASE WHEN b THEN 1 ELSE f.k + 1 END, CASE WHEN b THEN o.nl ELSE f.n + o.nl END, o.closes, o.clause, o.slate AND (b OR f.slate), o.kana OR (NOT b AND f.kana), o.speaker, o.target, o.slow
+FROM f JOIN o ON o.rec_id = f.rec_id AND o.rn = f.rn + 1, LATERAL (SELECT o.start_ms - f.end_ms gap) g, LATERAL (SELECT gap >= 550 OR ((gap >= 200 OR o.drawn) AND f.n >= 5) OR (gap >= 250 AND f.n >= 3 AND o.nl >= 4) OR (o.end_ms - f.start_ms >= 8000 AND gap >= 120) OR f.closes
+  OR (f.clause AND ((f.n >= 6 AND o.nl >= 2 AND (gap >= 120 OR (CASE WHEN f.slow THEN 300 ELSE 50 END) + greatest(gap, 0) >= 320 OR f.slow)) OR gap >= 180)) OR (f.slate AND NOT o.slate AND gap >= 150) OR f.kana <> o.kana OR f.target <> o.target OR f.speaker <> o.speaker b) h)
 SELECT rec_id, sent_id, max(start_ms) start_ms, max(end_ms) end_ms, max(k) n_segs, max(n) n_chars FROM f GROUP BY rec_id, sent_id""")
 def sentence_fold(spark, d):
-    return folds.sentences(segments(spark, d))
+    """Sentences of segments that now and then end with marks, are slates or hold kana, have drawn-out first or last words,
+    or change their speaker."""
+    i = F.col("seg_id")
+    mark = F.when(i % 5 == 1, "，").when(i % 5 == 3, "!").otherwise("")
+    text = F.when(i % 10 == 6, F.left("norm", F.lit(6))).otherwise(F.concat("text", mark, F.when(i % 13 == 12, "の").otherwise("")))
+    seg = segments(spark, d).select("rec_id", "seg_id", "start_ms", "end_ms", text.alias("text"), F.when(i % 7 < 5, "A").otherwise("B").alias("speaker"), (i % 11 != 10).alias("target"))
+    return folds.sentences(seg.withColumns({"first_ms": F.when(i % 6 == 4, 1300).otherwise(120), "first_n": F.lit(2), "last_ms": F.when(i % 4 == 1, 600).otherwise(100), "last_n": F.lit(2)}))
+
+
+@query(rf"""WITH RECURSIVE {WORDS}, v AS (SELECT rec_id, seg_id, pos, CASE WHEN (pos + seg_id) % 23 = 7 THEN word || '!' ELSE word END word, nl, greatest(nl, 1) * CASE WHEN (pos * 5 + seg_id * 3) % 7 = 0 THEN 280 WHEN (pos + seg_id) % 17 = 0 THEN 500 ELSE 60 END long, CASE WHEN (pos * 7 + seg_id * 3) % 11 = 0 THEN 500 WHEN (pos * 3 + seg_id) % 5 = 0 THEN 70 ELSE 0 END pause FROM word),
+o AS (SELECT *, sum(long + pause) OVER w end_ms, CAST(sum(nl) OVER (PARTITION BY rec_id, seg_id ORDER BY pos DESC) AS BIGINT) rest, regexp_matches(word, '(。|！|？|!|\?|……|\.\.\.)$') closes, regexp_matches(word, '[，,、；;：:]$') clause, row_number() OVER w rn FROM v WINDOW w AS (PARTITION BY rec_id, seg_id ORDER BY pos)),
+p AS (SELECT *, CAST(end_ms - long AS BIGINT) start_ms, CAST(end_ms AS BIGINT) stop_ms, CAST(long AS BIGINT) took, CAST(greatest(nl, 1) AS BIGINT) chars FROM o),
+f AS (SELECT rec_id, seg_id, rn, 1::BIGINT part, start_ms, stop_ms, nl n, took, chars, closes, clause FROM p WHERE rn = 1 UNION ALL
+SELECT p.rec_id, p.seg_id, p.rn, CASE WHEN b THEN f.part + 1 ELSE f.part END, p.start_ms, p.stop_ms, CASE WHEN b THEN p.nl ELSE f.n + p.nl END, p.took, p.chars, p.closes, p.clause
+FROM f JOIN p ON p.rec_id = f.rec_id AND p.seg_id = f.seg_id AND p.rn = f.rn + 1, LATERAL (SELECT p.start_ms - f.stop_ms gap) g, LATERAL (SELECT (f.closes AND f.n >= 2 AND p.rest >= 1) OR (f.clause AND (gap >= 120 OR f.took + greatest(gap, 0) * f.chars >= 320 * f.chars OR f.took >= 250 * f.chars) AND f.n >= 6 AND p.rest >= 2)
+  OR (((f.took >= 275 * f.chars AND gap >= 60) OR (f.took >= 310 * f.chars AND gap >= 35)) AND f.n BETWEEN 2 AND 5 AND (f.n <= 4 OR gap >= 60) AND p.rest >= 4) OR ((gap >= 180 OR (p.took >= 1200 AND p.took >= 450 * p.chars)) AND f.n >= (CASE WHEN gap >= 250 THEN 3 ELSE 5 END) AND p.rest >= 5) b) h)
+SELECT rec_id, seg_id, part, min(start_ms) start_ms, max(stop_ms) end_ms, count(*) n_words, max(n) n_chars FROM f GROUP BY rec_id, seg_id, part""")
+def pause_split(spark, d):
+    """Parts of sentences whose words now and then drag, pause or close."""
+    i, j = F.col("pos"), F.col("seg_id")
+    w = words(spark, d).select("rec_id", "seg_id", "pos", F.when((i + j) % 23 == 7, F.concat("word", F.lit("!"))).otherwise(F.col("word")).alias("word"), "nl")
+    w = w.withColumn("took", F.greatest(F.col("nl"), F.lit(1)) * F.when((i * 5 + j * 3) % 7 == 0, 280).when((i + j) % 17 == 0, 500).otherwise(60))
+    pause = F.when((i * 7 + j * 3) % 11 == 0, 500).when((i * 3 + j) % 5 == 0, 70).otherwise(0)
+    end = F.sum(F.col("took") + pause).over(Window.partitionBy("rec_id", "seg_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    w = w.withColumn("end_ms", end.cast("long")).withColumn("start_ms", (F.col("end_ms") - F.col("took")).cast("long"))
+    return folds.split_at_pauses(w)
 
 
 @query()

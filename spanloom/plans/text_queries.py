@@ -152,13 +152,6 @@ def lenient_json(spark, d):
     return table(spark, d, "events").select("event_id", F.when(F.startswith(js, F.lit("[")), many).otherwise(one).alias("k"))
 
 
-@query("""SELECT rec_id, string_agg(format('[Sentence {:3d}] {:s}', seg_id, left(norm, 20)), chr(10) ORDER BY seg_id) prompt FROM (WITH """ + SEGMENTS + """ SELECT * FROM seg) GROUP BY rec_id""")
-def transcript_listing(spark, d):
-    line = F.format_string("[Sentence %3d] %s", F.col("seg_id"), F.left("norm", F.lit(20)))
-    rows = segments(spark, d).groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("seg_id", line.alias("line")))).alias("rows"))
-    return rows.select("rec_id", F.array_join(F.transform("rows", lambda x: x["line"]), "\n").alias("prompt"))
-
-
 @query("""SELECT rec_id, string_agg(format('[Sentence ID: {:3d}] {:6.2f}s -> {:6.2f}s | {:s}', seg_id, CAST(start_ms AS DOUBLE) / 1000, CAST(end_ms AS DOUBLE) / 1000, txt), chr(10) ORDER BY seg_id) listing FROM (WITH """ + SEGMENTS + """ SELECT * FROM seg) GROUP BY rec_id""")
 def transcript_listing_whole(spark, d):
     """Each sentence's number, start, end and whole text as it was written."""
