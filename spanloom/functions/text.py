@@ -17,6 +17,16 @@ FILLERS = ("那麼", "那", "其實", "然後", "而且", "好", "來", "對", "
 #: Marks that close a sentence, and marks that close a clause.
 CLOSURE = ("。", "！", "？", "!", "?", "……", "...")
 CLAUSE = ("，", ",", "、", "；", ";", "：", ":")
+#: What a line of metadata in a script begins with, and labels before spoken text.
+METADATA = (
+    "標題：", "標題:", "主題：", "主題:", "大綱：", "大綱:", "備註：", "備註:", "說明：", "說明:", "專案：", "專案:",
+    "title:", "subject:", "topic:", "outline:", "author:", "date:", "duration:", "scene:", "note:", "notes:",
+)
+LABELS = (
+    "內文：", "內文:", "講稿：", "講稿:", "腳本：", "腳本:", "台詞：", "台詞:", "旁白：", "旁白:", "口白：", "口白:",
+    "body:", "script:", "narration:", "voiceover:", "vo:",
+)
+CUES = r"（.*?）|\(.*?\)|【.*?】|\[.*?\]"
 #: File suffix and media type.
 MEDIA_TYPES = {
     ".mp4": "video/mp4", ".mov": "video/quicktime", ".mkv": "video/x-matroska", ".avi": "video/x-msvideo", ".webm": "video/webm",
@@ -140,23 +150,6 @@ def phrase_count(text: Column, phrase: Column) -> Column:
     return F.when(n > 0, (gone / n).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
-def fuzzy_count(text: Column, phrase: Column) -> Column:
-    """Occurrences from the left that do not overlap and differ in few characters: none below 5, one below 10, else two."""
-    n = F.length(phrase)
-    most = F.when(n < 5, 0).when(n < 10, 1).otherwise(2)
-    state = "struct<found:int,free:int>"
-
-    def step(acc, at):
-        piece = F.split(F.substring(text, at, n), "")
-        differs = F.size(F.filter(F.zip_with(piece, F.split(phrase, ""), lambda a, b: a != b), lambda x: x))
-        hit = (at >= acc["free"]) & (differs <= most)
-        return F.struct(F.when(hit, acc["found"] + 1).otherwise(acc["found"]).alias("found"), F.when(hit, at + n).otherwise(acc["free"]).alias("free")).cast(state)
-
-    places = F.sequence(F.lit(1), F.length(text) - n + 1)
-    found = F.aggregate(places, F.struct(F.lit(0).alias("found"), F.lit(1).alias("free")).cast(state), step, lambda acc: acc["found"])
-    return F.when((n > 0) & (F.length(text) >= n), found).otherwise(F.lit(0)).cast("long")
-
-
 def suffix_prefix(a: Column, b: Column, most: int = 48, least: int = 5) -> Column:
     """Length of the longest end of a that begins b, from most down to least characters; 0 if none."""
     ends = F.array(F.struct(F.right(a, F.lit(most)).alias("a"), F.left(b, F.lit(most)).alias("b")))  # bound once, not once a length
@@ -164,15 +157,25 @@ def suffix_prefix(a: Column, b: Column, most: int = 48, least: int = 5) -> Colum
     return F.coalesce(F.get(F.transform(ends, longest), F.lit(0)), F.lit(0)).cast("long")
 
 
-def script_lines(text: Column) -> Column:
-    """The spoken lines of a script: no front matter, headings, rules, cues in brackets, list marks or labels."""
-    lines = F.transform(F.split(text_of(text), "\n"), lambda x: F.trim(x))
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
+def script_blocks(text: Column) -> Column:
+    """The spoken blocks of a script, array<struct<raw,norm>>: its lines without front matter (all of it if it is never
+    closed), headings, rules, lines of metadata, and marks of lists and quotes and section labels at their start. norm is
+    without cues in brackets; blocks with under four word characters are none."""
+    lines = F.transform(F.split(text_of(text), "\n"), strip)
     rest = F.slice(lines, F.lit(2), F.size(lines))
-    close = F.array_position(rest, F.lit("---")).cast("int")
-    body = F.when((F.get(lines, F.lit(0)) == "---") & (close > 0), F.slice(rest, close + 1, F.size(rest))).otherwise(lines)
-    bare = F.filter(body, lambda x: ~x.rlike(r"^(?:#|[-*_=]{3,}$|[\[(（【][^\])）】]*[\])）】]$)"))
-    bare = F.transform(bare, lambda x: F.trim(F.regexp_replace(x, r"^(?:[-*+]|[0-9]+[.)])[ \t]+", "")))
-    return F.filter(bare, lambda x: F.length(F.regexp_replace(x, NOT_WORD, "")) >= 4)
+    close = F.array_position(F.transform(rest, lambda x: x.isin("---", "...")), F.lit(True)).cast("int")
+    body = F.when(F.get(lines, F.lit(0)) != "---", lines).when(close > 0, F.slice(rest, close + 1, F.size(rest))).otherwise(F.array().cast("array<string>"))
+    some = F.filter(body, lambda x: ~x.rlike(r"^(?:#|[-=*_]{3,}$)"))
+    bare = F.transform(some, lambda x: strip(F.regexp_replace(x, r"^[>*\-\p{Nd}.]+", "")))
+    spoken = F.filter(bare, lambda x: ~F.lower(x).rlike(f"^(?:{'|'.join(METADATA)})"))
+    raw = F.transform(spoken, lambda x: strip(F.regexp_replace(x, f"(?i)^(?:{'|'.join(LABELS)})", "")))
+    both = F.transform(raw, lambda x: F.struct(x.alias("raw"), norm(F.regexp_replace(x, CUES, "")).alias("norm")))
+    return F.filter(both, lambda x: F.length(x["norm"]) >= 4)
 
 
 def lenient_json(c: Column) -> Column:

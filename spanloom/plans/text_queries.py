@@ -124,14 +124,38 @@ def suffix_prefix_overlap(spark, d):
     return df.select("doc_id", T.suffix_prefix(F.col("a"), F.col("b")).alias("overlap"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, '---' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) || '# head' || chr(10) || '1. ' || coalesce(text, '') || chr(10) || '[cue]' x FROM documents),
-l AS (SELECT doc_id, unnest(string_split(x, chr(10))) line, unnest(range(len(string_split(x, chr(10))))) i FROM t),
-k AS (SELECT doc_id, i, trim(regexp_replace(trim(line), '^(?:[-*+]|[0-9]+[.)])[ \t]+', '')) line FROM l WHERE i > 2 AND NOT regexp_matches(trim(line), '^(?:#|[-*_=]{3,}$|[\[(（【][^\])）】]*[\])）】]$)'))
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) block_id, md5(line) line_md5 FROM k WHERE length(regexp_replace(line, '[^\p{L}\p{N}_]', '', 'g')) >= 4""")
+_STRIP = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+SCRIPTS = rf"""t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '---' || chr(10) || 'title: x' || chr(10) || '...' WHEN 1 THEN '---' || chr(10) || 'a: b' || chr(10) || ' --- ' WHEN 2 THEN '# head' || chr(10) || '===' ELSE '---' END || chr(10) || 'Title: none' || chr(10) || '1. Body: ' || replace(replace(coalesce(text, ''), ' the ', ' [cut] the '), '. ', '.' || chr(10) || '> - ') || chr(10) || '（鏡頭拉近）' || chr(10) || '內文：' x FROM documents),
+l0 AS (SELECT doc_id, list_transform(string_split(x, chr(10)), lambda y: {_STRIP.format("y")}) l FROM t),
+l1 AS (SELECT doc_id, l, CASE WHEN l[1] <> '---' THEN 0 ELSE coalesce(list_position(list_transform(l[2:], lambda y: y IN ('---', '...')), true) + 1, len(l)) END gone FROM l0),
+l2 AS (SELECT doc_id, unnest(l[gone + 1:]) y, unnest(range(len(l[gone + 1:]))) i FROM l1),
+l3 AS (SELECT doc_id, i, {_STRIP.format(r"regexp_replace(y, '^[>*\-\p{Nd}.]+', '')")} y FROM l2 WHERE NOT regexp_matches(y, '^(?:#|[-=*_]{{3,}}$)')),
+l4 AS (SELECT doc_id, i, {_STRIP.format(f"regexp_replace(y, '(?i)^(?:{'|'.join(T.LABELS)})', '')")} raw FROM l3 WHERE NOT regexp_matches(lower(y), '^(?:{'|'.join(T.METADATA)})')),
+l5 AS (SELECT doc_id, i, raw, lower(regexp_replace(regexp_replace(raw, '{T.CUES}', '', 'g'), '[^\p{{L}}\p{{N}}_]', '', 'g')) norm FROM l4),
+block AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) block_id, raw, norm FROM l5 WHERE length(norm) >= 4)"""
+
+
+def _scripts(spark, d):
+    """Documents as scripts: with front matter (closed either way, or never), a rule, a title, labels, marks and cues."""
+    i, lit = F.col("doc_id") % 4, F.lit
+    head = F.when(i == 0, "---\ntitle: x\n...").when(i == 1, "---\na: b\n --- ").when(i == 2, "# head\n===").otherwise("---")
+    text = F.replace(F.replace(T.text_of(F.col("text")), lit(" the "), lit(" [cut] the ")), lit(". "), lit(".\n> - "))
+    x = F.concat(head, lit("\nTitle: none\n1. Body: "), text, lit("\n（鏡頭拉近）\n內文："))
+    blocks = table(spark, d, "documents").select("doc_id", F.posexplode(T.script_blocks(x)).alias("i", "b"))
+    return blocks.select("doc_id", (F.col("i") + 1).cast("long").alias("block_id"), "b.raw", "b.norm")
+
+
+@query(f"WITH {SCRIPTS} SELECT doc_id, block_id, md5(raw) line_md5, md5(norm) norm_md5 FROM block")
 def script_blocks_parse(spark, d):
-    x = F.concat(F.lit("---\ntitle: x\n---\n# head\n1. "), T.text_of(F.col("text")), F.lit("\n[cue]"))
-    df = table(spark, d, "documents").select("doc_id", F.posexplode(T.script_lines(x)).alias("i", "line"))
-    return df.select("doc_id", (F.col("i") + 1).cast("long").alias("block_id"), F.md5("line").alias("line_md5"))
+    return _scripts(spark, d).select("doc_id", "block_id", F.md5("raw").alias("line_md5"), F.md5("norm").alias("norm_md5"))
+
+
+@query(f"WITH {SCRIPTS} SELECT doc_id, string_agg(format('[Script Block {{:02d}}] {{:s}}', block_id, raw), chr(10) ORDER BY block_id) listing FROM block GROUP BY doc_id")
+def script_listing(spark, d):
+    """Each script's blocks with their numbers."""
+    line = F.format_string("[Script Block %02d] %s", F.col("block_id"), F.col("raw"))
+    rows = _scripts(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_id", line.alias("line")))).alias("rows"))
+    return rows.select("doc_id", F.array_join(F.transform("rows", lambda x: x["line"]), "\n").alias("listing"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) l FROM documents)
