@@ -74,15 +74,14 @@ def _encoder(path: str, plain: bool = False) -> Encoder:
 
 
 class Memo:
-    """A table of the ids of some MEMO cuts met lately: of two generations, the older goes when the newer is full."""
+    """A table of the ids of MEMO // part cuts met lately: of two generations, the older goes when the newer is full."""
 
-    def __init__(self) -> None:
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, part: int = 1) -> None:
+        self.part, self.new, self.old = part, {}, {}
 
     def unknown(self, cuts: set[str]) -> list[str]:
         """Those of the cuts that are in neither; the others are now in the newer."""
-        if len(self.new) > MEMO:
+        if len(self.new) > MEMO // self.part:
             self.old, self.new = self.new, {}
         new, old, out = self.new, self.old, []
         for c in cuts.difference(new):
@@ -104,7 +103,7 @@ class Encoder:
         self.added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.model = self.tokenizer.model if isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None else None
-        self.plain, self.spaced, self.pieces = Memo(), Memo(), Memo()  # cuts as they stand, cuts behind a space, pieces
+        self.plain, self.spaced, self.pieces = Memo(6), Memo(), Memo(2)  # cuts as they stand, cuts behind a space, pieces
         alone = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = np.array(alone, self.kind).tobytes()
         self.mark = alone[0] if len(alone) == 1 else None
@@ -131,12 +130,13 @@ class Encoder:
                     out[c] = self._piece(c)
             else:
                 (lines if self.mark is not None and LINE.fullmatch(c) else odd).append(c)
-        parts = {x for _, *two in marked for x in two}
+        words = self.spaced.new
+        parts = {x for _, *two in marked for x in two if x[0] != " " or x[1:] not in words}
         for x in self.pieces.unknown(parts):
             self.pieces.new[x] = self._piece(x)
         of = self.pieces.new
         for c, letters, marks in marked:
-            out[c] = of[letters] + of[marks]
+            out[c] = (of[letters] if letters in of else words[letters[1:]]) + of[marks]
         size = self.kind.itemsize
         groups = [lines[i : i + 512] for i in range(0, len(lines), 512)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
