@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 N = 13
-MAX_BROADCAST = 200_000
+MAX_BROADCAST, MAX_BYTES = 200_000, 32 << 20
 SEPARATORS = r"[\x00-/:-`{-\x7f]+"
 AZ, az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HITS = "array<struct<pos:int,len:int>>"
@@ -88,25 +88,35 @@ def _located_by_set(df: DataFrame, text: str, grams: list, n: int, out: str) ->
 
 
 def _located_by_join(df: DataFrame, text: str, grams: DataFrame, n: int, out: str) -> DataFrame:
-    """The same for a benchmark of any size: (row, position, window hash) joined to the table of windows."""
-    row, w, at, k, gram = fresh(df, "_row", "_w", "_at", "_k", "_gram")
-    df = df.withColumn(row, F.monotonically_increasing_id())
-    scan = df.select(row, words(F.col(text)).alias(w))
+    """The same for a benchmark of any size. What is hit depends on the text alone, so each distinct text is looked at once,
+    under its SHA-256, which stays the same when a lost executor's rows are read again. Its windows' hashes are joined to
+    those of the benchmark; the window itself comes with a hit only and is compared with the text."""
+    key, w, at, k, folded, gram = fresh(df, "_key", "_w", "_at", "_k", "_folded", "_gram")
+    df = df.withColumn(key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    scan = df.select(key, F.col(text).alias(w)).groupBy(key).agg(F.first(w).alias(w)).select(key, words(F.col(w)).alias(w))
     lens = [r[0] for r in grams.select("len").distinct().collect()]  # n values at most
     cut = scan.withColumn(k, F.explode(F.array(*map(F.lit, lens)).cast("array<int>"))).filter(F.size(w) >= F.col(k))
-    cut = cut.select(row, k, F.posexplode(F.transform(F.sequence(F.lit(1), F.size(w) - F.col(k) + 1), lambda i: F.array_join(F.slice(w, i, F.col(k)), " "))).alias(at, gram))
-    met = cut.join(grams.select(F.col("gram").alias(gram), F.col("len").alias(k)).distinct(), [gram, k])
-    met = met.groupBy(row).agg(F.array_sort(F.collect_list(F.struct((F.col(at) + 1).alias("pos"), F.col(k).alias("len")))).alias(at))
-    both = df.join(met, row, "left")
-    return both.withColumn(out, F.struct(F.size(words(F.col(text))).cast("long").alias("n_words"), F.coalesce(F.col(at), F.array().cast(HITS)).alias("hits"))).drop(row, at)
+    hashed = cut.select(key, k, F.transform(w, lambda x: F.xxhash64(x)).alias(w))
+    places = hashed.select(key, k, F.posexplode(F.transform(F.sequence(F.lit(1), F.size(w) - F.col(k) + 1), lambda i: F.xxhash64(F.slice(w, i, F.col(k))))).alias(at, folded))
+    met = places.join(grams.select(F.col("folded").alias(folded), F.col("len").alias(k), F.col("gram").alias(gram)).distinct(), [folded, k])
+    met = met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((F.col(at) + 1).alias("pos"), F.col(k).alias("len"), F.col(gram).alias("gram")))).alias(at))
+    both = df.join(met, key, "left").withColumn(w, words(F.col(text)))
+    real = F.filter(at, lambda s: F.array_join(F.slice(F.col(w), s["pos"], s["len"]), " ") == s["gram"])
+    hits = F.coalesce(F.transform(real, lambda s: F.struct(s["pos"].alias("pos"), s["len"].alias("len"))), F.array().cast(HITS))
+    return both.withColumn(out, F.struct(F.size(w).cast("long").alias("n_words"), hits.alias("hits"))).drop(key, w, at)
+
+
+def _few(grams: DataFrame, max_broadcast: int) -> bool:
+    """Whether windows are few and small enough to stand in an expression, or to go to all tasks."""
+    n, size = grams.agg(F.count("*"), F.sum(F.octet_length("gram"))).first()
+    return n <= max_broadcast and (size or 0) <= MAX_BYTES
 
 
 def locate(docs: DataFrame, bench: DataFrame, n: int = N, text: str = "text", bench_text: str = "text", item_id: str = "item_id", max_broadcast: int = MAX_BROADCAST, out: str = "hit") -> DataFrame:
     """docs with a column ``out``: struct(n_words long, hits array<struct(pos, len)>), pos from 1, in words."""
     (name,) = fresh(docs, out)
     grams = windows(bench, n, bench_text, item_id).select("gram", "folded", "len", "head").distinct()
-    few = grams.limit(max_broadcast + 1).collect()  # the size check; nothing is used of a larger benchmark
-    df = _located_by_set(docs, text, few, n, name) if len(few) <= max_broadcast else _located_by_join(docs, text, grams, n, name)
+    df = _located_by_set(docs, text, grams.collect(), n, name) if _few(grams, max_broadcast) else _located_by_join(docs, text, grams, n, name)
     return df if name == out else df.withColumnRenamed(name, out)
 
 
@@ -135,7 +145,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, mode: str = "documents", n:
     run = r"[^\x00-/:-@\[-`{-\x7f]+"
     kept = F.expr(
         f"transform(array(named_struct('s', split({_quoted(text)}, r'{run}'), 'w', regexp_extract_all({_quoted(text)}, r'{run}', 0), 'c', transform({hit}.hits, s -> sequence(s.pos, s.pos + s.len - 1)))), "
-        "x -> array_join(concat(array(x.s[0]), transform(x.w, (w, i) -> IF(array_contains(flatten(x.c), i + 1), '', concat(w, x.s[i + 1])))), ''))[0]"
+        "x -> array_join(concat(array(x.s[0]), transform(array_except(sequence(1, size(x.w)), flatten(x.c)), i -> concat(x.w[i - 1], x.s[i]))), ''))[0]"
     )
     return df.withColumn(text, F.when(F.size(F.col(hit)["hits"]) > 0, kept).otherwise(F.col(text))).drop(hit)
 
@@ -149,7 +159,7 @@ def report(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str
         F.when(F.size(F.col("hit")["hits"]) > 0, exact).otherwise(F.array().cast("array<string>")).alias("grams"),
     )
     grams = windows(bench, n, item_id=item_id).select("gram", "item").distinct()
-    small = len(grams.limit(max_broadcast + 1).select("item").collect()) <= max_broadcast
+    small = _few(grams, max_broadcast)
     parts = rows.select("row", "doc_id", "n_words", "n_hit", F.explode_outer("grams").alias("gram"))
     parts = parts.join(F.broadcast(grams) if small else grams, "gram", "left")
     items = F.array_sort(F.collect_set("item"))
