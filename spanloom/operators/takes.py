@@ -13,7 +13,9 @@ from typing import NamedTuple
 #: Fixed value: how much of a take's end and of the next one's start is compared.
 REACH = 48
 _CJK = re.compile("[぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]")
-_LATIN = re.compile("[A-Za-z0-9]+")
+LATIN = re.compile("[A-Za-z0-9]+")
+IDEOGRAPHS = re.compile("[一-鿿぀-ヿ가-힯]")
+CLAUSE = re.compile("[，,、；;：:…—]+")
 
 
 class Take(NamedTuple):
@@ -25,6 +27,11 @@ class Take(NamedTuple):
         return Take(self.norm[:n], self.bare[: max(0, len(self.bare) - cut)])
 
 
+def bare(text: str) -> str:
+    """Letters, digits and _ in lower case."""
+    return "".join(c for c in text if c == "_" or c.isalnum()).lower()
+
+
 def _alike(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
@@ -160,6 +167,6 @@ def stutter(text: str, script: Script) -> int:
 def viable(words: Sequence[str], ms: int) -> bool:
     """Whether words can stand alone: long enough in time and in characters or words."""
     text = " ".join(words)
-    cjk, latin = len(_CJK.findall(text)), _LATIN.findall(text)
+    cjk, latin = len(_CJK.findall(text)), LATIN.findall(text)
     chars = sum(map(len, latin))
     return ms >= 550 and len(text.replace(" ", "")) >= 2 and (cjk >= 4 or len(latin) >= 3 or chars >= 10 or (cjk >= 2 and chars >= 3))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import alignment, folds, occlusion, retakes, similarity, spans
+from spanloom.operators import alignment, anomalies, folds, occlusion, retakes, similarity, spans
 from spanloom.sinks import cut_table
 from spanloom.sources import recognised
 
@@ -510,3 +510,13 @@ def _false_starts(spark, d):
 def take_occlusion(spark, d):
     """What is left of units whose ends the next unit says again."""
     return occlusion.occlude(_false_starts(spark, d))
+
+
+@query()
+def anomaly_windows(spark, d):
+    """Windows in which the clips of ``take_occlusion``, before any is cut, would be looked at again."""
+    units = _false_starts(spark, d)
+    text = F.array_join(F.transform("words", lambda x: x["w"]), " ")
+    anchor = F.when(F.col("unit_id") % 5 != 4, F.col("unit_id"))
+    clips = units.select("rec_id", F.col("unit_id").alias("clip_id"), "start_ms", "end_ms", text.alias("text"), anchor.alias("first_seg"), anchor.alias("last_seg"))
+    return anomalies.merge(anomalies.candidates(clips))
