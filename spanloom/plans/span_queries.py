@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import alignment, anomalies, folds, occlusion, retakes, similarity, spans
-from spanloom.sinks import cut_table
+from spanloom.sinks import cut_table, timeline
 from spanloom.sources import recognised
 
 from .relations import CLIPS, SEGMENTS, WORDS, clips, segments, table, words
@@ -520,3 +520,28 @@ def anomaly_windows(spark, d):
     anchor = F.when(F.col("unit_id") % 5 != 4, F.col("unit_id"))
     clips = units.select("rec_id", F.col("unit_id").alias("clip_id"), "start_ms", "end_ms", text.alias("text"), anchor.alias("first_seg"), anchor.alias("last_seg"))
     return anomalies.merge(anomalies.candidates(clips))
+
+
+def _frames_sql(ms: str, num: int, den: int) -> str:
+    """ms * num / (1000 * den), halves to even."""
+    n, d = f"(({ms}) * {num})", 1000 * den
+    return f"({n} // {d} + CASE WHEN 2 * ({n} % {d}) > {d} OR (2 * ({n} % {d}) = {d} AND ({n} // {d}) % 2 = 1) THEN 1 ELSE 0 END)"
+
+
+def _timeline_clips(spark, d):
+    """Segments as clips; each fourth is a seam."""
+    s = segments(spark, d)
+    return s.select("rec_id", F.col("seg_id").alias("clip_id"), F.concat("speaker", F.lit(' & "<'), F.left("text", F.lit(9))).alias("topic"), "start_ms", "end_ms", (F.col("seg_id") % 4 == 3).alias("splice"))
+
+
+_TOPIC = """replace(replace(replace(replace('Clip_' || lpad(CAST(seg_id AS VARCHAR), CAST(greatest(2, length(CAST(seg_id AS VARCHAR))) AS INT), '0') || '_' || left(speaker || ' & "<' || left(txt, 9), 15), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
+
+
+@query(f"""WITH {SEGMENTS}, f AS (SELECT *, greatest(1, {_frames_sql("end_ms - start_ms", 24000, 1001)}) frames, {_frames_sql("start_ms", 24000, 1001)} begun FROM seg),
+g AS (SELECT *, row_number() OVER w - 1 place, sum(frames) OVER w - frames gone FROM f WINDOW w AS (PARTITION BY rec_id ORDER BY start_ms, end_ms, seg_id))
+SELECT rec_id, place, CAST(frames AS BIGINT) frames, md5('<asset-clip name="' || {_TOPIC} || '" ref="r2" offset="' || CASE WHEN gone = 0 THEN '0s' ELSE CAST(CAST(gone AS BIGINT) * 1001 AS VARCHAR) || '/24000s' END || '" start="' || CAST(begun * 1001 AS VARCHAR) || '/24000s" duration="' || CAST(frames * 1001 AS VARCHAR) || '/24000s"'
+  || CASE WHEN seg_id % 4 = 3 THEN '><adjust-transform scale="1.12 1.12"/><marker start="' || CAST(begun * 1001 AS VARCHAR) || '/24000s" duration="1001/24000s" value="Composite Splice (Pick-up)"/></asset-clip>' ELSE '/>' END) item_md5 FROM g""")
+def timeline_items(spark, d):
+    """Each segment as an element of an editing timeline."""
+    items = timeline.fcpxml_items(_timeline_clips(spark, d), punch_in=True)
+    return items.select("rec_id", "place", "frames", F.md5("item").alias("item_md5"))

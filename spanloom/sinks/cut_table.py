@@ -1,4 +1,4 @@
-"""Writes clips as lines of a cut table or as items of an editing timeline."""
+"""Writes clips as lines of a cut table."""
 
 from __future__ import annotations
 
