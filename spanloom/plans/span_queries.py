@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as T
 from spanloom.operators import alignment, anomalies, folds, occlusion, retakes, similarity, spans
 from spanloom.sinks import cut_table, timeline
-from spanloom.sources import recognised
+from spanloom.sinks import edit_lists as edit_list_sink
+from spanloom.sources import edit_lists, recognised
 
 from .relations import CLIPS, SEGMENTS, WORDS, clips, segments, table, words
 
@@ -545,3 +546,18 @@ def timeline_items(spark, d):
     """Each segment as an element of an editing timeline."""
     items = timeline.fcpxml_items(_timeline_clips(spark, d), punch_in=True)
     return items.select("rec_id", "place", "frames", F.md5("item").alias("item_md5"))
+
+
+@query(f"""WITH {SEGMENTS}, b AS (SELECT DISTINCT rec_id, rec_id % 7 = 3 cut, rec_id % 7 = 5 bare FROM seg)
+SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY seg_id) - 1 place, seg_id clip_id, start_ms, end_ms, md5(txt) text_md5, CAST(NULL AS VARCHAR) reason FROM seg WHERE rec_id % 7 NOT IN (3, 5)
+UNION ALL SELECT rec_id, NULL, NULL, NULL, NULL, NULL, CASE WHEN cut THEN 'no object' ELSE 'no clips' END FROM b WHERE cut OR bare""")
+def edit_list_clips(spark, d):
+    """Segments written as edit lists in JSON, some of them broken off or without clips, and read again."""
+    s = segments(spark, d).withColumn("place", F.row_number().over(_rec()))
+    js = edit_list_sink.edit_list_json(s.select("rec_id", "place", F.col("seg_id").alias("clip_id"), F.col("start_ms").alias("source_in_ms"), F.col("end_ms").alias("source_out_ms"), F.col("text").alias("transcript")))
+    k = F.col("rec_id") % 7
+    broken = js.withColumn("js", F.when(k == 3, F.left("js", F.length("js") - 9)).when(k == 5, '{"project_title": ""}').otherwise(F.col("js")))
+    clips, bad = edit_lists.parse_edit_lists(broken, "rec_id", "js")
+    good = clips.select("rec_id", "place", "clip_id", F.col("source_in_ms").alias("start_ms"), F.col("source_out_ms").alias("end_ms"), F.md5("transcript").alias("text_md5"), F.lit(None).cast("string").alias("reason"))
+    none = F.lit(None).cast("long")
+    return good.unionByName(bad.select("rec_id", none.alias("place"), none.alias("clip_id"), none.alias("start_ms"), none.alias("end_ms"), F.lit(None).cast("string").alias("text_md5"), "reason"))

@@ -1,0 +1,42 @@
+"""Edit lists: round trips, rejected files, the usage log."""
+
+import json
+
+from spanloom.sinks import edit_lists as sink
+from spanloom.sources import edit_lists as source
+
+CLIPS = "rec_id long, place long, clip_id long, topic string, sentence_ids array<long>, source_in_ms long, source_out_ms long, transcript string, composite_role string, is_composite_splice boolean, cps double"
+ROWS = [(7, 0, 1, "開場", [1, 2], 1_005, 2_500, 'say "hi"\n', "prefix", False, 4.25), (7, 1, 2, None, None, 3_000, 4_001, None, None, True, None), (-3, 0, 1, "", [], 0, 10**9 + 1, "x", "none", None, 1.0)]
+
+
+def test_round_trip_of_files(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, CLIPS)
+    sink.write_edit_lists(df, str(tmp_path / "lists"), "t", "e")
+    (tmp_path / "lists" / "rec_id=8").mkdir()
+    (tmp_path / "lists" / "rec_id=8" / "cut.json").write_text('{"final_edl": [{"clip_id": 1')
+    (tmp_path / "lists" / "rec_id=9").mkdir()
+    (tmp_path / "lists" / "rec_id=9" / "pretty.json").write_text(json.dumps({"project_title": "p", "final_edl": [{"clip_id": 4, "source_in": 1.0005}], "more": {"a": 1}}, indent=2))
+    (tmp_path / "lists" / "other.json").write_text('{"title": "no clips"}')
+    clips, bad = source.read_edit_lists(spark, str(tmp_path / "lists"))
+    names = [c.split(" ")[0] for c in CLIPS.split(", ")]
+    got = sorted((tuple(r) for r in clips.filter("rec_id <> 9").select(*names).collect()), key=str)
+    assert got == sorted(ROWS, key=str)
+    (nine,) = clips.filter("rec_id = 9").collect()
+    assert (nine["clip_id"], nine["source_in_ms"], nine["topic"]) == (4, 1_001, None)
+    assert sorted((r["rec_id"] or 0, r["reason"]) for r in bad.collect()) == [(0, "no clips"), (8, "no object")]
+
+
+def test_texts(spark):
+    texts = [(1, '{"final_edl": []}'), (2, None), (3, "{"), (4, "[]"), (5, '{"final_edl": [null, {"clip_id": 2}]}'), (6, '{"final_edl": 3}')]
+    clips, bad = source.parse_edit_lists(spark.createDataFrame(texts, "k long, js string"), "k", "js")
+    assert [(r["k"], r["place"], r["clip_id"]) for r in clips.collect()] == [(5, 0, 2)]
+    assert {r["k"] for r in bad.collect()} == {2, 3, 4, 6}
+
+
+def test_usage_log(spark, tmp_path):
+    row = [("v", "m", "static", 5, None, None, None, 5, 1.2345)]
+    df = spark.createDataFrame(row, "video string, model string, mode string, prompt_tokens long, candidates_tokens long, thoughts_tokens long, tool_use_tokens long, total_tokens long, duration_seconds double")
+    for _ in range(2):
+        sink.append_usage(df, str(tmp_path / "log"))
+    lines = [json.loads(x) for p in (tmp_path / "log").glob("part-*") for x in p.read_text().splitlines()]
+    assert len(lines) == 2 and lines[0]["candidates_tokens"] == 0 and lines[0]["duration_seconds"] == 1.23 and "T" in lines[0]["timestamp"]
