@@ -12,13 +12,11 @@ is number order; a null id is the empty key and comes first). File layout:
 A value is the document's ids, little-endian, 2 or 4 bytes each as the vocabulary needs. A reader finds a key by
 the filter, a binary search of the sparse index and one block.
 
-Encoding: a byte-level BPE splits a text into pieces before it merges, and no piece joins a non-space to a space
-that follows. So a text is cut before spaces and at line ends, the tokenizers library encodes each distinct cut, and
-the ids are put together; cuts met lately come from a bounded table. A cut of letters with ASCII marks behind them is
-two pieces, which go straight to the library's model. Where white space is anything but single spaces and line ends
-between words, the cuts are whole runs of white space with the word that follows. The ids equal those of the whole
-text (tested). A text that holds the string of an added token, such as ``<|endoftext|>``, is encoded whole, as the
-library does it: by default to that token's id; with ``plain`` it is ordinary text.
+Encoding: a byte-level BPE splits a text into pieces before it merges. Texts of ASCII and Latin-1 letters are split by the
+pattern here; each distinct piece goes to the library's model once, and pieces met lately come from a bounded table.
+Other texts go to the library whole. The ids equal those of the whole text (tested). A text that holds the string of an
+added token, such as ``<|endoftext|>``, is encoded whole, as the library does it: by default to that token's id; with
+``plain`` it is ordinary text.
 
 Writing: documents are encoded where they are read, dealt to shards by ranges of the key, sorted and written by
 one task each, under a temporary name that is then renamed; a repeated task writes the same bytes again. There are as
@@ -57,12 +55,12 @@ BITS_PER_KEY, HASHES = 10, 7
 MAGIC = b"SLMSST01"
 FOOTER = struct.Struct("<QQQQQQIII8s")
 END_ID = 0
-MEMO = 300_000
+MEMO = 150_000
 SHARD = 512 * 1024 * 1024
 MANIFEST = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("entries", pa.int64()), ("ids", pa.int64())])
-LINE = re.compile(r" ?[^\s\x1c-\x1f\x85\u180e]+")
-RUNS = re.compile(r"\s*\S+|\s+")
-MARKED = re.compile(r"( ?)([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{LETTERS}]*")
+PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 #: How a byte-level model writes bytes: printable ones as they are, the others as further characters.
 BYTES = {b: chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b != 173}
 BYTES |= {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in BYTES)}
@@ -74,14 +72,15 @@ def _encoder(path: str, plain: bool = False) -> Encoder:
 
 
 class Memo:
-    """A table of the ids of MEMO // part cuts met lately: of two generations, the older goes when the newer is full."""
+    """A table of the ids of some MEMO pieces met lately: of two generations, the older goes when the newer is full."""
 
-    def __init__(self, part: int = 1) -> None:
-        self.part, self.new, self.old = part, {}, {}
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def unknown(self, cuts: set[str]) -> list[str]:
         """Those of the cuts that are in neither; the others are now in the newer."""
-        if len(self.new) > MEMO // self.part:
+        if len(self.new) > MEMO:
             self.old, self.new = self.new, {}
         new, old, out = self.new, self.old, []
         for c in cuts.difference(new):
@@ -102,91 +101,28 @@ class Encoder:
         self.tokenizer.encode_special_tokens = plain
         self.added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.model = self.tokenizer.model if isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None else None
-        self.plain, self.spaced, self.pieces = Memo(6), Memo(), Memo(2)  # cuts as they stand, cuts behind a space, pieces
-        alone = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = np.array(alone, self.kind).tobytes()
-        self.mark = alone[0] if len(alone) == 1 else None
+        split = self.tokenizer.pre_tokenizer
+        known = isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space and self.tokenizer.normalizer is None
+        self.model = self.tokenizer.model if known else None
+        self.pieces = Memo()
 
     def _piece(self, piece: str) -> bytes:
-        """Ids of letters (a space may precede them) or of marks: one piece, so the model's own."""
-        if piece.isascii():
-            written = f"Ġ{piece[1:]}" if piece[0] == " " else piece
-        else:
-            written = piece.encode().decode("latin-1").translate(BYTES)
-        size = self.kind.itemsize
-        return b"".join([t.id.to_bytes(size, "little") for t in self.model.tokenize(written)])
-
-    def _encode(self, cuts: list[str]) -> list[bytes]:
-        """Ids of each cut. Cuts that neither hold nor end in white space are encoded many at a time, a line each."""
-        out: dict[str, bytes] = {}
-        lines, odd, marked = [], [], []
-        for c in cuts:
-            m = MARKED.fullmatch(c) if self.model else None
-            if m and m[2].isalpha():
-                if m[3]:
-                    marked.append((c, m[1] + m[2], m[3]))
-                else:  # kept as a cut, so not as a piece too
-                    out[c] = self._piece(c)
-            else:
-                (lines if self.mark is not None and LINE.fullmatch(c) else odd).append(c)
-        words = self.spaced.new
-        parts = {x for _, *two in marked for x in two if x[0] != " " or x[1:] not in words}
-        for x in self.pieces.unknown(parts):
-            self.pieces.new[x] = self._piece(x)
-        of = self.pieces.new
-        for c, letters, marks in marked:
-            out[c] = (of[letters] if letters in of else words[letters[1:]]) + of[marks]
-        size = self.kind.itemsize
-        groups = [lines[i : i + 512] for i in range(0, len(lines), 512)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.kind)
-            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            data, start = ids.tobytes(), 0
-            for c, end in zip(group, ends, strict=True):
-                out[c] = data[start * size : end * size]
-                start = end + 1
-        for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            out[c] = np.array(e.ids, self.kind).tobytes()
-        return [out[c] for c in cuts]
-
-    def _learn(self, plain: set[str], spaced: set[str]) -> None:
-        one, two = self.plain.unknown(plain), self.spaced.unknown(spaced)
-        if one or two:
-            ids = self._encode([*one, *(" " + x for x in two)])
-            self.plain.new.update(zip(one, ids, strict=False))
-            self.spaced.new.update(zip(two, ids[len(one) :], strict=True))
+        written = (piece if piece.isascii() else piece.encode().decode("latin-1")).translate(BYTES)
+        return b"".join([t.id.to_bytes(self.kind.itemsize, "little") for t in self.model.tokenize(written)])
 
     def _some(self, texts: list[str], tail: bytes) -> list[bytes]:
-        plain, spaced, cut = set(), set(), []
-        for t in texts:
-            if any(x in t for x in self.added):
-                cut.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes())
-            elif not t or t.replace("\n", " ") != " ".join(t.split()):  # other than single spaces and line ends between words
-                runs = RUNS.findall(t)
-                plain.update(runs)
-                cut.append(runs)
-            else:
-                lines = [x.split(" ") for x in t.split("\n")]
-                for first, *rest in lines:
-                    plain.add(first)
-                    spaced.update(rest)
-                cut.append(lines)
-        self._learn(plain, spaced)
-        one, two, out = self.plain.new.__getitem__, self.spaced.new.__getitem__, []
-        for c in cut:
-            if isinstance(c, bytes):
-                out.append(c + tail)
-            elif c and isinstance(c[0], str):
-                out.append(b"".join(map(one, c)) + tail)
-            else:
-                out.append(self.line.join(one(x[0]) + b"".join(map(two, x[1:])) for x in c) + tail)
-        return out
+        cut = [PIECE.findall(t) if self.model and PLAIN.fullmatch(t) and not any(x in t for x in self.added) else None for t in texts]
+        for p in self.pieces.unknown(set().union(*filter(None, cut))):
+            self.pieces.new[p] = self._piece(p)
+        whole = [t for t, c in zip(texts, cut, strict=True) if c is None]
+        rest = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ())
+        of = self.pieces.new.__getitem__
+        return [(np.array(next(rest).ids, self.kind).tobytes() if c is None else b"".join(map(of, c))) + tail for c in cut]
 
     def __call__(self, texts: list[str], end: int = END_ID) -> list[bytes]:
         tail, out = np.array([end], self.kind).tobytes(), []
-        for i in range(0, len(texts), 64):
-            out += self._some(texts[i : i + 64], tail)
+        for i in range(0, len(texts), 32):
+            out += self._some(texts[i : i + 32], tail)
         return out
 
 
