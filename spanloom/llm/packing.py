@@ -13,10 +13,10 @@ The rank needs no task that sees all pieces of a length: pieces are numbered wit
 the counts of those groups, summed in order, give each group its first rank. So a length that a third of all pieces
 have is spread over as many tasks as the table has files.
 
-Encoding: a tokenizer that drops white space and splits by the known pattern below encodes words on their own. ASCII
-and Latin-1 words are split by the pattern here, and each distinct piece goes to the library's model; words with other
-signs or the string of an added token go to the library whole. Words and pieces met lately come from bounded tables.
-Any other tokenizer encodes whole texts. The ids equal those of the whole text (tested).
+Encoding: where a tokenizer drops white space and splits by the known pattern below, texts of ASCII and Latin-1 letters
+are split by the pattern here, and each distinct piece goes to the library's model once; pieces met lately come from a
+bounded table. Other texts, texts with the string of an added token, and any other tokenizer's go to the library whole.
+The ids equal those of the whole text (tested).
 
 Defined results: a null or empty text is the end id alone; repeated rows and ids are documents of their own; a null id
 stays null; an empty table has no pieces; extra columns are not carried.
@@ -45,8 +45,8 @@ SIZE, END_ID = 4096, 1
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LETTERS = "a-zß-öø-ÿ"
 PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{LETTERS}À-ÖØ-Þ]*")
-PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
-SPACE = re.compile(r"[\t\n\r ]+")
+PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
+PIECES = 300_000
 
 
 class Encoder:
@@ -61,9 +61,9 @@ class Encoder:
         says = json.loads(Path(path).read_text())
         steps = [s["type"] for s in (says["normalizer"] or {}).get("normalizers", [])]
         split = ((says["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
-        bare = all(a[:1] == "<" and not SPACE.search(a) for a in self.added)
-        self.by_word = bare and steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": SPLIT} and split.get("invert") and split.get("behavior") == "Removed"
-        self.words, self.pieces = Memo(), Memo()
+        bare = all(a[:1] == "<" for a in self.added)
+        self.by_piece = bare and steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": SPLIT} and split.get("invert") and split.get("behavior") == "Removed"
+        self.pieces = Memo(PIECES)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,40 +72,20 @@ class Encoder:
         written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTES)
         return b"".join([t.id.to_bytes(self.kind.itemsize, "little") for t in self.tokenizer.model.tokenize(written)])
 
-    def _cuts(self, text: str) -> list[str]:
-        """Words; those of plain letters in lower case."""
-        if self._plain(text):
-            return text.lower().split()
-        return [w.lower() if self._plain(w) else w for w in SPACE.split(text) if w]
-
     def _plain(self, text: str) -> bool:
         """Plain letters, and no added token's string in either case."""
-        return bool(PLAIN.fullmatch(text)) and not ("<" in text and any(a in text.lower() for a in self.added))
-
-    def _learn(self, words: list[str]) -> None:
-        new, odd = self.words.new, []
-        split = {w: PIECE.findall(w) for w in words if self._plain(w)}
-        for p in self.pieces.unknown({p for ps in split.values() for p in ps}):
-            self.pieces.new[p] = self._piece(p)
-        of = self.pieces.new.__getitem__
-        for w in words:
-            if w in split:
-                new[w] = b"".join(map(of, split[w]))
-            else:
-                odd.append(w)
-        new.update(zip(odd, self._library(odd), strict=True))
+        return self.by_piece and bool(PLAIN.fullmatch(text)) and not ("<" in text and any(a in text.lower() for a in self.added))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 32):
             some = texts[at : at + 32]
-            if not self.by_word:
-                yield from self._library(some)
-                continue
-            cuts = [self._cuts(t) for t in some]
-            self._learn(self.words.unknown(set().union(*cuts)))
-            of = self.words.new.__getitem__
-            for c in cuts:
-                yield b"".join(map(of, c))
+            cut = [PIECE.findall(t.lower()) if self._plain(t) else None for t in some]
+            for p in self.pieces.unknown(set().union(*filter(None, cut))):
+                self.pieces.new[p] = self._piece(p)
+            whole = iter(self._library([t for t, c in zip(some, cut, strict=True) if c is None]))
+            of = self.pieces.new.__getitem__
+            for c in cut:
+                yield next(whole) if c is None else b"".join(map(of, c))
 
 
 @lru_cache(1)

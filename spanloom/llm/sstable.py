@@ -72,15 +72,16 @@ def _encoder(path: str, plain: bool = False) -> Encoder:
 
 
 class Memo:
-    """A table of the ids of some MEMO pieces met lately: of two generations, the older goes when the newer is full."""
+    """A table of the ids of some pieces met lately: of two generations, the older goes when the newer is full."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int | None = None) -> None:
+        self.most = most or MEMO
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def unknown(self, cuts: set[str]) -> list[str]:
         """Those of the cuts that are in neither; the others are now in the newer."""
-        if len(self.new) > MEMO:
+        if len(self.new) > self.most:
             self.old, self.new = self.new, {}
         new, old, out = self.new, self.old, []
         for c in cuts.difference(new):

@@ -83,9 +83,9 @@ def test_query_against_whole_texts(spark, whole):
     assert sorted(tuple(r)[:5] for r in rows) == sorted(want)
 
 
-def test_words_equal_whole_text_encoding(whole):
+def test_pieces_equal_whole_text_encoding(whole):
     rng, encoder = random.Random(3), packing.Encoder(packing.default_tokenizer())
-    assert encoder.by_word
+    assert encoder.by_piece
     signs = ["a", "B", " ", " ", "\n", "\t", "\r\n", " ", "　", "\x1c", "\x85", "'s", "'LL", "don't", "12", "½", "²", "!", "...", "é", "É", "é", "ß", "ªº", "µ", "×", "漢字", "ΟΔΟΣ", "İ", "\U0001f600", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "_", "«b»", "word", "naïve-x", "Ⅷ"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
     for text, ids in zip(texts, encoder(texts), strict=True):
