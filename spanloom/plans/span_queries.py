@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import alignment, anomalies, folds, occlusion, retakes, similarity, spans
+from spanloom.operators import alignment, anomalies, folds, occlusion, retakes, signals, similarity, spans
 from spanloom.sinks import cut_table, timeline
 from spanloom.sinks import edit_lists as edit_list_sink
 from spanloom.sources import edit_lists, recognised
@@ -561,3 +561,32 @@ def edit_list_clips(spark, d):
     good = clips.select("rec_id", "place", "clip_id", F.col("source_in_ms").alias("start_ms"), F.col("source_out_ms").alias("end_ms"), F.md5("transcript").alias("text_md5"), F.lit(None).cast("string").alias("reason"))
     none = F.lit(None).cast("long")
     return good.unionByName(bad.select("rec_id", none.alias("place"), none.alias("clip_id"), none.alias("start_ms"), none.alias("end_ms"), F.lit(None).cast("string").alias("text_md5"), "reason"))
+
+
+def _event_signal(spark, d):
+    """A user's events in order as 40 ms of signal each, as loud as their value, errors silent: (rec_id, k, amplitude)."""
+    k = F.row_number().over(_time()) - 1
+    loud = F.when(F.col("event_type") == "error", 0.0005).otherwise(F.col("value") / 1000)
+    return clips(spark, d).select("rec_id", k.cast("long").alias("k"), loud.alias("a"))
+
+
+def _event_energy(spark, d):
+    one = _event_signal(spark, d).groupBy("rec_id", F.expr("k div 25").alias("second")).agg(F.array_sort(F.collect_list(F.struct("k", "a"))).alias("s"))
+    return one.select("rec_id", "second", F.flatten(F.transform("s", lambda x: F.array_repeat(x["a"] * x["a"], 40))).alias("e"))
+
+
+@query()
+def onset_clamp(spark, d):
+    """Every sixth event begins a word of 230 ms, 160 ms behind the one before: where it is heard to begin."""
+    at = 40 * F.col("k")
+    w = _event_signal(spark, d).filter("k % 6 = 0").select("rec_id", F.col("k").alias("word_id"), at.alias("start_ms"), (at + 230).alias("end_ms"), F.when(F.col("k") > 0, at - 160).alias("prev_end_ms"), (F.col("k") == 0).alias("cut_head"))
+    return signals.onsets(w, _event_energy(spark, d))
+
+
+@query()
+def cut_pivot(spark, d):
+    """Every twentieth event begins a seam: six words of 320 ms, and six more of which the first three are the last said again."""
+    at = lambda i: 40 * F.col("k") + 320 * i
+    words_ = lambda lo, hi: F.array(*(F.struct(at(i).alias("start_ms"), (at(i) + 200 + 30 * (i % 4)).alias("end_ms")) for i in range(lo, hi)))
+    s = _event_signal(spark, d).filter("k % 20 = 0").select("rec_id", F.col("k").alias("seam_id"), words_(0, 6).alias("prefix"), words_(6, 12).alias("rest"), F.lit(3).alias("shared"))
+    return signals.pivots(s, _event_energy(spark, d))
