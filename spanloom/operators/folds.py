@@ -79,19 +79,26 @@ class Sentences:
         return out
 
 
-def sentences(segments: DataFrame) -> DataFrame:
-    """(rec_id, sent_id, start_ms, end_ms, n_segs, n_chars) of segments: rec_id, seg_id, start_ms, end_ms, text and, any of
+SENTENCE = "rec_id long, sent_id long, start_ms long, end_ms long, n_segs long, n_chars long"
+
+
+def sentence_rows(segments: DataFrame, *more: str) -> DataFrame:
+    """What the fold looks at, and the columns ``more``, of segments: rec_id, seg_id, start_ms, end_ms, text and, any of
     them left out or null: speaker, target (true if null), first_ms and first_n, last_ms and last_n (time and word characters
     of the first and last word). A segment without text has no marks, no script and is no slate."""
     given = lambda c, t, d: (F.coalesce(F.col(c).cast(t), F.lit(d)) if c in segments.columns else F.lit(d).cast(t)).alias(c)
     text, first_n = T.text_of(F.col("text")), F.greatest(given("first_n", "long", 1), F.lit(1))
     first_ms = given("first_ms", "long", 0)
-    rows = segments.select(
-        "rec_id", "seg_id", "start_ms", "end_ms", F.length(T.norm(text)).cast("long").alias("nl"), T.ends_with_any(text, T.CLOSURE).alias("closes"), T.ends_with_any(text, T.CLAUSE).alias("clause"),
+    return segments.select(
+        *more, "rec_id", "seg_id", "start_ms", "end_ms", F.length(T.norm(text)).cast("long").alias("nl"), T.ends_with_any(text, T.CLOSURE).alias("closes"), T.ends_with_any(text, T.CLAUSE).alias("clause"),
         F.trim(text).rlike(r"^[A-Za-z0-9\s\-_]+$").alias("slate"), text.rlike(r"[\x{3040}-\x{30FF}]").alias("kana"), given("speaker", "string", ""), given("target", "boolean", True),
         ((first_ms >= 1200) & (first_ms >= 450 * first_n)).alias("drawn"), given("last_ms", "long", 0), F.greatest(given("last_n", "long", 1), F.lit(1)).alias("last_n"),
     )
-    return fold(rows, "rec_id", ["seg_id"], "rec_id long, sent_id long, start_ms long, end_ms long, n_segs long, n_chars long", Sentences)
+
+
+def sentences(segments: DataFrame) -> DataFrame:
+    """SENTENCE of segments as sentence_rows wants them."""
+    return fold(sentence_rows(segments), "rec_id", ["seg_id"], SENTENCE, Sentences)
 
 
 class Pauses:
