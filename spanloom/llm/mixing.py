@@ -79,11 +79,15 @@ def solve(histogram: DataFrame, sources: DataFrame, most: float = MOST, steps: i
         newton = F.when(F.col("slope") > 0, F.col("v") - gap / F.col("slope"))
         inside = (newton >= low_) & (newton <= high_)
         step = F.when(F.abs(gap) <= NEAR * F.col("target"), F.col("v")).when(inside, newton).otherwise((low_ + high_) / 2)
-        both = both.select(*sources.columns, low_.alias("low"), high_.alias("high"), step.alias("v"), (F.abs(gap) > 1e-6 * F.greatest("target", F.lit(1.0))).alias("off"))
+        both = both.select(*sources.columns, low_.alias("low"), high_.alias("high"), step.alias("v"), (F.abs(gap) / F.greatest("target", F.lit(1.0))).alias("miss"))
         state = materialize(both, "dual")
-        if not state.filter("off AND high > low").limit(1).count():
+        if not state.filter("miss > 1e-6 AND high > low").limit(1).count():
             break
-        state = state.drop("off")
+        state = state.drop("miss")
+    else:
+        wide = materialize(both, "dual").filter("miss > 0.01 AND high > low").orderBy(F.desc("miss")).select("source", "miss").limit(5).collect()
+        if wide:
+            raise RuntimeError(f"after {steps} steps these sources miss their targets by the shares {[tuple(r) for r in wide]}")
     return state.select(*sources.columns, "v")
 
 
