@@ -41,6 +41,27 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, bin_ms: int) -> Da
     return met.filter(real & once).drop("_key", "_bin")
 
 
+def overlap_counts(spans: DataFrame, key: str, id_: str) -> DataFrame:
+    """(key, id_, n): how many other spans of its key overlap each span [start_ms, end_ms); without any it has no row.
+
+    Spans that begin before it ends, less those that end before it begins: two running counts over the key's points in
+    time, so no pair is made. A span of no length overlaps those that it lies inside."""
+    empty = F.col("start_ms") == F.col("end_ms")
+    same = F.count("*").over(Window.partitionBy(key, "start_ms", "end_ms"))
+    rows = spans.select(key, id_, "start_ms", "end_ms", F.when(empty, same).otherwise(-1).alias("_own"))
+    # at one time: ask for the beginnings before it, then beginnings, ends, and ask for the ends up to it
+    points = F.explode(F.array(
+        F.struct(F.col("end_ms").alias("t"), F.lit(0).alias("kind")), F.struct(F.col("start_ms").alias("t"), F.lit(1).alias("kind")),
+        F.struct(F.col("end_ms").alias("t"), F.lit(2).alias("kind")), F.struct(F.col("start_ms").alias("t"), F.lit(3).alias("kind")),
+    ))
+    rows = rows.select(key, id_, "_own", points.alias("_p")).select(key, id_, "_own", "_p.t", "_p.kind")
+    w = Window.partitionBy(key).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    run = lambda k: F.count(F.when(F.col("kind") == k, 1)).over(w)
+    told = rows.withColumns({"_b": run(1), "_e": run(2)}).filter("kind IN (0, 3)")
+    n = F.sum(F.when(F.col("kind") == 0, F.col("_b") + F.col("_own")).otherwise(-F.col("_e")))
+    return told.groupBy(key, id_).agg(n.alias("n")).filter("n > 0")
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, take: Sequence[str], later: bool = False) -> DataFrame:
     """left with the ``take`` columns of right's latest row at or before left_time (``later``: the earliest at or
     after it), null if there is none. Ties go to the greatest (later: the least) take values. One shuffle and one
@@ -104,12 +125,19 @@ def tiered_match(clips: DataFrame, units: DataFrame, key: str, slack_ms: int = 2
     return every.withColumn("_best", best).filter("tier = _best").drop("_best")
 
 
-def containment(docs: DataFrame, blocks: DataFrame, anchor: int = 12, piece: int = 64) -> DataFrame:
+def containment(docs: DataFrame, blocks: DataFrame, anchor: int = 12, piece: int = 64, few: int = 512) -> DataFrame:
     """(doc_id, block_id) where docs.norm contains blocks.norm; empty or null blocks are nowhere.
 
     A block is found by the hash of its first ``anchor`` characters, or of all if it has fewer, among the hashes at
     every place of a text: an equi-join on hashes, without texts. Texts are read in overlapping pieces, as finding a
-    place costs its distance from the start. What is met is looked up once more in its text."""
+    place costs its distance from the start. What is met is looked up once more in its text. A few small blocks, by number and
+    bytes, are looked for in each text where it is read."""
+    n, size = blocks.filter(F.length("norm") > 0).agg(F.count("*"), F.sum(F.octet_length("norm"))).first()
+    if n <= few and (size or 0) <= few * 1024:
+        rows = blocks.filter(F.length("norm") > 0).select("block_id", "norm").collect()
+        held = F.array(*(F.struct(F.lit(r[0]).alias("block_id"), F.lit(r[1]).alias("norm")) for r in rows)) if rows else F.array().cast("array<struct<block_id:long,norm:string>>")
+        met = F.filter(held, lambda b: F.contains(F.col("norm"), b["norm"]))
+        return docs.filter(F.length("norm") > 0).select("doc_id", F.explode(F.transform(met, lambda b: b["block_id"])).alias("block_id"))
     blocks = blocks.filter(F.length("norm") > 0).select("block_id", F.col("norm").alias("_block"), F.least(F.length("norm"), F.lit(anchor)).alias("_n"))
     blocks = blocks.withColumn("_h", F.xxhash64("_n", F.left("_block", F.col("_n"))))
     sizes = [r[0] for r in blocks.select("_n").distinct().collect()]  # anchor values at most

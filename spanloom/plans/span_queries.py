@@ -160,7 +160,7 @@ def block_containment(spark, d):
 @query(f"""WITH {CLIPS} SELECT a.rec_id, a.clip_id, count(*) n FROM clip a JOIN clip b ON a.rec_id = b.rec_id AND a.clip_id <> b.clip_id AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms GROUP BY ALL""")
 def interval_overlap_join(spark, d):
     c = clips(spark, d).select("rec_id", "clip_id", "start_ms", "end_ms")
-    return spans.overlap_join(c, c, "rec_id", 7_200_000).filter("clip_id <> r_clip_id").groupBy("rec_id", "clip_id").agg(F.count("*").alias("n"))
+    return spans.overlap_counts(c, "rec_id", "clip_id")
 
 
 @query(f"""WITH {CLIPS} SELECT a.rec_id, a.clip_id, count(b.clip_id) n, CAST(coalesce(sum(b.clip_id), 0) AS BIGINT) ids FROM clip a LEFT JOIN clip b ON a.rec_id = b.rec_id AND b.event_type <> 'purchase' AND b.start_ms < a.start_ms + 10800000 AND b.end_ms > a.start_ms - 10800000 WHERE a.event_type = 'purchase' GROUP BY ALL""")

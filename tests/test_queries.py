@@ -114,9 +114,21 @@ def test_containment_of_many_blocks(spark):
     docs = spark.createDataFrame([(1, "abcdefghijklmnopqrstuvwxyz0123456789"), (2, "xyz"), (3, "")], "doc_id long, norm string")
     blocks = spark.createDataFrame([(1, "cdefghijklmnopqrstuvwxyz0123"), (2, "xyz"), (3, ""), (4, "cdefghijklmnopqrstuvwxyz9999")], "block_id long, norm string")
     for anchor in (1, 3, 12, 24, 100):
-        assert sorted(map(tuple, spans.containment(docs, blocks, anchor).collect())) == [(1, 1), (1, 2), (2, 2)]
+        assert sorted(map(tuple, spans.containment(docs, blocks, anchor, few=0).collect())) == [(1, 1), (1, 2), (2, 2)]
+    assert sorted(map(tuple, spans.containment(docs, blocks).collect())) == [(1, 1), (1, 2), (2, 2)]
     again = docs.union(docs.filter("doc_id = 2")).union(spark.createDataFrame([(None, "axyz"), (3, None)], docs.schema))
-    assert sorted(map(str, (tuple(r) for r in spans.containment(again, blocks).collect()))) == ["(1, 1)", "(1, 2)", "(2, 2)", "(2, 2)", "(None, 2)"]
+    for few in (0, 512):
+        assert sorted(map(str, (tuple(r) for r in spans.containment(again, blocks, few=few).collect()))) == ["(1, 1)", "(1, 2)", "(2, 2)", "(2, 2)", "(None, 2)"]
+
+
+def test_overlap_counts_against_all_pairs(spark):
+    rng, rows = random.Random(8), []
+    for i in range(300):
+        start = rng.randint(0, 60)
+        rows.append((rng.choice([1, 2]), i, start, start + rng.choice([0, 0, 1, 2, 7, 20])))
+    got = {tuple(r) for r in spans.overlap_counts(spark.createDataFrame(rows, "k long, i long, start_ms long, end_ms long"), "k", "i").collect()}
+    n = {a[1]: sum(a[0] == b[0] and a[1] != b[1] and a[2] < b[3] and b[2] < a[3] for b in rows) for a in rows}
+    assert got == {(a[0], a[1], n[a[1]]) for a in rows if n[a[1]]}
 
 
 def test_listing_holds_whole_text(spark, tmp_path):
