@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import alignment, anomalies, folds, occlusion, retakes, signals, similarity, spans
+from spanloom.operators import alignment, anomalies, folds, occlusion, repair, retakes, signals, similarity, spans
 from spanloom.sinks import cut_table, timeline
 from spanloom.sinks import edit_lists as edit_list_sink
 from spanloom.sources import edit_lists, recognised
@@ -449,7 +449,9 @@ def retake_flags(spark, d):
     """Each sentence with the one before it: whether it restarts it, completes a false start, or is a take of the same."""
     before = F.lag("text").over(_rec())
     p = segments(spark, d).select("rec_id", "seg_id", "text", before.alias("prev")).filter("prev IS NOT NULL")
-    return p.select("rec_id", "seg_id", retakes.restarts(F.col("prev"), F.col("text")).alias("restarts"), retakes.aborted(F.col("prev"), F.col("text")).alias("aborted"), retakes.related(F.col("prev"), F.col("text")).alias("related"))
+    one, two, compare = F.col("prev"), F.col("text"), retakes.comparer()
+    told = {"restarts": retakes.restarts(one, two, compare=compare), "aborted": retakes.aborted(one, two, compare=compare), "related": retakes.related(one, two, compare), "opens_again": retakes.opens_again(one, two, compare)}
+    return p.select("rec_id", "seg_id", *(c.alias(n) for n, c in told.items()))
 
 
 @query(f"WITH {WORDS} SELECT rec_id, seg_id, pos, word, start_ms + 1000 start_ms, greatest(end_ms, start_ms + 20) + 1000 end_ms FROM word")
@@ -590,3 +592,21 @@ def cut_pivot(spark, d):
     words_ = lambda lo, hi: F.array(*(F.struct(at(i).alias("start_ms"), (at(i) + 200 + 30 * (i % 4)).alias("end_ms")) for i in range(lo, hi)))
     s = _event_signal(spark, d).filter("k % 20 = 0").select("rec_id", F.col("k").alias("seam_id"), words_(0, 6).alias("prefix"), words_(6, 12).alias("rest"), F.lit(3).alias("shared"))
     return signals.pivots(s, _event_energy(spark, d))
+
+
+@query()
+def repaired_clips(spark, d):
+    """The clips of ``anomaly_windows`` after the repair loop, judged by rules alone."""
+    units = _false_starts(spark, d)
+    text = F.array_join(F.transform("words", lambda x: x["w"]), " ")
+    anchor = F.when(F.col("unit_id") % 5 != 4, F.col("unit_id"))
+    clips = units.select("rec_id", F.col("unit_id").alias("clip_id"), "start_ms", "end_ms", text.alias("text"), anchor.alias("first_seg"), anchor.alias("last_seg"))
+    return repair.repair(clips).select("rec_id", "clip_id", "start_ms", "end_ms", F.md5("text").alias("text_md5"), "verified", "rounds", "settled")
+
+
+@query()
+def seam_overlap(spark, d):
+    """What the end of each segment, with the first words of the next one behind it, and the next one's start say both."""
+    s = segments(spark, d).select("rec_id", "seg_id", "norm", F.lead("norm").over(_rec()).alias("then")).filter("then IS NOT NULL")
+    before = F.concat("norm", F.left("then", (F.col("seg_id") % 12).cast("int")), F.left(F.lit("zq"), (F.col("seg_id") % 3).cast("int")))
+    return s.select("rec_id", "seg_id", retakes.seam(before, F.col("then")).alias("overlap"))

@@ -108,11 +108,22 @@ def test_predicates_agree_with_columns(spark):
 
     df = spark.createDataFrame(pairs, "i long, a string, b string")
     a, b = F.col("a"), F.col("b")
-    for r in df.select("i", "a", "b", T.strip_fillers(a).alias("sa"), T.strip_fillers(b).alias("sb"), retakes.restarts(a, b).alias("r"), retakes.aborted(a, b).alias("x"), retakes.related(a, b).alias("y")).collect():
+    for r in df.select("i", "a", "b", T.strip_fillers(a).alias("sa"), T.strip_fillers(b).alias("sb"), retakes.restarts(a, b).alias("r"), retakes.aborted(a, b).alias("x"), retakes.related(a, b).alias("y"), retakes.opens_again(a, b).alias("o"), retakes.seam(F.lower(F.regexp_replace(a, "[^\\p{L}]", "")), F.lower(F.regexp_replace(b, "[^\\p{L}]", ""))).alias("s")).collect():
         one, two = takes.Take(bare(r["a"]), r["sa"]), takes.Take(bare(r["b"]), r["sb"])
-        assert (takes.restarts(one, two), takes.aborted(one, two), takes.related(one, two)) == (r["r"], r["x"], r["y"]), r
+        assert (takes.restarts(one, two), takes.aborted(one, two), takes.related(one, two), takes.opens_again(one, two)) == (r["r"], r["x"], r["y"], r["o"]), r
+        assert r["s"] == takes.overlap(one.norm, two.norm, takes.Script())
 
 
 def test_query(spark):
     rows = catalog.queries()["take_occlusion"](spark, SF).collect()
     assert sum(r["cut_tail"] for r in rows) > 20 and all(r["start_ms"] <= r["end_ms"] for r in rows)
+
+
+def test_overlap_cases():
+    """A seam with characters behind it, one after a rephrased start, an echo in the middle of a sentence."""
+    both = lambda a, b, script=(): takes.overlap(bare(a), bare(b), takes.Script([bare(x) for x in script]))
+    assert both("完美的監控工具對就是WiFi你大概也聽過WiFi訊號撞到人體會產生細微摔", "對就是你家路由器發出的訊號你大概也聽過WiFi訊號撞到人體會出現細微衰減").startswith("你大概也聽過wifi訊號撞到人體會")
+    assert both("波束成形技術會把無線能量精準送到裝置", "這種為了讓連線更穩的設計把訊號精準送到裝置卻也留下了反射特徵") == ""
+    assert both("前面一段話核心系統的效能呃", "核心系統的效能與延遲表現") == "核心系統的效能"
+    assert both("前面一段話核心系統", "核心系統運作", ["核心系統就是核心系統"]) == "" and both("前面一段話這核心系統", "這核心系統運作") == "這核心系統"
+    assert both("abc", "abc") == "" and both("", "x") == ""
