@@ -152,38 +152,75 @@ def split_at_pauses(words: DataFrame) -> DataFrame:
 
 
 class Sanitized:
-    """Clips in order of time to clips that do not overlap: a clip inside its predecessor (50 ms allowed) goes, an
-    overlap is cut in the middle, and a clip too short joins its neighbour across a small gap."""
+    """Clips in order of time to clips that do not overlap. A clip inside its predecessor (50 ms allowed) goes; an overlap is cut
+    in its middle, but not into what either says, and 150 ms are left of each or the later one goes. A clip too short joins its
+    neighbour across a small gap, unless words were cut there or it is a seam. Two clips are held: the last one, which the next
+    may still cut, and the one before it that shorter ones may join."""
 
     def __init__(self, least: int, gap: int) -> None:
-        self.least, self.gap, self.open, self.count = least, gap, None, 0
+        self.least, self.gap, self.last, self.open, self.count = least, gap, None, None, 0
 
     def push(self, row) -> list:
-        start, end, out = int(row.start_ms), int(max(row.end_ms, row.start_ms + 500 * (row.end_ms <= row.start_ms))), []
-        if self.open:
-            if end <= self.open[3] + 50:
-                self.open[4] += 1
-                return []
-            if start < self.open[3]:
-                middle = (start + self.open[3]) // 2
-                if middle - self.open[2] < 150:
-                    middle = self.open[3]
-                self.open[3] = start = middle
-            short = self.open[3] - self.open[2] < self.least or end - start < self.least
-            if short and 0 <= start - self.open[3] <= self.gap:
-                self.open[3], self.open[4] = end, self.open[4] + 1
+        # start, end, first, last, clips, and what its edges are
+        c = [int(row.start_ms), int(row.end_ms), int(row.t_first), int(row.t_last), 1, row.cut_head or row.splice or row.role == "continuation", row.cut_tail or row.role == "prefix", row.rec_id]
+        p = self.last
+        if p is None:
+            self.last = c if c[1] > c[0] else None
+            return []
+        if c[1] <= p[1] + 50:
+            p[4] += 1
+            return []
+        if c[0] < p[1]:
+            low, high = p[0] + 150, c[1] - 150
+            if high < low:
+                p[4] += 1
                 return []
-            out = self.close()
-        self.count += 1
-        self.open = [row.rec_id, self.count, start, end, 1]
+            p[1] = c[0] = max(low, min(high, max(p[3], min(c[2], (p[1] + c[0]) // 2))))
+        if c[1] - c[0] < 150:
+            return []
+        out = self._join(p)
+        self.last = c
         return out
 
-    close = Sentences.close
+    def _join(self, c: list) -> list:
+        m = self.open
+        if m is not None and not m[6] and not c[5] and min(c[1] - c[0], m[1] - m[0]) < self.least and c[1] > m[1] and 0 <= c[0] - m[1] <= self.gap:
+            m[1], m[4] = c[1], m[4] + c[4]
+            return []
+        out = self._out()
+        self.open = c
+        return out
+
+    def _out(self) -> list:
+        m = self.open
+        if m is None:
+            return []
+        self.count += 1
+        return [(m[7], self.count, m[0], m[1], m[4])]
+
+    def close(self) -> list:
+        out = self._join(self.last) if self.last else []
+        return out + self._out()
 
 
 def sanitize(clips: DataFrame, least_ms: int = 450, gap_ms: int = 350) -> DataFrame:
-    """clips: rec_id, clip_id, start_ms, end_ms."""
-    return fold(clips.select("rec_id", "clip_id", "start_ms", "end_ms"), "rec_id", ["start_ms", "end_ms", "clip_id"], "rec_id long, clip_id long, start_ms long, end_ms long, n_clips long", lambda: Sanitized(least_ms, gap_ms))
+    """(rec_id, clip_id, start_ms, end_ms, n_clips) of clips: rec_id, clip_id, start_ms, end_ms and, any of them left out or null:
+    t_first and t_last (the first word's start, the last word's end), wall (where the next word begins that is not said),
+    cut_head, cut_tail, splice, role and total_ms (the recording's length).
+
+    First each clip is brought inside the recording, to its last word's end and 40 ms beyond where it ends before that, but not
+    beyond its wall; one that does not last gets 500 ms. n_clips counts those that went into a clip."""
+    has = lambda c, t: (F.col(c).cast(t) if c in clips.columns else F.lit(None).cast(t))
+    flag = lambda c: F.coalesce(has(c, "boolean"), F.lit(False)).alias(c)
+    total, last, wall = F.coalesce(has("total_ms", "long"), F.lit(1 << 62)), has("t_last", "long"), has("wall", "long")
+    inside = lambda c: F.greatest(F.lit(0), F.least(total, c))
+    rows = clips.select("rec_id", "clip_id", inside(F.col("start_ms")).alias("start_ms"), inside(F.col("end_ms")).alias("end_ms"), has("t_first", "long").alias("t_first"), last.alias("t_last"), wall.alias("wall"), flag("cut_head"), flag("cut_tail"), flag("splice"), F.coalesce(has("role", "string"), F.lit("none")).alias("role"), total.alias("total_ms"))
+    tail = F.least("total_ms", F.col("t_last") + 40)
+    tail = F.when(F.col("wall").isNull(), tail).otherwise(F.least(tail, F.greatest("t_last", "wall")))
+    end = F.when(F.col("end_ms") < F.col("t_last"), tail).when(F.col("end_ms") > F.col("wall"), F.greatest(F.coalesce("t_last", F.col("start_ms") + 150), F.col("wall"))).otherwise(F.col("end_ms"))
+    rows = rows.withColumn("end_ms", end).withColumn("end_ms", F.when(F.col("end_ms") <= F.col("start_ms"), F.least("total_ms", F.col("start_ms") + 500)).otherwise(F.col("end_ms")))
+    rows = rows.withColumns({"t_first": F.coalesce("t_first", "start_ms"), "t_last": F.coalesce("t_last", F.col("start_ms") + 200)}).drop("wall", "total_ms")
+    return fold(rows, "rec_id", ["start_ms", "end_ms", "clip_id"], "rec_id long, clip_id long, start_ms long, end_ms long, n_clips long", lambda: Sanitized(least_ms, gap_ms))
 
 
 class Loops:

@@ -391,7 +391,10 @@ def pause_split(spark, d):
 
 @query()
 def sanitize_clips(spark, d):
-    return folds.sanitize(clips(spark, d))
+    """Events as clips, some of which end before their last word or beyond a wall, were cut, or are seams."""
+    c, i, kind = clips(spark, d), F.col("clip_id"), F.col("event_type")
+    last = F.when(i % 3 == 0, F.col("end_ms") + 100).when(i % 3 == 1, F.col("end_ms") - 100)
+    return folds.sanitize(c.withColumns({"t_last": last, "wall": F.when(i % 4 == 0, F.col("end_ms") + 50), "cut_tail": kind == "error", "splice": kind == "purchase"}))
 
 
 @query()

@@ -151,3 +151,72 @@ def test_restart_cases(spark):
     ]
     df = spark.createDataFrame(cases, "a string, b string, want boolean")
     assert all(r["got"] == r["want"] for r in df.withColumn("got", retakes.restarts(F.col("a"), F.col("b"))).collect())
+
+
+CLIPS = "rec_id long, clip_id long, start_ms long, end_ms long, t_first long, t_last long, wall long, cut_head boolean, cut_tail boolean, splice boolean, role string, total_ms long"
+
+
+def test_sanitized_cases(spark):
+    no = (None,) * 3
+    rows = [
+        (1, 1, 4_920, 10_000, 5_000, 10_100, None, *no, None, 30_000), (1, 2, 10_050, 10_380, 10_120, 10_350, None, *no, None, 30_000),
+        (2, 1, 50_000, 90_000, 50_100, 89_800, None, *no, None, 120_000), (2, 2, 55_000, 65_000, 55_100, 64_900, None, *no, None, 120_000), (2, 3, 10_000, 20_000, 10_100, 19_900, None, *no, None, 120_000),
+        (3, 1, 4_920, 6_080, 5_000, 6_100, 6_115, None, True, None, "prefix", 20_000), (3, 2, 6_260, 6_700, 6_300, 6_680, None, None, None, True, "continuation", 20_000),
+        (4, 1, 0, 1_000, None, None, None, *no, None, 900), (4, 2, 950, 1_000, None, None, None, *no, None, 900),
+    ]
+    got = {}
+    for r in folds.sanitize(spark.createDataFrame(rows, CLIPS)).orderBy("rec_id", "clip_id").collect():
+        got.setdefault(r["rec_id"], []).append((r["start_ms"], r["end_ms"], r["n_clips"]))
+    assert got == {1: [(4_920, 10_380, 2)], 2: [(10_000, 20_000, 1), (50_000, 90_000, 2)], 3: [(4_920, 6_115, 1), (6_260, 6_700, 1)], 4: [(0, 900, 2)]}
+
+
+def plain_sanitized(rows, least=450, room=350):
+    """In three passes over lists."""
+    cs = []
+    for _, i, s, e, first, last, wall, ch, ct, sp, role, total in rows:
+        s, e = max(0, min(total, s)), max(0, min(total, e))
+        if last is not None and e < last:
+            e = min(total, last + 40) if wall is None else min(min(total, last + 40), max(last, wall))
+        elif wall is not None and e > wall:
+            e = max(last if last is not None else s + 150, wall)
+        if e <= s:
+            e = min(total, s + 500)
+        cs.append(dict(i=i, s=s, e=e, first=s if first is None else first, last=s + 200 if last is None else last, head=bool(ch or sp or role == "continuation"), tail=bool(ct or role == "prefix")))
+    flat = []
+    for c in sorted(cs, key=lambda c: (c["s"], c["e"], c["i"])):
+        if not flat:
+            flat += [c] if c["e"] > c["s"] else []
+            continue
+        p = flat[-1]
+        if c["e"] <= p["e"] + 50:
+            continue
+        if c["s"] < p["e"]:
+            at, low, high = max(p["last"], min(c["first"], (p["e"] + c["s"]) // 2)), p["s"] + 150, c["e"] - 150
+            if high < low:
+                continue
+            p["e"] = c["s"] = max(low, min(high, at))
+        if c["e"] - c["s"] >= 150:
+            flat.append(c)
+    out = []
+    for c in flat:
+        m = out[-1] if out else None
+        if m and not m["tail"] and not c["head"] and (c["e"] - c["s"] < least or m["e"] - m["s"] < least) and c["e"] > m["e"] and 0 <= c["s"] - m["e"] <= room:
+            m["e"] = c["e"]
+        else:
+            out.append(c)
+    return [(c["s"], c["e"]) for c in out if c["e"] > c["s"]]
+
+
+def test_sanitized_against_lists(spark):
+    rng, rows, maybe = random.Random(9), [], lambda x: rng.choice([None, x])
+    for rec in range(60):
+        for i in range(rng.randint(1, 12)):
+            s = rng.randint(0, 6_000)
+            e = s + rng.choice([0, 100, 300, 440, 900, 3_000])
+            rows.append((rec, i, s, e, maybe(s + rng.randint(0, 80)), maybe(e + rng.randint(-200, 120)), maybe(e + rng.randint(-100, 200)), maybe(rng.random() < 0.3), maybe(rng.random() < 0.3), maybe(rng.random() < 0.2), rng.choice([None, "none", "prefix", "continuation"]), 7_000))
+    got = {}
+    for r in folds.sanitize(spark.createDataFrame(rows, CLIPS)).orderBy("rec_id", "clip_id").collect():
+        got.setdefault(r["rec_id"], []).append((r["start_ms"], r["end_ms"]))
+    for rec in range(60):
+        assert got.get(rec, []) == plain_sanitized([r for r in rows if r[0] == rec]), rec
+        assert all(a[1] <= b[0] for a, b in zip(got.get(rec, []), got.get(rec, [])[1:], strict=False))
