@@ -56,10 +56,14 @@ def viable_span(spark, d):
     return df.select("rec_id", "seg_id", F.col("pos").cast("long").alias("pos"), T.is_viable(F.col("clause"), F.length(T.norm(F.col("clause"))) * 60 / 1000).alias("viable"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0::DOUBLE ELSE CAST(CAST(event_id // 7 AS VARCHAR) || '.' || CAST(event_id % 10 AS VARCHAR) AS DOUBLE) END AS "seconds" FROM events""")
+@query("""WITH c AS (SELECT event_id, CAST(round(value * 100) AS BIGINT) n FROM events)
+SELECT event_id, CASE n % 7 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 0.0 WHEN 2 THEN CAST(n // 100 AS DOUBLE) WHEN 3 THEN 0.0 WHEN 4 THEN 0.0 ELSE CAST(CAST(n // 100 AS VARCHAR) || '.' || lpad(CAST(n % 100 AS VARCHAR), 2, '0') AS DOUBLE) END AS "seconds" FROM c""")
 def parse_offset(spark, d):
-    i = F.col("event_id")
-    raw = F.when(i % 10 == 0, F.lit(None)).when(i % 5 == 0, "bad").otherwise(F.concat(F.floor(i / 7).cast("string"), F.lit("."), (i % 10).cast("string"), F.lit("s")))
+    """Values of events as offsets: with and without a fraction, none, no number, two points, no unit."""
+    n = F.round(F.col("value") * 100).cast("long")
+    whole, part = F.floor(n / 100).cast("string"), F.lpad((n % 100).cast("string"), 2, "0")
+    k = n % 7
+    raw = F.when(k == 0, F.lit(None)).when(k == 1, "bad").when(k == 2, F.concat(whole, F.lit("s"))).when(k == 3, F.concat(whole, F.lit(".1.2s"))).when(k == 4, F.concat(whole, F.lit("."), part)).otherwise(F.concat(whole, F.lit("."), part, F.lit("s")))
     return table(spark, d, "events").select("event_id", T.offset_seconds(raw).alias("seconds"))
 
 
@@ -69,17 +73,28 @@ def lang_hint(spark, d):
     return table(spark, d, "documents").select("doc_id", T.locale_hint(F.col("text")).alias("locale"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'video/mp4' WHEN 1 THEN 'video/quicktime' WHEN 2 THEN 'audio/wav' ELSE 'video/mp4' END media FROM documents""")
+#: Two hex digits of a text's MD5, to choose among forms by content.
+DIGITS = lambda c: F.conv(F.left(F.md5(T.text_of(F.col(c))), F.lit(2)), 16, 10).cast("int")
+DIGITS_SQL = "CAST('0x' || left(md5(coalesce({0}, '')), 2) AS INT)"
+SUFFIXES = [s.upper() if i % 3 == 1 else s for i, s in enumerate([*T.MEDIA_TYPES, "", ".txt", ".mp4.bak"])]
+
+
+@query(f"SELECT page_id, ({[T.MEDIA_TYPES.get(s.lower(), 'video/mp4') for s in SUFFIXES]})[{DIGITS_SQL.format('url')} % {len(SUFFIXES)} + 1] media FROM pages")
 def mime_lookup(spark, d):
-    ends = F.array(*map(F.lit, [".MP4", ".mov", ".x.wav", ""]))
-    return table(spark, d, "documents").select("doc_id", T.media_type(F.concat(F.lit("a/b"), F.get(ends, (F.col("doc_id") % 4).cast("int")))).alias("media"))
+    """Pages' addresses with each known suffix, in either case, and with others."""
+    ends = F.get(F.array(*map(F.lit, SUFFIXES)), DIGITS("url") % len(SUFFIXES))
+    return table(spark, d, "pages").select("page_id", T.media_type(F.concat(T.text_of(F.col("url")), F.lit("/clip"), ends)).alias("media"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN lpad(CAST(doc_id AS VARCHAR), 16, 'a') END drive_id FROM documents")
+@query(f"SELECT doc_id, CASE WHEN {DIGITS_SQL.format('text')} % 8 < 6 THEN md5(coalesce(text, '')) END drive_id FROM documents")
 def drive_uri_parse(spark, d):
-    i = F.lpad(F.col("doc_id").cast("string"), 16, "a")
-    forms = F.array(F.concat(F.lit("gdrive://"), i), F.concat(F.lit("https://drive/folders/"), i, F.lit("?x=1")), F.concat(F.lit("https://drive/file/d/"), i, F.lit("/view")), F.concat(F.lit("https://drive/open?id="), i), F.lit("no id"))
-    return table(spark, d, "documents").select("doc_id", T.drive_id(F.get(forms, (F.col("doc_id") % 5).cast("int"))).alias("drive_id"))
+    """Texts' hashes as ids in each form of link, alone, too short and in a sentence."""
+    i, lit = F.md5(T.text_of(F.col("text"))), F.lit
+    forms = [
+        F.concat(lit("gdrive://"), i), F.concat(lit("https://drive.example/drive/folders/"), i, lit("?usp=sharing")), F.concat(lit("https://drive.example/file/d/"), i, lit("/view")),
+        F.concat(lit("https://drive.example/open?id="), i), F.concat(lit("https://drive.example/uc?export=download&id="), i), i, F.left(i, lit(14)), F.concat(lit("see "), i),
+    ]
+    return table(spark, d, "documents").select("doc_id", T.drive_id(F.get(F.array(*forms), DIGITS("text") % 8)).alias("drive_id"))
 
 
 @query("""SELECT page_id, md5(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) escaped_md5 FROM pages""")
@@ -87,11 +102,16 @@ def escape_attr(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(T.escape_attr(F.col("html"))).alias("escaped_md5"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a b' || doc_id || '.mp4' WHEN 1 THEN 'q ' || doc_id || '.mov' WHEN 2 THEN 'p' || doc_id ELSE 'none' END "name" FROM documents""")
+@query(rf"""WITH t AS (SELECT doc_id, regexp_extract(coalesce(text, ''), '[A-Za-z]+', 0) || 'x' w, {DIGITS_SQL.format("text")} % 6 k FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN w || ' 漢.mp4' WHEN 1 THEN w || '.mp4' WHEN 2 THEN w || ' q.mov' WHEN 3 THEN w WHEN 4 THEN w || '.mov' ELSE 'none' END "name" FROM t""")
 def attachment_name(spark, d):
-    i = F.col("doc_id").cast("string")
-    forms = F.array(F.concat(F.lit("attachment; filename=\"x\"; filename*=UTF-8''a%20b"), i, F.lit(".mp4")), F.concat(F.lit('attachment; filename="q '), i, F.lit('.mov"')), F.concat(F.lit("attachment; filename=p"), i, F.lit("; x=1")), F.lit("inline"))
-    return table(spark, d, "documents").select("doc_id", T.attachment_name(F.get(forms, (F.col("doc_id") % 4).cast("int")), F.lit("none")).alias("name"))
+    """First words of texts as file names: extended form before others, in either case, quoted, plain, last, none."""
+    w, lit = F.concat(F.regexp_extract(T.text_of(F.col("text")), "[A-Za-z]+", 0), F.lit("x")), F.lit
+    forms = [
+        F.concat(lit("attachment; filename=\"y\"; filename*=UTF-8''"), w, lit("%20%E6%BC%A2.mp4")), F.concat(lit("attachment; filename*=utf-8''"), w, lit(".mp4; size=1")),
+        F.concat(lit('attachment; filename="'), w, lit(' q.mov"')), F.concat(lit("attachment; filename="), w, lit("; x=1")), F.concat(lit("inline; filename="), w, lit(".mov")), lit("inline"),
+    ]
+    return table(spark, d, "documents").select("doc_id", T.attachment_name(F.get(F.array(*forms), DIGITS("text") % 6), F.lit("none")).alias("name"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, coalesce(text, '') x FROM documents)
