@@ -158,11 +158,12 @@ class Scanner:
         words = words_of(low)
         held = set(words)
         found = [m for t in self.templates if t.anchors & held for m in t.matches(words)]
-        kept: list[Match] = []
+        kept: list[Match] = []  # in order of their places
         for m in sorted(found, key=lambda m: (-m.aligned, m.start)):
-            if all(m.end <= k.start or m.start >= k.end for k in kept):
-                kept.append(m)
-        return sorted(kept, key=lambda m: m.start)
+            at = bisect_left(kept, m.start, key=lambda k: k.start)
+            if (not at or kept[at - 1].end <= m.start) and (at == len(kept) or m.end <= kept[at].start):
+                kept.insert(at, m)
+        return kept
 
 
 @lru_cache(4)
