@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -31,25 +32,31 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-#: Folders of the open scratch() blocks, innermost last.
-_scratch: list[str] = []
+#: Folders of the open scratch() blocks of each thread, innermost last.
+_scratch = threading.local()
 #: Bounds of a batch that goes to Python, so that a task's memory does not grow with the length of texts.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
+def _open_folders() -> list[str]:
+    if not hasattr(_scratch, "folders"):
+        _scratch.folders = []
+    return _scratch.folders
+
+
 def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{_scratch[-1] if _scratch else shared_dir(spark)}/spanloom-{tag}-{uuid.uuid4().hex}"
+    return f"{_open_folders()[-1] if _open_folders() else shared_dir(spark)}/spanloom-{tag}-{uuid.uuid4().hex}"
 
 
 @contextmanager
 def scratch(spark: SparkSession, tag: str) -> Iterator[None]:
     """What new_folder and materialize write inside is removed at the end: nothing that is read later may rest on it."""
     folder = new_folder(spark, tag)
-    _scratch.append(folder)
+    _open_folders().append(folder)
     try:
         yield
     finally:
-        _scratch.pop()
+        _open_folders().pop()
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
