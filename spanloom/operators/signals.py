@@ -41,11 +41,12 @@ def energy(samples: DataFrame) -> DataFrame:
 
 
 def _near(rows: DataFrame, signal: DataFrame, keys: list[str], lo: Column, hi: Column) -> DataFrame:
-    """rows with from_ms and e, the signal from there on over the seconds of [lo, hi]; null without any."""
+    """rows with from_ms and e, the signal from there on over the seconds of [lo, hi]; null without any. Both joins are by sorting:
+    the planner sees no length of an array, takes seconds of signal for narrow rows and would send all of it to every task."""
     asked = rows.select(*keys, F.explode(F.sequence(F.floor(F.greatest(lo, F.lit(0)) / SECOND), F.floor(F.greatest(hi, F.lit(0)) / SECOND))).alias("second"))
-    got = asked.join(signal.select("rec_id", "second", "e"), ["rec_id", "second"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("second", "e"))).alias("_s"))
+    got = asked.join(signal.select("rec_id", "second", "e").hint("merge"), ["rec_id", "second"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("second", "e"))).alias("_s"))
     got = got.select(*keys, (F.get("_s", F.lit(0))["second"] * SECOND).alias("from_ms"), F.flatten(F.transform("_s", lambda s: s["e"])).alias("e"))
-    return rows.join(got, keys, "left")
+    return rows.join(got.hint("merge"), keys, "left")
 
 
 class Signal:

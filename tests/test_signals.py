@@ -124,3 +124,10 @@ def test_pivots(spark):
 def test_queries(spark):
     for name in ("onset_clamp", "cut_pivot"):
         assert catalog.queries()[name](spark, SF).count() > 0
+
+
+def test_signal_is_not_broadcast(spark, capsys):
+    """Seconds of signal look as narrow as ids to the planner; no join may send them through the driver."""
+    given = spark.createDataFrame([(1, 1, 500, 730, None, True)], WORDS)
+    signals.onsets(given, signal(spark, np.concatenate([silence(0.5), sine(0.5)]))).explain()
+    assert "Broadcast" not in capsys.readouterr().out
