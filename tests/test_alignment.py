@@ -149,3 +149,28 @@ def test_parts_against_every_choice():
             jumps = len(parts) - 1
             cost = sum(edits(t[a:b], x[i : j + 1]) for a, b, i, j in parts) + 2 * jumps
             assert cost <= best and (jumps > 1 or cost == best), (t, x, parts, best)
+
+
+def test_lines_are_not_broadcast(spark, capsys):
+    """Neither cells of text nor their exploded places go through the driver."""
+    rows = spark.createDataFrame(even(1, 1, "今天天氣晴朗溫暖", 0, 1000), WORDS)
+    alignment.align(spark.createDataFrame([(1, 1, "天氣晴朗")], CLIPS), rows).explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_a_piece_stands_whole_across_cells(spark):
+    """Pieces of seven characters, of which four are hashed, that lie across the bounds of cells, and a last cell of a few."""
+    rng = random.Random(5)
+    line = "".join(rng.choice("abcdefghij") for _ in range(3 * alignment.CELL + 3))
+    rows = even(1, 1, line, 0, 77_000)
+    clips = [(1, at, line[at : at + n]) for k in (1, 2, 3) for at in range(k * alignment.CELL - 8, k * alignment.CELL + 1) for n in (7, 15) if at + n <= len(line)]
+    clips = list({c[1]: c for c in clips}.values())
+    check(spark, clips, rows)
+
+
+def test_transcripts_are_taken_apart_once(spark, capsys):
+    """The comparison of a transcript with its sentences stands once in the plan, not once for each end and each column."""
+    clips = spark.createDataFrame([(1, 1, 1, 1, "今天晴朗溫暖")], "rec_id long, clip_id long, first_seg long, last_seg long, transcript string")
+    alignment.excise(clips, spark.createDataFrame(even(1, 1, "今天天氣晴朗溫暖", 0, 1000), WORDS)).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("ArrowEvalPython") == 1 and "BroadcastHashJoin" not in plan
