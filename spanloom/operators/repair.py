@@ -10,11 +10,11 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import anomalies, takes
+from .folds import fold
 
 CLIP = "rec_id long, clip_id long, start_ms long, end_ms long, text string, first_seg long, last_seg long, verified boolean, total_ms long"
 NAMES = [c.split(" ")[0] for c in CLIP.split(", ")]
@@ -64,18 +64,28 @@ def _before(text: str, n: int) -> str:
     return text
 
 
-def by_rules(windows: DataFrame) -> DataFrame:
-    """A judge without a model: ``judged`` for each window. windows: the clips of windows, CLIP and window_id, kinds. A window is
-    at most a minute and a half long, so its clips are few."""
+class _Judged:
+    """A recording's windows, one after the other; holds the clips of one."""
+
+    def __init__(self) -> None:
+        self.rows: list = []
+
+    def push(self, row) -> list:
+        out = self.close() if self.rows and self.rows[0].window_id != row.window_id else []
+        self.rows.append(row)
+        return out
 
-    def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start_ms", "end_ms", "clip_id"])
-        by = {r.clip_id: r for r in rows.itertuples(index=False)}
-        out = [(r.rec_id, i, s, e, t, r.first_seg, r.last_seg, True, r.total_ms) for i, s, e, t in judged([(r.clip_id, r.start_ms, r.end_ms, r.text or "") for r in by.values()]) for r in (by[i],)]
-        frame = pd.DataFrame(out, columns=NAMES)
-        return frame.astype({c: "Int64" for c in ("first_seg", "last_seg", "total_ms")})
+    def close(self) -> list:
+        by, self.rows = {r.clip_id: r for r in self.rows}, []
+        number = lambda x: None if x is None or x != x else int(x)
+        kept = judged([(r.clip_id, r.start_ms, r.end_ms, r.text or "") for r in by.values()])
+        return [(r.rec_id, i, s, e, t, number(r.first_seg), number(r.last_seg), True, number(r.total_ms)) for i, s, e, t in kept for r in (by[i],)]
 
-    return windows.select(*NAMES, "window_id").groupBy("rec_id", "window_id").applyInPandas(judge, CLIP)
+
+def by_rules(windows: DataFrame) -> DataFrame:
+    """A judge without a model: ``judged`` for each window. windows: the clips of windows, CLIP and window_id, kinds. A window is
+    at most a minute and a half long, so its clips are few; they are read as a stream, not as a frame a window."""
+    return fold(windows.select(*NAMES, "window_id"), "rec_id", ["window_id", "start_ms", "end_ms", "clip_id"], CLIP, _Judged)
 
 
 def repair(clips: DataFrame, judge: Callable[[DataFrame], DataFrame] = by_rules, most_rounds: int = 4) -> DataFrame:
