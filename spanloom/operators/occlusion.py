@@ -23,7 +23,8 @@ SCHEMA = "rec_id long, unit_id long, start_ms long, end_ms long, first_char long
 
 class _Span:
     def __init__(self, row) -> None:
-        self.row, self.words = row, [(w["w"], int(w["start_ms"]), int(w["end_ms"]), bool(w["closes"])) for w in row.words]
+        spoken = row.spoken.split(" ") if len(row.starts) else []
+        self.row, self.words = row, [(w, int(a), int(b), bool(c)) for w, a, b, c in zip(spoken, row.starts, row.ends, row.closed, strict=True)]
         self.text = "".join(w[0] for w in self.words)
         self.first, self.take = 0, takes.Take(self.text, row.bare if self.text.endswith(row.bare) else self.text)
         self.role, self.splice, self.head, self.tail = row.role or "none", bool(row.splice), bool(row.cut_head), bool(row.cut_tail)
@@ -151,6 +152,10 @@ def occlude(units: DataFrame, script: Sequence[str] = (), far_ms: int = 25_000,
     optional = {"parent_id": "long", "parent_text": "string", "role": "string", "splice": "boolean", "verified": "boolean", "cut_head": "boolean", "cut_tail": "boolean", "wall_before": "long", "wall_after": "long"}
     rows = units.withColumns({c: F.lit(None).cast(t) for c, t in optional.items() if c not in units.columns})
     text = F.array_join(F.transform(F.coalesce("words", F.array()), lambda x: x["w"]), "")
+    # A text and three arrays of numbers a unit: a struct a word would be a Python object for each of its fields in every batch.
+    part = lambda c: F.transform(words, lambda x: x[c])
+    words = F.coalesce("words", F.array().cast(units.schema["words"].dataType))
+    packed = [F.array_join(part("w"), " ").alias("spoken"), part("start_ms").alias("starts"), part("end_ms").alias("ends"), F.transform(words, lambda x: F.coalesce(x["closes"], F.lit(False)).cast("byte")).alias("closed")]
     flags = {c: F.coalesce(F.col(c).cast(t), F.lit(False)) if t == "boolean" else F.col(c).cast(t) for c, t in optional.items()}
-    rows = rows.select("rec_id", "unit_id", "start_ms", "end_ms", F.coalesce("words", F.array().cast(units.schema["words"].dataType)).alias("words"), T.strip_fillers(text).alias("bare"), *(v.alias(c) for c, v in flags.items()), (-F.col("start_ms")).alias("_back"), (-F.col("unit_id")).alias("_id"))
+    rows = rows.select("rec_id", "unit_id", "start_ms", "end_ms", *packed, T.strip_fillers(text).alias("bare"), *(v.alias(c) for c, v in flags.items()), (-F.col("start_ms")).alias("_back"), (-F.col("unit_id")).alias("_id"))
     return fold(rows, "rec_id", ["_back", "_id"], SCHEMA, lambda: Occluded(held, far_ms, back_ms))

@@ -127,3 +127,18 @@ def test_overlap_cases():
     assert both("前面一段話核心系統的效能呃", "核心系統的效能與延遲表現") == "核心系統的效能"
     assert both("前面一段話核心系統", "核心系統運作", ["核心系統就是核心系統"]) == "" and both("前面一段話這核心系統", "這核心系統運作") == "這核心系統"
     assert both("abc", "abc") == "" and both("", "x") == ""
+
+
+def test_units_are_narrow_in_python(spark):
+    """A unit goes to the fold as a text and arrays of numbers, not as a struct a word."""
+    import io
+    from contextlib import redirect_stdout
+
+    words = "array<struct<w:string,start_ms:long,end_ms:long,closes:boolean>>"
+    rows = [(1, 1, 0, 900, [("今天天氣晴朗", 0, 900, None)]), (1, 2, 1000, 2000, [("", 1000, 1000, False), ("謝謝收看再見", 1000, 2000, True)]), (1, 3, 2100, 2200, []), (1, 4, 2300, 2400, None)]
+    df = occlusion.occlude(spark.createDataFrame(rows, f"rec_id long, unit_id long, start_ms long, end_ms long, words {words}"))
+    assert sorted((r["unit_id"], r["n_chars"]) for r in df.collect()) == [(1, 6), (2, 6), (3, 0), (4, 0)]
+    with redirect_stdout(io.StringIO()) as out:
+        df.explain()
+    fold = next(x for x in out.getvalue().splitlines() if "Exchange" in x or "Sort" in x)
+    assert fold and "spoken" in out.getvalue()
