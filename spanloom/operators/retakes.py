@@ -6,7 +6,6 @@ in Arrow batches. A pair costs its own texts and no other rows."""
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,20 +16,21 @@ from spanloom.functions import text as T
 from . import takes
 
 
-def _alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in batches:
-        yield pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def _alike(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b, least in batches:
+        yield pd.Series([x is not None and y is not None and takes.alike(x, y, n) for x, y, n in zip(a, b, least, strict=True)], dtype="bool")
 
 
 def comparer():
-    """The comparison as a function of columns: made once for a query, so that Spark sees which comparisons are the same."""
-    return F.pandas_udf(_alike, "double")
+    """Whether two columns are at least so alike, as a function: made once for a query, so that Spark sees which comparisons
+    are the same."""
+    return F.pandas_udf(_alike, "boolean")
 
 
 def _or_alike(settled: Column, open_: Column, a: Column, b: Column, least: float, compare) -> Column:
     """settled, or a and b at least so alike where ``open_``; settled rows are not compared."""
     ask = ~settled & open_
-    return settled | F.coalesce((compare or comparer())(F.when(ask, a), F.when(ask, b)) >= least, F.lit(False))
+    return settled | (compare or comparer())(F.when(ask, a), F.when(ask, b), F.lit(least))
 
 
 def restarts(now: Column, then: Column, least: float = 0.70, head: int = 4, compare=None) -> Column:
