@@ -161,21 +161,21 @@ def _scripts(spark, d):
     head = F.when(i == 0, "---\ntitle: x\n...").when(i == 1, "---\na: b\n --- ").when(i == 2, "# head\n===").otherwise("---")
     text = F.replace(F.replace(T.text_of(F.col("text")), lit(" the "), lit(" [cut] the ")), lit(". "), lit(".\n> - "))
     x = F.concat(head, lit("\nTitle: none\n1. Body: "), text, lit("\n（鏡頭拉近）\n內文："))
-    blocks = table(spark, d, "documents").select("doc_id", F.posexplode(T.script_blocks(x)).alias("i", "b"))
-    return blocks.select("doc_id", (F.col("i") + 1).cast("long").alias("block_id"), "b.raw", "b.norm")
+    return table(spark, d, "documents").select("doc_id", T.script_blocks(x).alias("blocks"))
 
 
 @query(f"WITH {SCRIPTS} SELECT doc_id, block_id, md5(raw) line_md5, md5(norm) norm_md5 FROM block")
 def script_blocks_parse(spark, d):
-    return _scripts(spark, d).select("doc_id", "block_id", F.md5("raw").alias("line_md5"), F.md5("norm").alias("norm_md5"))
+    blocks = _scripts(spark, d).select("doc_id", F.posexplode_outer("blocks").alias("i", "b")).filter("b IS NOT NULL")  # else Spark works the blocks out to see if there are any
+    return blocks.select("doc_id", (F.col("i") + 1).cast("long").alias("block_id"), F.md5("b.raw").alias("line_md5"), F.md5("b.norm").alias("norm_md5"))
 
 
 @query(f"WITH {SCRIPTS} SELECT doc_id, string_agg(format('[Script Block {{:02d}}] {{:s}}', block_id, raw), chr(10) ORDER BY block_id) listing FROM block GROUP BY doc_id")
 def script_listing(spark, d):
-    """Each script's blocks with their numbers."""
-    line = F.format_string("[Script Block %02d] %s", F.col("block_id"), F.col("raw"))
-    rows = _scripts(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_id", line.alias("line")))).alias("rows"))
-    return rows.select("doc_id", F.array_join(F.transform("rows", lambda x: x["line"]), "\n").alias("listing"))
+    """Each script's blocks with their numbers. A script is listed where it is read; one without blocks has no row."""
+    line = lambda b, i: F.format_string("[Script Block %02d] %s", (i + 1).cast("long"), b["raw"])
+    listing = F.array_join(F.transform("blocks", line), "\n")
+    return _scripts(spark, d).select("doc_id", F.explode_outer(F.array(listing)).alias("listing")).filter("listing <> ''")  # a filter on the expression would work it out twice
 
 
 @query(r"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) l FROM documents)

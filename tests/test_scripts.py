@@ -25,3 +25,13 @@ def test_lines(spark):
     assert got[2] == [("Say (aside) THIS [cue] now", "saythisnow")]
     assert got[5] == [("not front matter", "notfrontmatter"), ("last line here", "lastlinehere")]
     assert got[6] == [("（一）（二）三四五六", "三四五六")] and got[7] == [("nested (a (b) c) words", "nestedcwords")]
+
+
+def test_lines_are_read_once(spark, capsys):
+    """Lines are split in one place of the plan of each query, and a listing needs no shuffle."""
+    from spanloom.plans import catalog
+
+    for name in ("script_blocks_parse", "script_listing"):
+        catalog.queries()[name](spark, "/root/testdata/sf0.001").explain()
+        plan = capsys.readouterr().out
+        assert plan.count("split(") == 1 and "Exchange" not in plan, name
