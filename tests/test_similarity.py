@@ -83,3 +83,24 @@ def test_query_against_all_pairs(spark):
     assert got
     last = catalog.queries()["last_take_per_block"](spark, SF).collect()
     assert {r["block_id"] for r in last} == {b for c, b in got.values() if c >= 0.85}
+
+
+def test_unlike_blocks_are_not_aligned(monkeypatch):
+    """Texts of the same few words in another order pass no bound; a part of a block with other words around it does."""
+    import random
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(4, 9))) for _ in range(60)]
+    blocks = [(i, "".join(rng.choices(words, k=30))) for i in range(50)]
+    held, called, plain = similarity.Blocks(blocks, 3), [0], similarity._covered
+
+    def counted(a, b):
+        called[0] += 1
+        return plain(a, b)
+
+    monkeypatch.setattr(similarity, "_covered", counted)
+    for _ in range(20):
+        held.best("".join(rng.choices(words, k=30)), 0.85, 1.85, None)
+    assert called[0] == 0
+    at = blocks[7][1]
+    assert held.best(at[: len(at) * 9 // 10] + "zzzz", 0.85, 1.85, None)[1] == 7 and called[0] == 1
