@@ -1,6 +1,7 @@
 """Alignment of transcripts with words: published cases, and a plain dynamic program over whole lines."""
 
 import random
+import tracemalloc
 
 from pyspark.sql import functions as F
 
@@ -174,3 +175,35 @@ def test_transcripts_are_taken_apart_once(spark, capsys):
     alignment.excise(clips, spark.createDataFrame(even(1, 1, "今天天氣晴朗溫暖", 0, 1000), WORDS)).explain()
     plan = capsys.readouterr().out
     assert plan.count("ArrowEvalPython") == 1 and "BroadcastHashJoin" not in plan
+
+
+def test_near_texts_are_compared_without_the_table(monkeypatch):
+    """The same parts by diagonals as by the whole table, and for a long transcript no room for the table."""
+    rng = random.Random(4)
+    pairs, near = [], 0
+    for alphabet in ("ab", "abcdefgh", "漢字仮名交文章語", "😀a𠀀b") * 60:
+        x = [rng.choice(alphabet) for _ in range(rng.choice([1, 3, 9, 40, 120]))]
+        t = list(x) if rng.random() < 0.9 else [rng.choice(alphabet) for _ in x]
+        for _ in range(rng.randint(0, 3)):
+            i, m = rng.randrange(len(t) + 1), rng.randint(0, 1 + len(x) // 4)
+            if rng.random() < 0.5:
+                t[i : i + m] = rng.choice(["", "a"])
+            else:
+                x[i:i] = x[max(0, i - m) : i]
+        pairs.append(("".join(t), "".join(x), rng.choice([0.15, 9])))
+    near = sum(bool(t) and alignment._Reach(t, x, 3, 2).least is not None for t, x, _ in pairs)
+    got = [alignment._parts(t, x, most=most) for t, x, most in pairs]
+    said = "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(6_000))
+    tracemalloc.start()
+    parts = alignment._parts(said, said[:2_000] + said[1_990:4_000] + "uvw" * 20 + said[4_000:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert parts == [(0, 1_990, 0, 1_989), (1_990, 4_000, 2_000, 4_009), (4_000, 6_000, 4_070, 6_069)] and peak < 16_000_000
+    monkeypatch.setattr(alignment._Reach, "__init__", lambda self, *_: setattr(self, "least", None))
+    assert near > 180 and got == [alignment._parts(t, x, most=most) for t, x, most in pairs]
+
+
+def test_sentences_are_not_broadcast(spark, capsys):
+    """Sentences and their texts do not go through the driver, small as the planner takes them for."""
+    catalog.queries()["stumble_excision"](spark, SF).explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
