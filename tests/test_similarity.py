@@ -104,3 +104,44 @@ def test_unlike_blocks_are_not_aligned(monkeypatch):
     assert called[0] == 0
     at = blocks[7][1]
     assert held.best(at[: len(at) * 9 // 10] + "zzzz", 0.85, 1.85, None)[1] == 7 and called[0] == 1
+
+
+def test_many_texts_at_once_against_all_pairs(monkeypatch):
+    """Texts that wait together, in parts of any size, blocks of many words and letters of any plane: as all pairs say."""
+    rng = random.Random(7)
+    for held, together, words, letters in ((8_000_000, 4_096, 16, "abcd"), (300, 3, 16, "abcdefghij"), (2_000, 50, 1, "abcdefgh"), (900, 7, 2, "漢字仮名交文a𠀀𠀁"), (500, 9, 16, [chr(c) for c in range(0x4E00, 0x5200)])):
+        monkeypatch.setattr(similarity, "HELD", held)
+        monkeypatch.setattr(similarity, "TOGETHER", together)
+        monkeypatch.setattr(similarity, "WORDS", words)
+        make = lambda n, letters=letters: "".join(rng.choice(letters) for _ in range(n))
+        blocks = [(i, make(rng.choice([1, 2, 3, 9, 62, 63, 64, 126, 127, 150, 200]))) for i in range(25)]
+        texts = [make(rng.randint(0, 260)) for _ in range(25)] + [""]
+        for _, b in blocks:
+            parts = [make(rng.randint(0, 4)) + b[i : i + 8] for i in range(0, len(b), 9)]
+            texts += ["".join(parts), "".join(rng.sample(parts, len(parts))), b[: len(b) * 2 // 3] + make(5)]
+        for k in (2, 3):
+            mine = [b for b in blocks if k == (2 if re.search("[一-鿿]", b[1]) else 3)]
+            if mine:
+                before = [(0.5, 99) if i % 5 == 0 else None for i in range(len(texts))]
+                got = similarity.Blocks(mine, k).best_of(texts, 0.45, 1.85, before)
+                for text, had, one in zip(texts, before, got, strict=True):
+                    want = all_pairs(text, mine)
+                    assert one == (max(had, want, key=lambda x: (x[0], -x[1])) if had and want else want or had), text
+
+
+def test_unlike_blocks_are_ruled_out_together(monkeypatch):
+    """Of texts in the blocks' own syllables, few pairs come to the search for runs in order, which goes pair by pair."""
+    rng = random.Random(8)
+    syllables = "the and ing tion re ha er es on in nt ou st ed at sh wh ble ly an ti or en th ea nd".split()
+    make = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    blocks, texts, called = [(i, make(rng.randrange(40, 110))) for i in range(120)], [make(rng.randrange(40, 110)) for _ in range(60)], [0]
+    plain, held = similarity.Blocks.in_order, similarity.Blocks(blocks, 3)
+
+    def counted(self, grams, i):
+        called[0] += 1
+        return plain(self, grams, i)
+
+    monkeypatch.setattr(similarity.Blocks, "in_order", counted)
+    got = [held.best(t, 0.45, 1.85, None) for t in texts]
+    assert got == [all_pairs(t, blocks) for t in texts]
+    assert called[0] < 100
